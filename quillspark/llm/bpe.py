@@ -8,6 +8,7 @@ import hashlib
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 2_000_000
 #: Words a query contracts at a time.
 QUERY_WORDS = 20_000
-#: Pieces remembered, twice: a full memory becomes the old one, and what is used again moves on.
-REMEMBERED = 120_000
+#: Pieces and words remembered, twice: a full memory becomes the old one, and what is used again moves on.
+REMEMBERED = 300_000
 #: A word takes as many steps as it has merges; beyond this many bytes a heap contracts it instead.
 LONG_WORD = 400
 
@@ -53,6 +54,8 @@ class Contractor:
         self.pattern = regex.compile(pattern)
         #: A space with white space on both sides, or one before it and the text's end after it.
         self.uneven = regex.compile(r"\s \s|\s $|^ $")
+        #: What such a text holds; finding none of these is quicker than the pattern.
+        self.before_space = [chr(c) + " " for c in range(1 << 16) if regex.match(r"\s", chr(c))]
         self.token = {v: k for k, v in self.ranks.items()}
         self.new: dict[str, tuple[str, bytes]] = {}
         self.old: dict[str, tuple[str, bytes]] = {}
@@ -84,17 +87,20 @@ class Contractor:
                 out[word] = (",".join(map(str, ids)), b"".join(self.token[i] for i in ids))
             else:
                 rest.append((word, raw))
-        single = [self.ranks[bytes([b])] for b in range(256)]
+        single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         for at in range(0, len(rest), QUERY_WORDS):
             part = rest[at : at + QUERY_WORDS]
+            sizes = np.array([len(raw) for _, raw in part])
+            starts = np.cumsum(sizes) - sizes
             self._table(
                 "start_rows",
-                w=pa.array([w for w, (_, raw) in enumerate(part) for _ in raw], pa.int32()),
-                p=pa.array([p for _, raw in part for p in range(len(raw))], pa.int32()),
-                t=pa.array([single[b] for _, raw in part for b in raw], pa.int32()),
+                w=pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)),
+                p=pa.array((np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)),
+                t=pa.array(single[np.frombuffer(b"".join([raw for _, raw in part]), dtype=np.uint8)]),
             )
-            for w, ids, decoded in self.con.execute(ENCODE).fetchall():
-                out[part[w][0]] = (ids, bytes.fromhex(decoded))
+            found = self.con.sql(ENCODE).to_arrow_table()
+            for (word, _), ids, decoded in zip(part, found.column("ids").to_pylist(), found.column("decoded").to_pylist()):
+                out[word] = (ids, bytes.fromhex(decoded))
         return out
 
     def contract_long(self, raw: bytes) -> list[int]:
@@ -132,28 +138,37 @@ class Contractor:
         Cutting before each space does that, as a match takes a space only at its start, unless a run
         of white space goes on past that space; such a text is one piece.
         """
-        if self.uneven.search(text):
+        if text == " " or any(x in text for x in self.before_space) and self.uneven.search(text):
             return [text]
         first, *others = text.split(" ")
         return ([first] if first else []) + [" " + x for x in others]
 
+    def recall(self, keys: set[str]) -> dict[str, tuple[str, bytes]]:
+        """What is remembered of ``keys``; hits of the old memory move to the new."""
+        out = {k: self.new[k] for k in keys & self.new.keys()}
+        again = {k: self.old[k] for k in (keys & self.old.keys()) - out.keys()}
+        self.remember(again)
+        return out | again
+
+    def remember(self, made: dict[str, tuple[str, bytes]]) -> None:
+        if len(self.new) + len(made) > REMEMBERED:
+            self.new, self.old = {}, self.new
+        self.new.update((k, v) for k, v in made.items() if len(k) < 64)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids, joined by commas, and the bytes they decode to, of each text."""
         cut = [self.pieces(t) for t in texts]
-        wanted = {p for c in cut for p in c}
-        known: dict[str, tuple[str, bytes]] = {}
-        for p in wanted:
-            if (hit := self.new.get(p) or self.old.get(p)) is not None:
-                known[p] = hit
+        wanted = set().union(*cut)
+        known = self.recall(wanted)
         split = {p: self.pattern.findall(p) for p in wanted - known.keys()}
-        coded = self.words(sorted({w for ws in split.values() for w in ws}))
-        for p, ws in split.items():
-            known[p] = (",".join([coded[w][0] for w in ws]), b"".join([coded[w][1] for w in ws]))
-        for p, value in known.items():
-            if len(p) < 64:
-                if len(self.new) >= REMEMBERED:
-                    self.new, self.old = {}, self.new
-                self.new[p] = value
+        words = set().union(*split.values())
+        coded = self.recall(words)
+        fresh = self.words(sorted(words - coded.keys()))
+        coded |= fresh
+        self.remember(fresh)
+        made = {p: coded[ws[0]] if len(ws) == 1 else (",".join([coded[w][0] for w in ws]), b"".join([coded[w][1] for w in ws])) for p, ws in split.items()}
+        self.remember(made)
+        known |= made
         for c in cut:
             yield ",".join([known[p][0] for p in c]), b"".join([known[p][1] for p in c])
 

@@ -31,7 +31,7 @@ ODD = ["", " ", "  ", "   a", "a   b", "a \n b", "\n\n x", "x\t \ty", "it's we'L
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list("aAeé' \n\t  .1日!s") + ["the ", " of"]), max_size=40), min_size=1, max_size=8))
+@given(st.lists(st.lists(st.sampled_from([*"aAeé' \n\t\x1c  .1日!s", "the ", " of", "'ll"]), max_size=40).map("".join), min_size=1, max_size=8))
 def test_bpe_any_text(library, texts):
     engine = bpe.contractor(PATH, public_tokenizers.PATTERN)
     for t, (ids, raw) in zip(texts, engine.encode(texts)):
