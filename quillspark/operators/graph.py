@@ -48,3 +48,76 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     return nodes.join(cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
+
+
+def build_pipelines(edges: DataFrame) -> DataFrame:
+    """``(component, n_nodes, n_edges, entries, exits)`` of each group of linked nodes.
+
+    Entries have no edge in, exits none out; both are sorted lists as text. Nodes without edges are in
+    no pipeline.
+    """
+    named = components(edges)
+    plain = edges.select("src", "dst").where("src <> dst").distinct()
+    ins = plain.select(F.col("dst").alias("node")).distinct().withColumn("has_in", F.lit(True))
+    outs = plain.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
+    nodes = named.join(ins, "node", "left").join(outs, "node", "left")
+    listed = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("node")))), ",")
+    whole = nodes.groupBy("component").agg(
+        F.count("*").alias("n_nodes"), listed(F.col("has_in").isNull()).alias("entries"), listed(F.col("has_out").isNull()).alias("exits")
+    )
+    n_edges = plain.join(named, plain["src"] == named["node"]).groupBy("component").agg(F.count("*").alias("n_edges"))
+    return whole.join(n_edges, "component", "left").select("component", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "entries", "exits")
+
+
+def downstream_impact(edges: DataFrame, starts: DataFrame, max_rings: int = 100) -> DataFrame:
+    """``(start, node, distance, kinds)``: what each start reaches, by shortest paths.
+
+    ``kinds`` are those on all shortest paths, sorted and joined. One ring a round for all starts; a
+    ring's rows come from the ring before, joined with the edges, less what was reached already. The
+    start is left out. Raises after ``max_rings`` rounds.
+    """
+    spark = edges.sparkSession
+    plain = edges.select("src", "dst", "kind").distinct()
+    ring = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("kinds"))
+    reached, path = materialise_at(ring, "ring")
+    ring, paths = reached, [path]
+    for distance in range(1, max_rings + 1):
+        step = ring.join(plain, ring["node"] == plain["src"]).select(
+            "start", F.col("dst").alias("node"), F.array_union("kinds", F.array("kind")).alias("kinds")
+        )
+        new = step.join(reached.select("start", "node"), ["start", "node"], "left_anti")
+        merged = new.groupBy("start", "node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"))
+        ring, path = materialise_at(merged.select("start", "node", F.lit(distance).alias("distance"), "kinds"), "ring")
+        if ring.isEmpty():
+            remove(spark, path)
+            break
+        paths.append(path)
+        reached = spark.read.schema(ring.schema).parquet(*paths)
+    else:
+        raise RuntimeError(f"not settled after {max_rings} rings")
+    return reached.where("distance > 0").select("start", "node", "distance", F.array_join("kinds", ",").alias("kinds"))
+
+
+def topo_levels(edges: DataFrame, max_levels: int = 200) -> DataFrame:
+    """``(node, level)``: 0 without predecessors, else one more than the highest of them.
+
+    Nodes on or behind a cycle have a null level. Each round peels the nodes without live edges in.
+    """
+    spark = edges.sparkSession
+    live, path = materialise_at(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "live")
+    left, left_path = materialise_at(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "left")
+    done: list[str] = []
+    for level in range(max_levels):
+        peeled = left.join(live.select(F.col("dst").alias("node")), "node", "left_anti")
+        peel, at = materialise_at(peeled.select("node", F.lit(level).alias("level")), "level")
+        if peel.isEmpty():
+            remove(spark, at)
+            break
+        done.append(at)
+        names = peel.select("node")
+        old, old_left = path, left_path
+        live, path = materialise_at(live.join(names.withColumnRenamed("node", "src"), "src", "left_anti"), "live")
+        left, left_path = materialise_at(left.join(names, "node", "left_anti"), "left")
+        remove(spark, old), remove(spark, old_left)
+    rest = left.select("node", F.lit(None).cast("int").alias("level"))
+    return spark.read.schema("node long, level int").parquet(*done).unionByName(rest) if done else rest
