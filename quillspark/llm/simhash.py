@@ -17,10 +17,11 @@ from quillspark.storage import materialise
 
 SHINGLE = 4
 RADIUS = 4
-#: Fingerprints that a shard of the tree should have at home.
-SHARD = 6_000
+#: Fingerprints that a shard should have at home. Each level of shared shards costs rows (a ball reaches
+#: both sides of a third of the boundaries); levels inside a shard cost none.
+SHARD = 100_000
 #: Shards with more rows are dealt out as pairs of chunks of this size.
-CHUNK = 40_000
+CHUNK = 150_000
 #: Fingerprints that the tree's radii are fitted on; the tree routes every fingerprint.
 FIT_SAMPLE = 8_192
 QUARTERS = 4
@@ -206,17 +207,24 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
     if parts:
         cuts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("shard")), F.lit(1))
     own = F.pmod(F.xxhash64("fp"), "_cuts").cast("int")
-    each = F.sequence(F.lit(0), F.col("_cuts") - 1)
-    cells = dealt.withColumn("_cuts", cuts).withColumn("_own", own)
-    homes = cells.where("home").select("shard", F.col("_own").alias("i"), F.explode(each).alias("j"), "fp", F.lit(True).alias("home"))
-    others = cells.select("shard", F.explode(each).alias("i"), F.col("_own").alias("j"), "fp", F.lit(False).alias("home"))
+    # A cell (i, j) compares chunk i at home with all of chunk j; the usual shard is the cell (0, 0).
+    every = F.sequence(F.lit(0), F.col("_cuts") - 1)
+    into = F.transform(every, lambda i: F.struct(i.alias("i"), F.col("own").alias("j")))
+    outof = F.transform(every, lambda j: F.struct(F.col("own").alias("i"), j.alias("j")))
+    cells = (
+        dealt.withColumn("_cuts", cuts)
+        .withColumn("own", own)
+        .withColumn("cell", F.explode(F.when(F.col("home"), F.array_union(into, outof)).otherwise(into)))
+        .select("shard", "cell.i", "cell.j", "own", "fp", "home")
+    )
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, at_home = pdf["fp"].to_numpy(), pdf["home"].to_numpy(dtype=bool)
-        a, b = link_shard(fp[at_home], fp[~at_home], int(pdf["shard"].iloc[0]) // 100_000, radius)
+        fp, own = pdf["fp"].to_numpy(), pdf["own"].to_numpy()
+        at_home = pdf["home"].to_numpy(dtype=bool) & (own == pdf["i"].iloc[0])
+        a, b = link_shard(fp[at_home], fp[own == pdf["j"].iloc[0]], int(pdf["shard"].iloc[0]) // 100_000, radius)
         return pd.DataFrame({"a": a, "b": b})
 
-    return homes.unionByName(others).groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
+    return cells.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
