@@ -60,7 +60,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, bits: i
         probes = open_.select("query_id", "q", F.posexplode("q").alias("seg", "own")).select(
             "query_id", "q", "seg", F.explode(F.transform(F.lit(flips), lambda x: x.bitwiseXOR(F.col("own")))).alias("value")
         )
-        met = probes.join(index, ["seg", "value"]).select("query_id", "code", "n", _distance("q", "code").alias("distance")).distinct()
+        # Each step has many times more probes than queries, which size estimates do not see.
+        met = probes.hint("merge").join(index, ["seg", "value"]).select("query_id", "code", "n", _distance("q", "code").alias("distance")).distinct()
         # Of the codes met, those beyond the k + 1 nearest ids cannot be in the answer.
         both = met if found is None else found.join(open_.select("query_id"), "query_id", "left_semi").unionByName(met).distinct()
         ahead = F.coalesce(F.sum("n").over(Window.partitionBy("query_id").orderBy("distance").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
