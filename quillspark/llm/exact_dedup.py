@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.storage import materialise
+
 
 def text_digest(text: Column) -> Column:
     """SHA-256 (lowercase hex) of the unchanged text in UTF-8; a null text counts as the empty one."""
@@ -50,6 +52,8 @@ class DigestIndex:
         """
         rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(F.col(text_col)).alias("digest"))
         groups = rows.groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
+        # Written first: else the join below would move under the grouping and shuffle every row.
+        groups = materialise(groups, "digests")
         known = self.entries().select("digest")
         fresh = groups.join(known.hint("merge"), "digest", "left_anti")
         # One task per bucket, so each delivery adds one file a bucket.
