@@ -15,6 +15,8 @@ from quillspark.storage import materialise
 WORD = r"[^\x20\x09-\x0D]+"
 #: Leading hex digits of the seeded digest that name a slice of a source; 16 ** 4 slices a source.
 SLICE_DIGITS = 4
+#: What is known of up to so many sources is broadcast; beyond, it is joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -125,10 +127,11 @@ def sample_repetitions(sized: DataFrame, targets: DataFrame, seed: int, id_col:
             "_before",
         )
     )
-    # Sources may be few with a third of all rows each: Spark broadcasts facts where they are small by
-    # its own threshold, else skew-join handling splits the large source.
+    if targets.count() <= BROADCAST_SOURCES:
+        facts = F.broadcast(facts)
     joined = rows.join(facts, same).drop("_src")
-    at_edge = joined.where("_slice = _edge")
+    # Dealt anew, so that the join before may split a large source over tasks.
+    at_edge = joined.where("_slice = _edge").repartition("source", "_slice")
     order = Window.partitionBy("source", "_slice").orderBy("_d", "size").rowsBetween(Window.unboundedPreceding, -1)
     sorted_edge = at_edge.withColumn("_left", F.col("_rest") - F.col("_before") - F.coalesce(F.sum("size").over(order), F.lit(0)))
     extra_edge = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_left")))
