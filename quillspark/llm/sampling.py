@@ -21,6 +21,7 @@ def bounded_sample(keys: DataFrame, label: str, per_label: int, seed: int, id_co
     order = F.xxhash64(F.lit(seed), F.col(id_col))
     counts = keys.groupBy(F.col(label).alias("_label")).agg(F.count("*").alias("_n"))
     share = F.pmod(order, F.lit(1 << 40)) / float(1 << 40)
-    near = keys.join(counts, F.col(label) == F.col("_label")).where(share * F.col("_n") < 1.3 * per_label + 50)
+    # One row a label: as many as a model has classes.
+    near = keys.join(F.broadcast(counts), F.col(label) == F.col("_label")).where(share * F.col("_n") < 1.3 * per_label + 50)
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_share", id_col))
     return near.withColumn("_share", share).withColumn("_rank", rank).where(F.col("_rank") <= per_label).select(*keys.columns)
