@@ -19,7 +19,7 @@ SLICE_CHARS = 2_000_000
 #: Words a query contracts at a time.
 QUERY_WORDS = 20_000
 #: Pieces and words remembered, twice: a full memory becomes the old one, and what is used again moves on.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A word takes as many steps as it has merges; beyond this many bytes a heap contracts it instead.
 LONG_WORD = 400
 
