@@ -121,3 +121,44 @@ def topo_levels(edges: DataFrame, max_levels: int = 200) -> DataFrame:
         remove(spark, old), remove(spark, old_left)
     rest = left.select("node", F.lit(None).cast("int").alias("level"))
     return spark.read.schema("node long, level int").parquet(*done).unionByName(rest) if done else rest
+
+
+def reachable_cycles(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(start, cyclic)``: whether a cycle can be reached from each start.
+
+    Peeling the nodes without edges out, round by round, leaves the nodes that reach a cycle.
+    """
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    stuck = topo_levels(back).where("level is null").select(F.col("node").alias("start"), F.lit(True).alias("_c"))
+    return starts.join(stuck, "start", "left").select("start", F.coalesce("_c", F.lit(False)).alias("cyclic"))
+
+
+def dag_layers(edges: DataFrame) -> DataFrame:
+    """``(node, layer)`` by the longest path; nodes on or behind a cycle come one layer past the end."""
+    levels = topo_levels(edges)
+    last = levels.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).alias("_end"))
+    return levels.crossJoin(F.broadcast(last)).select("node", F.coalesce("level", "_end").alias("layer"))
+
+
+def segment_entries(segments: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:
+    """Where each run of part of a pipeline starts: ``(run_id, node)``.
+
+    Known entries in the segment, or, for a segment without any, nodes without a predecessor in it.
+    """
+    known = segments.join(entries.select("node"), "node", "left_semi").select("run_id", "node")
+    other = segments.join(known.select("run_id"), "run_id", "left_anti")
+    inside = other.select("run_id", F.col("node").alias("src")).join(edges.select("src", "dst").where("src <> dst"), "src")
+    led = inside.select("run_id", F.col("dst").alias("node")).distinct()
+    return known.unionByName(other.join(led, ["run_id", "node"], "left_anti").select("run_id", "node")).distinct()
+
+
+def impact_status_map(prompts: DataFrame, nodes: DataFrame, impact: DataFrame) -> DataFrame:
+    """``(prompt_id, statuses)`` before any re-run: all consumers ``unverified``.
+
+    Null for a prompt in no pipeline, an empty map for one without consumers.
+    """
+    found = impact.groupBy(F.col("start").alias("prompt_id")).agg(F.array_sort(F.collect_set("node")).alias("_n"))
+    inside = nodes.select("prompt_id").distinct().withColumn("_in", F.lit(True))
+    both = prompts.join(inside, "prompt_id", "left").join(found, "prompt_id", "left")
+    entries = F.transform(F.coalesce("_n", F.array().cast("array<long>")), lambda n: F.struct(n.alias("k"), F.lit("unverified").alias("v")))
+    return both.select("prompt_id", F.when(F.col("_in"), F.map_from_entries(entries)).alias("statuses"))

@@ -98,3 +98,85 @@ def weakest_dimensions(per_dim: DataFrame, k: int = 2) -> DataFrame:
     hurt = mean.withColumn("impact", F.round((1 - F.col("mean")) * F.col("weight"), 9)).where("impact > 0")
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("impact"), "dimension"))
     return hurt.withColumn("rank", rank).where(F.col("rank") <= k).select("session_id", "dimension", "impact", "rank")
+
+
+def price_images(requests: DataFrame, image_price_book: DataFrame) -> DataFrame:
+    """Cost of ``n`` images by model, size and quality; null where the book lacks them or ``n`` is below 1.
+
+    The book is a fixed table of some rows and is broadcast.
+    """
+    joined = requests.join(F.broadcast(image_price_book), ["model", "size", "quality"], "left")
+    return joined.withColumn("cost_usd", F.when(F.col("n") >= 1, F.col("usd_each") * F.col("n"))).drop("usd_each")
+
+
+def pipeline_run_metrics(outputs: DataFrame) -> DataFrame:
+    """A4: tokens of each pipeline run over its nodes and cases; a failed case counts as zero tokens.
+
+    ``outputs`` has ``run_id``, ``node``, ``case_index``, ``error`` and token counts. ``n_cases`` counts
+    cases, not their nodes: nodes first, so both counts come from one more grouping of a run's cases.
+    """
+    ok = F.col("error").isNull()
+    total = lambda c: F.sum(F.when(ok, F.coalesce(F.col(c), F.lit(0))).otherwise(0)).alias(c)
+    by_case = outputs.groupBy("run_id", "case_index").agg(
+        F.bool_or(~ok).alias("_failed"), F.count("*").alias("_n"), total("input_tokens"), total("output_tokens")
+    )
+    return by_case.groupBy("run_id").agg(
+        F.count("*").alias("n_cases"), F.count_if("_failed").alias("n_failed"), F.sum("_n").alias("n_outputs"),
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+    )
+
+
+def round_cost(costs: DataFrame) -> DataFrame:
+    """A5: cost of each revision round; unpriced calls count as zero and are counted."""
+    return costs.groupBy("session_id", "round").agg(
+        F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 9).alias("cost_usd"), F.count_if(F.col("cost_usd").isNull()).alias("n_unpriced")
+    )
+
+
+def pipeline_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(pipeline_id, n_nodes, n_edges, n_entries, n_exits)``; self-loops are no edges.
+
+    One union of node and edge ends, so a pipeline's counts take two groupings and no join.
+    """
+    own = edges.where("src <> dst").select("pipeline_id", "src", "dst").distinct()
+    one, none = F.lit(1), F.lit(0)
+    marks = (
+        nodes.select("pipeline_id", F.col("prompt_id").alias("node"), one.alias("known"), none.alias("outs"), none.alias("ins"))
+        .unionByName(own.select("pipeline_id", F.col("src").alias("node"), none.alias("known"), one.alias("outs"), none.alias("ins")))
+        .unionByName(own.select("pipeline_id", F.col("dst").alias("node"), none.alias("known"), none.alias("outs"), one.alias("ins")))
+    )
+    by_node = marks.groupBy("pipeline_id", "node").agg(F.max("known").alias("known"), F.sum("outs").alias("outs"), F.sum("ins").alias("ins"))
+    return by_node.groupBy("pipeline_id").agg(
+        F.sum("known").alias("n_nodes"),
+        F.sum("outs").alias("n_edges"),
+        F.count_if((F.col("known") == 1) & (F.col("ins") == 0)).alias("n_entries"),
+        F.count_if((F.col("known") == 1) & (F.col("outs") == 0)).alias("n_exits"),
+    )
+
+
+def scan_summary(**tables: DataFrame) -> DataFrame:
+    """Rows of each table by project, one column a table; a project that a table lacks counts 0."""
+    names = list(tables)
+    whole = None
+    for name, df in tables.items():
+        part = df.select("project", F.lit(name).alias("_t"))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.groupBy("project").agg(*[F.count_if(F.col("_t") == n).alias(f"n_{n}") for n in names])
+
+
+def prompt_cost_estimate(texts: DataFrame, price_book: DataFrame) -> DataFrame:
+    """Cost of running each prompt once: ``(id, tokens_in, tokens_out, cost_usd, status)``.
+
+    ``texts`` is ``(id, text, provider, model)``, with the head version's text, or else the scanned one. A
+    prompt without text or price has a null cost and says so.
+    """
+    from quillspark.functions import text as X
+
+    sized = texts.withColumn("tokens_in", F.when(F.length("text") > 0, X.token_estimate(F.col("text")))).withColumn(
+        "tokens_out", X.output_estimate(F.col("tokens_in"))
+    )
+    sized = sized.withColumn("tokens_out", F.when(F.col("tokens_in").isNotNull(), F.col("tokens_out")))
+    priced = sized.join(F.broadcast(price_book), ["provider", "model"], "left")
+    cost = F.col("tokens_in") * F.col("usd_in") / F.lit(1000.0) + F.col("tokens_out") * F.col("usd_out") / F.lit(1000.0)
+    status = F.when(F.col("tokens_in").isNull(), "no_template").when(F.col("usd_in").isNull(), "unpriced").otherwise("ok")
+    return priced.select("id", "tokens_in", "tokens_out", cost.alias("cost_usd"), status.alias("status"))

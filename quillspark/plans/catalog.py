@@ -2,41 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.fixtures import Fixtures, with_views
+from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
 from quillspark.operators import graph, integrity, iterations, scores, select, versions
+from quillspark.plans.registry import oracle_sql, queries, register
 from quillspark.sources.prices import price_book, price_book_sql
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None) -> Callable[[Callable[[Fixtures], DataFrame]], Query]:
-    """Register a query over fixtures; ``sql`` may use the fixture views by name."""
-
-    def wrap(f: Callable[[Fixtures], DataFrame]) -> Query:
-        query = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        _QUERIES[name] = query
-        if sql is not None:
-            _SQL[name] = with_views(sql)
-        return query
-
-    return wrap
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
+__all__ = ["oracle_sql", "queries"]
 
 # Projections and filters -------------------------------------------------------------------------
 
@@ -402,3 +377,6 @@ def run_events(events: DataFrame) -> DataFrame:
     """Status events of runs out of the general event table."""
     status = F.when(F.col("event_type") == "signup", "running").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
     return events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), status.alias("status")).where("status is not null")
+
+
+from quillspark.plans import evaluation  # noqa: E402, F401  registers its queries here
