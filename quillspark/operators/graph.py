@@ -136,8 +136,8 @@ def reachable_cycles(edges: DataFrame, starts: DataFrame) -> DataFrame:
 def dag_layers(edges: DataFrame) -> DataFrame:
     """``(node, layer)`` by the longest path; nodes on or behind a cycle come one layer past the end."""
     levels = topo_levels(edges)
-    last = levels.agg((F.coalesce(F.max("level"), F.lit(-1)) + 1).alias("_end"))
-    return levels.crossJoin(F.broadcast(last)).select("node", F.coalesce("level", "_end").alias("layer"))
+    end = levels.agg(F.coalesce(F.max("level"), F.lit(-1)) + 1).first()[0]
+    return levels.select("node", F.coalesce("level", F.lit(end)).alias("layer"))
 
 
 def segment_entries(segments: DataFrame, edges: DataFrame, entries: DataFrame) -> DataFrame:

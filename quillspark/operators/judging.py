@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -33,17 +35,22 @@ def active_dimensions(prompts: DataFrame, project_dims: DataFrame, prompt_dims:
     return listed.select("prompt_id", F.inline(F.coalesce("_own", "_project", default)))
 
 
-def judge_replies(replies: DataFrame, dims: DataFrame, keys: list[str], on: list[str] | None = None) -> DataFrame:
+def rubric(dims: Sequence[tuple[str, float]]) -> Column:
+    """One row a dimension, for a rubric that all rows share."""
+    return F.inline(F.array(*[F.struct(F.lit(d).alias("dimension"), F.lit(float(w)).alias("weight")) for d, w in dims]))
+
+
+def judge_replies(replies: DataFrame, dims: DataFrame | Sequence[tuple[str, float]], keys: list[str], on: list[str] | None = None) -> DataFrame:
     """``(*keys, dimension, weight, score, critique)`` of each reply.
 
     A dimension that a reply lacks has score 0, others in it are ignored, and a reply without a JSON
-    object is all zeros. A critique that is no string is ''. Without ``on``, every reply is judged by
-    all of ``dims``, a rubric of some rows.
+    object is all zeros. A critique that is no string is ''. ``dims`` is a table joined by the columns
+    ``on``, or the pairs of name and weight that judge every reply.
     """
     critique = F.try_variant_get(F.try_parse_json("_o"), "$.critique", "variant")
     said = F.when(F.schema_of_variant(critique) == "STRING", F.try_variant_get(F.try_parse_json("_o"), "$.critique", "string"))
     read = replies.withColumn("_o", X.json_object(F.col("reply"))).withColumn("critique", F.coalesce(said, F.lit("")))
-    each = read.join(dims, on) if on else read.crossJoin(F.broadcast(dims))
+    each = read.join(dims, on) if on else read.select("*", rubric(dims))
     raw = F.expr("get_json_object(_o, concat('$[\\'', dimension, '\\']'))")
     return each.select(*keys, "dimension", "weight", X.score(raw).alias("score"), "critique")
 
@@ -54,13 +61,10 @@ def weighted_total(per_dim: DataFrame, keys: list[str]) -> DataFrame:
     return per_dim.groupBy(*keys).agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)).alias("weighted_total"))
 
 
-def round_per_dim(rounds: DataFrame, dims: DataFrame, per_dim: DataFrame, key: str) -> DataFrame:
-    """Mean score of each active dimension in each round, 0.0 where no case has one.
-
-    ``dims`` is a rubric of some rows.
-    """
+def round_per_dim(rounds: DataFrame, dims: Sequence[tuple[str, float]], per_dim: DataFrame, key: str) -> DataFrame:
+    """Mean score of each active dimension in each round, 0.0 where no case has one."""
     means = per_dim.groupBy(key, "dimension").agg(F.avg("score").alias("_mean"))
-    wanted = rounds.select(key).distinct().crossJoin(F.broadcast(dims.select("dimension")))
+    wanted = rounds.select(key).distinct().select(key, rubric(dims)).drop("weight")
     return wanted.join(means, [key, "dimension"], "left").select(key, "dimension", F.coalesce("_mean", F.lit(0.0)).alias("mean"))
 
 

@@ -57,29 +57,23 @@ register(
         )
     )(fx.prompts.where("id % 7 = 0").select(F.col("id").alias("prompt_id")))
 )
-
-
-def default_dims(fx):
-    return fx.spark.createDataFrame(list(judging.DEFAULT_DIMENSIONS), "dimension string, weight double")
-
-
 _JUDGED = f"""j as (select doc_id as case_id, d.dimension, d.weight, case doc_id % 5
          when 0 then case d.dimension when 'accuracy' then least(1.0::double, greatest(0, quality)) when 'relevance' then 0.5::double when 'safety' then 1.0::double else 0.0::double end
          when 1 then case d.dimension when 'accuracy' then 0.75::double when 'relevance' then toxic::double when 'format' then 1.0::double else 0.0::double end
          when 2 then case d.dimension when 'accuracy' then 0.25::double else 0.0::double end else 0.0::double end as score,
          case doc_id % 5 when 0 then concat('c', doc_id) when 2 then 'low' else '' end as critique from labels, {_DEFAULTS})"""
 register("x13_judge_replies", f"with {_JUDGED} select case_id, dimension, weight, score, critique from j")(
-    lambda fx: judging.judge_replies(fx.judge_replies, default_dims(fx), ["case_id"])
+    lambda fx: judging.judge_replies(fx.judge_replies, judging.DEFAULT_DIMENSIONS, ["case_id"])
 )
 register("a8_weighted_total", f"with {_JUDGED} select case_id, round(sum(score * weight), 9) as weighted_total from j group by 1")(
-    lambda fx: judging.weighted_total(judging.judge_replies(fx.judge_replies, default_dims(fx), ["case_id"]), ["case_id"])
+    lambda fx: judging.weighted_total(judging.judge_replies(fx.judge_replies, judging.DEFAULT_DIMENSIONS, ["case_id"]), ["case_id"])
 )
 register(
     "u5_score_rows",
     f"""with {_JUDGED} select case_id as run_id, 0 as case_index, 'llm' as judge_kind, 'rubric' as judge_name, round(sum(score * weight), 9) as score, nullif(max(critique), '') as critique from j group by 1""",
 )(
     lambda fx: judging.score_rows(
-        judging.weighted_total(judging.judge_replies(fx.judge_replies, default_dims(fx), ["case_id"]), ["case_id", "critique"]).select(
+        judging.weighted_total(judging.judge_replies(fx.judge_replies, judging.DEFAULT_DIMENSIONS, ["case_id"]), ["case_id", "critique"]).select(
             F.col("case_id").alias("run_id"), F.lit(0).alias("case_index"), "weighted_total", "critique"
         ),
         "rubric",
@@ -91,7 +85,7 @@ register(
        left join fx_scores s on s.run_id = r.run_id and s.judge_kind = k.dimension group by 1, 2""",
 )(
     lambda fx: judging.round_per_dim(
-        fx.runs, fx.spark.createDataFrame([("rule",), ("llm",), ("style",)], "dimension string"), fx.scores.withColumnRenamed("judge_kind", "dimension"), "run_id"
+        fx.runs, [("rule", 1), ("llm", 1), ("style", 1)], fx.scores.withColumnRenamed("judge_kind", "dimension"), "run_id"
     )
 )
 register(
