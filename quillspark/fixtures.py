@@ -79,6 +79,21 @@ select c_custkey as id, concat('prompt_', c_custkey % 400) as name,
   case when c_custkey % 5 = 0 then 'unresolved' else 'literal' end as template_kind,
   concat('rules ', c_custkey) as system_text, concat('do {x} for ', c_custkey) as user_text,
   c_custkey % 50 as project
+from customer""",
+    "fx_code_files": r"""
+select concat('p', c_custkey % 50, '/f', c_custkey, '.py') as file, c_custkey as file_id, c_custkey % 7 as shape, case c_custkey % 7
+  when 0 then concat('import openai', chr(10), 'SYSTEM_PROMPT = "Be kind ', c_custkey, '"', chr(10), 'def ask(q: str, n=1):', chr(10), '    r = client.chat.completions.create(model="m", messages=[{"role": "system", "content": "Hi"}, {"role": "user", "content": q}])', chr(10),
+    '    return self.llm.invoke(prompt="next", context=r)', chr(10))
+  when 1 then concat('import anthropic', chr(10), 'TONE = "calm ', c_custkey, '"', chr(10), 'def build_x_messages(q):', chr(10), '    return [{"role": "user", "content": TONE}]', chr(10), 'ms = build_x_messages(1)', chr(10), 'out = client.messages.create(system="Sys", messages=ms)', chr(10))
+  when 2 then concat('a = llm.invoke(prompt="a") | x | llm.invoke(prompt="b")', chr(10), 'y = client.messages.create(messages=[1])', chr(10))
+  when 3 then concat('def broken(:', chr(10), c_custkey)
+  when 4 then concat('data = {"input": "v', c_custkey, '", "n": "2"}', chr(10), 'other = {"zzz": 1}', chr(10))
+  when 5 then concat('from llama_index.core import X', chr(10), 'def f():', chr(10), '    return llm.chat(messages=[{"role": "user", "content": "1"}])', chr(10), 'def g(v):', chr(10), '    z = llm.chat(messages=[{"role": "user", "content": "2"}])', chr(10), '    return z', chr(10),
+    'e = idx.as_query_engine()', chr(10), 'g(f())', chr(10))
+  else concat('class C', c_custkey, ':', chr(10), '    def __init__(self, k: int):', chr(10), '        self.a = C', c_custkey, '()', chr(10), '        self.b = C', case when c_custkey % 14 = 6 then c_custkey + 7 else c_custkey end, '()', chr(10),
+    '    def p(self):', chr(10), '        return self.llm.run(prompt="p")', chr(10), '    def q(self):', chr(10), '        return self.llm.run(prompt="q")', chr(10), '    def r(self):', chr(10), '        return self.llm.run(prompt="r")', chr(10),
+    '    def go(self):', chr(10), '        self.p()', chr(10), '        if 1:', chr(10), '            self.q()', chr(10), '        self.r()', chr(10),
+    '    def both(self):', chr(10), '        self.a.p()', chr(10), '        self.b.p()', chr(10)) end as content
 from customer""",
     "fx_nodes": """
 select distinct src % 97 as pipeline_id, src as prompt_id from fx_edges

@@ -379,4 +379,4 @@ def run_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), status.alias("status")).where("status is not null")
 
 
-from quillspark.plans import evaluation, jobs  # noqa: E402, F401  registers its queries here
+from quillspark.plans import code, evaluation, jobs  # noqa: E402, F401  registers its queries here

@@ -72,7 +72,8 @@ def load_corpus(spark: SparkSession, roots: Sequence[str], ignore_dirs: Sequence
     """``(project, file, kind, content)`` of all files under project roots, without ignored folders.
 
     ``kind`` is ``python``, ``env`` or ``config``; other files are not read. Bytes that are no UTF-8 are
-    replaced.
+    replaced. Spark's readers skip names that start with a dot or an underscore, so a plain ``.env`` has to be
+    landed under another name, such as ``app.env``.
     """
     whole = None
     for root in roots:

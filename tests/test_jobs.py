@@ -1,0 +1,108 @@
+"""Sources, streams over several triggers, failing calls and code facts on hand-written rows."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillspark.operators import cases, corpus, inference, judging
+from quillspark.operators.iterations import Convergence
+from quillspark.sources import tables
+from quillspark.sources.pyfacts import file_facts
+from quillspark.streaming import jobs
+
+
+def test_outputs_with_broken_and_blank_lines(spark, tmp_path):
+    run = tmp_path / "run_id=r1"
+    run.mkdir()
+    (run / "a.json").write_text('{"case_index": 1, "text": "x"}\n\n{"case_index": "y"}\n{"case\n')
+    good, bad = tables.read_outputs(spark, str(tmp_path))
+    assert [(r.run_id, r.case_index, r.text) for r in good.collect()] == [("r1", 1, "x")]
+    assert sorted(r.line for r in bad.collect()) == ['{"case', '{"case_index": "y"}']
+
+
+def test_corpus_leaves_ignored_folders_and_other_files_out(spark, tmp_path):
+    for name in ("a.py", "src/b.py", ".git/c.py", "src/app.env", "notes.txt", "config.yaml"):
+        at = tmp_path / name
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(f"# {name}")
+    got = tables.load_corpus(spark, [str(tmp_path)]).collect()
+    assert sorted((r.file, r.kind, r.content) for r in got) == sorted(
+        [("a.py", "python", "# a.py"), ("src/b.py", "python", "# src/b.py"), ("src/app.env", "env", "# src/app.env"), ("config.yaml", "config", "# config.yaml")]
+    )
+
+
+def test_tables_that_were_never_written_are_empty(spark, tmp_path):
+    stored = tables.Tables(spark, str(tmp_path))
+    assert stored.read("runs").count() == 0
+    stored.append("scores", spark.createDataFrame([("r", 0, "llm", "j", 0.5, None)], tables.SCHEMAS["scores"]))
+    assert stored.read("scores").count() == 1
+
+
+def test_convergence_over_triggers(spark, tmp_path):
+    rounds = [0.5, 0.5, 0.5, 0.9]
+    for i, score in enumerate(rounds):
+        spark.createDataFrame([("s", i + 1, score)], "session_id string, round int, weighted_score double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session_id string, round int, weighted_score double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got = jobs.append_all(jobs.stream_convergence(stream, Convergence()), "convergence").collect()
+    assert [(r.session_id, r.stop_round, r.reason) for r in got] == [("s", 3, "stagnation")]
+
+
+def test_a_failing_call_fails_no_other_row(spark):
+    df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, prompt string")
+    got = {r.id: (r.reply, r.error) for r in inference.call_model(df, F.col("prompt"), inference.EchoBackend(fail_on="bad")).collect()}
+    assert got == {1: ("echo: ok", None), 2: (None, "RuntimeError: refused"), 3: (None, "no prompt")}
+
+
+def test_a_case_ends_at_its_first_failing_node(spark):
+    prompts = spark.createDataFrame([(1, 1, "{q}"), (1, 2, "then {a}")], "pipeline_id long, node long, template string")
+    edges = spark.createDataFrame([(1, 2, "a", 0)], "src long, dst long, via string, pos int")
+    data = spark.createDataFrame([(1, 0, {"q": "fine"}), (1, 1, {"q": "bad"})], "pipeline_id long, case_index int, inputs map<string,string>")
+    got = {(r.node, r.case_index): r.text for r in inference.run_pipelines(prompts, edges, data, inference.EchoBackend(fail_on="bad")).collect()}
+    assert got == {(1, 0): "echo: fine", (1, 1): None, (2, 0): "echo: then echo: fine"}
+
+
+def test_invalid_dimension_lists_count_as_absent(spark):
+    prompts = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "prompt_id int, project string")
+    project = spark.createDataFrame([("p", "tone", 1.0)], "project string, dimension string, weight double")
+    own = spark.createDataFrame([(1, "x", 0.5), (2, "y", 0.5), (2, " ", 0.5), (3, "z", None)], "prompt_id int, dimension string, weight double")
+    got = sorted((r.prompt_id, r.dimension) for r in judging.active_dimensions(prompts, project, own).collect())
+    assert got == [(1, "x"), (2, "tone"), *[(3, d) for d in ("accuracy", "format", "relevance", "safety")]]
+
+
+def test_replies_that_list_cases(spark):
+    replies = ['[{"a": 1}, 2, null]', "none", "[", "[]", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "id int, r string")
+    got = {r.id: r.o for r in df.select("id", cases.json_objects(F.col("r")).alias("o")).collect()}
+    assert got == {0: ['{"a":1}'], 1: None, 2: None, 3: [], 4: None}
+
+
+def test_negative_tolerance_is_refused(spark):
+    df = spark.createDataFrame([(1, 0.5)], "node int, score double")
+    with pytest.raises(ValueError):
+        judging.assess_status(df, df, -0.1)
+
+
+def test_file_facts():
+    assert [r["fact"] for r in file_facts("f", "def (")] == ["warning"]
+    assert file_facts("f", None) == []
+    rows = file_facts("f", 'x = {"input": "a", "n": [1]}\nasync def g(q):\n    y = await c.chat(prompt=f"hi {q}")\n    return y\n')
+    assert [json.loads(r["text"]) for r in rows if r["fact"] == "dict"] == [{"input": "a", "n": [1]}]
+    assert [(r["value"], r["text"]) for r in rows if r["fact"] == "message"] == [("fstring", "hi {q}")]
+    assert [(r["name"], r["value"]) for r in rows if r["fact"] == "assign"] == [("x", "other"), ("y", "call")]
+
+
+def test_an_empty_corpus(spark):
+    facts = corpus.Facts(spark.createDataFrame([], "file string, content string"))
+    assert corpus.prompt_sites(facts).count() == 0
+
+
+def test_names_in_a_loop_stay_unresolved(spark):
+    code = 'A = B\nB = A\nC = D\nD = "text"\ndef build_x_prompt(q):\n    return [{"role": "user", "content": A}, {"role": "user", "content": C}]\n'
+    facts = corpus.Facts(spark.createDataFrame([("f.py", code)], "file string, content string"))
+    templates = corpus.match_templates(facts)
+    said = corpus.site_messages(facts, templates).join(templates.select("id", "file", "scope"), "id")
+    got = sorted((r.pos, r.kind, r.text) for r in corpus.resolve_names(said, facts).collect())
+    assert got == [(1, "unresolved", "A"), (2, "literal", "text")]
