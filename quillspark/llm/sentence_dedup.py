@@ -93,7 +93,7 @@ def dedup_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     # Written first, so that the semi-join's stage holds no grouping and a frequent span's rows can be split.
     again = materialise(runs.groupBy("h1").count().where("count > 1").select("h1"), "again")
     some = materialise(runs.join(again, "h1", "left_semi"), "spans")
-    firsts = some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1")
+    firsts = materialise(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1"), "firsts")
     later = some.join(firsts, ["h1", "h2"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
