@@ -24,7 +24,7 @@ UNDETERMINED = "und"
 
 @functools.lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
-    return np.array([chr(c).isalpha() for c in range(1 << 16)])
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
 
 
 def ngram_counts(text: str | None) -> np.ndarray | None:
@@ -35,7 +35,7 @@ def ngram_counts(text: str | None) -> np.ndarray | None:
     if not text:
         return None
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = np.where(codes < 1 << 16, _letters()[np.minimum(codes, (1 << 16) - 1)], True)
+    letter = _letters()[codes]
     if not letter.any():
         return None
     codes = np.where(letter, codes, np.uint32(32))

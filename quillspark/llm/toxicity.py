@@ -33,6 +33,8 @@ IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
     ("femmes", "hommes"),
     ("mujeres", "hombres"),
 )
+#: Lengths of the beginnings of words that count beside the words, as inflected forms share them.
+PREFIXES = (4, 5)
 _WORD = re.compile(r"\w+")
 
 
@@ -41,6 +43,11 @@ def words(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
+def features(present: set[str]) -> set[str]:
+    """The words and their beginnings; a beginning ends in ``*``, which no word holds."""
+    return present | {f"{w[:k]}*" for w in present for k in PREFIXES if len(w) >= k}
+
+
 def swaps(present: set[str], terms: Sequence[Sequence[str]]) -> Iterator[set[str]]:
     """The same words with each group's identity terms moved on by one, two, ... places."""
     groups = [g for g in terms if present & set(g)]
@@ -57,14 +64,14 @@ class ToxicityModel:
 
     def score(self, text: str | None) -> float:
         known = self.weights
-        total = self.bias + sum(known[w] for w in known.keys() & words(text))
+        total = self.bias + sum(known[w] for w in known.keys() & features(words(text)))
         return float(1 / (1 + np.exp(-max(-40.0, min(40.0, total)))))
 
 
 def train(
     rows: list[tuple[set[str], int]], terms: Sequence[Sequence[str]] = IDENTITY_TERMS, penalty: float = PENALTY, seed: int = 3, epochs: int = EPOCHS
 ) -> ToxicityModel:
-    """Logistic regression on distinct words, by FTRL with elastic-net penalties.
+    """Logistic regression on distinct words and their beginnings, by FTRL with elastic-net penalties.
 
     For each labelled row that names a group, each epoch also takes one of its swapped versions and
     steps against ``penalty * (score - swapped score)**2`` (scores before the logistic function). Words
@@ -72,12 +79,12 @@ def train(
     """
     count: dict[str, int] = {}
     for present, _ in rows:
-        for w in present:
+        for w in features(present):
             count[w] = count.get(w, 0) + 1
     named = {t for g in terms for t in g}
     vocabulary = sorted(w for w, n in count.items() if n >= 3 or w in named) + sorted(named - set(count))
     number = {w: i for i, w in enumerate(vocabulary)}
-    index = lambda present: np.array(sorted(number[w] for w in present if w in number), dtype=np.int64)
+    index = lambda present: np.array(sorted(number[w] for w in features(present) if w in number), dtype=np.int64)
     base = sum(y for _, y in rows) / len(rows) if rows else 0.0
     bias = float(np.log((base + 1e-3) / (1 - base + 1e-3))) if rows else -40.0
     data = [(index(p), y, [index(s) for s in swaps(p, terms)]) for p, y in rows]

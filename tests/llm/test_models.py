@@ -67,7 +67,7 @@ def test_language(spark):
 
 def test_language_odd(spark):
     rows = [(i, t, lang, 1) for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 30)]
-    rows += [(900, None, "en", 1), (901, "", "en", 1), (902, "123 !!", None, 1), (None, "the dog", "en", 1), (903, "the " * 50_000, None, 1)]
+    rows += [(900, None, "en", 1), (901, "", "en", 1), (902, "123 !! \U0001f600", None, 1), (None, "the dog", "en", 1), (903, "the " * 50_000, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(df).collect()}
     assert got[900] == got[901] == got[902] == ("und", 0.0) and got[903][0] == "en" and got[1][0] == "de"
@@ -100,6 +100,15 @@ def test_counterfactual_penalty():
     assert free.score("w1 w2 women") > fair.score("w1 w2 women") and fair.score("vile w1") > 0.5
 
 
+def test_toxicity_word_forms():
+    """A form never seen in training counts by its beginning."""
+    rng = random.Random(1)
+    fill = [f"w{k}" for k in range(40)]
+    rows = [({*rng.sample(fill, 6), *([f"grumble{k}"] if k % 2 else [])}, k % 2) for k in range(400)]
+    model = toxicity.train(rows)
+    assert model.score("w1 w2 grumblesome") > 0.5 > model.score("w1 w2 grand")
+
+
 def test_toxicity_odd(spark):
     docs = spark.createDataFrame([(1, None, 2), (2, "", 2), (None, "awful", 2), (3, "x " * 200_000, 2)], "doc_id long, text string, score int")
     labels = spark.createDataFrame([(1, None), (None, 1), (9, 1)], "doc_id long, toxic int")
