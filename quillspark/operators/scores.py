@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,13 +71,18 @@ def over_budget(runs: DataFrame, group: str, limit: float) -> DataFrame:
     return runs.groupBy(group).agg(F.sum("cost_usd").alias("cost_usd")).where(F.col("cost_usd") > limit)
 
 
+def usd(input_tokens: Column, output_tokens: Column, usd_in: Column, usd_out: Column) -> Column:
+    """Cost of tokens at prices for a thousand in and out."""
+    return input_tokens * usd_in / F.lit(1000.0) + output_tokens * usd_out / F.lit(1000.0)
+
+
 def price_usage(outputs: DataFrame, price_book: DataFrame) -> DataFrame:
     """Cost by the price book; a model that it lacks has a null cost and ``priced`` false.
 
     The book has one row a model offered anywhere, some hundreds, and is broadcast.
     """
     joined = outputs.join(F.broadcast(price_book), ["provider", "model"], "left")
-    cost = F.col("input_tokens") * F.col("usd_in") / F.lit(1000.0) + F.col("output_tokens") * F.col("usd_out") / F.lit(1000.0)
+    cost = usd(F.col("input_tokens"), F.col("output_tokens"), F.col("usd_in"), F.col("usd_out"))
     return joined.select(*outputs.columns, cost.alias("cost_usd"), F.col("usd_in").isNotNull().alias("priced"))
 
 

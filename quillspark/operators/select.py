@@ -12,6 +12,21 @@ def list_prompts(prompts: DataFrame, name: str | None = None, order: str = "id")
     return (prompts if name is None else prompts.where(F.col("name") == name)).orderBy(order)
 
 
+def score_listing(scores: DataFrame) -> DataFrame:
+    """L4: scores by run, case, kind and judge; the sort is by ranges, so no task sees all rows."""
+    return scores.orderBy("run_id", "case_index", "judge_kind", "judge_name")
+
+
+def feedback_listing(feedback: DataFrame) -> DataFrame:
+    """L4: feedback of each run in the order it came."""
+    return feedback.orderBy("run_id", "id")
+
+
+def version_listing(versions: DataFrame) -> DataFrame:
+    """L4: versions of each prompt, ascending."""
+    return versions.orderBy("prompt_id", "version")
+
+
 def rows_for(df: DataFrame, run_id: int) -> DataFrame:
     """A run's rows; the filter reaches the scan."""
     return df.where(F.col("run_id") == run_id)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,7 +66,7 @@ def rollback(requests: DataFrame, versions: DataFrame) -> DataFrame:
         F.when(ok, F.col("_head") + 1).alias("version"),
         F.when(ok, F.col("to_version")).alias("parent_version"),
         "template",
-        F.when(ok, F.concat(F.lit("rollback to v"), F.col("to_version").cast("string"))).alias("note"),
+        F.when(ok, rollback_note(F.col("to_version"))).alias("note"),
         F.when(~ok, F.lit("no such version")).alias("error"),
     )
 
@@ -88,10 +88,19 @@ def version_line_changes(pairs: DataFrame, versions: DataFrame) -> DataFrame:
     return both.select("prompt_id", "old", "new", "line", "nth", change.alias("change"))
 
 
+def run_note(prefix: Column, run_id: Column, n: Column) -> Column:
+    """What a version made from a run says of it."""
+    return F.format_string("%s from run %s (%d feedback)", prefix, run_id.cast("string"), n)
+
+
+def rollback_note(to_version: Column) -> Column:
+    """What a version that goes back to another says."""
+    return F.concat(F.lit("rollback to v"), to_version.cast("string"))
+
+
 def fork_versions(runs: DataFrame, feedback: DataFrame, versions: DataFrame) -> DataFrame:
     """V5: a new version from each run's version, noting the run and how much feedback it had."""
     n = runs.join(feedback_summary(feedback), "run_id", "left").select(
         "run_id", F.col("target_id").alias("prompt_id"), F.col("target_version").alias("parent_version"), F.coalesce("n", F.lit(0)).alias("n")
     )
-    note = F.format_string("iterate from run %s (%d feedback)", F.col("run_id").cast("string"), F.col("n"))
-    return allocate_versions(n.withColumn("note", note).drop("n"), versions, "run_id")
+    return allocate_versions(n.withColumn("note", run_note(F.lit("iterate"), F.col("run_id"), F.col("n"))).drop("n"), versions, "run_id")

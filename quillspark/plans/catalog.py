@@ -203,6 +203,11 @@ register("l2_session_rounds", "select id, session_id, round from fx_iterations w
 register("l3_newest_iterations", "select id, prompt_id from (select *, row_number() over (partition by prompt_id order by started_at desc, id desc) as k from fx_iterations) t where k <= 3")(
     lambda fx: iterations.newest_iterations(fx.iterations, 3).select("id", "prompt_id")
 )
+register("l4_score_listing", "select run_id, case_index, judge_kind, judge_name, score from fx_scores order by 1, 2, 3, 4")(lambda fx: select.score_listing(fx.scores))
+register("l4_feedback_listing", "select id, run_id, case_index, rating, critique, created_at from fx_feedback order by run_id, id")(lambda fx: select.feedback_listing(fx.feedback))
+register("l4_version_listing", "select prompt_id, version, created_by, template from fx_prompt_versions order by 1, 2")(
+    lambda fx: select.version_listing(fx.prompt_versions).select("prompt_id", "version", "created_by", "template")
+)
 register("l5_first_cases", "select case_id, prompt_id from (select *, row_number() over (partition by prompt_id order by case_id) as k from fx_cases) t where k <= 5")(
     lambda fx: select.first_cases(fx.cases, 5).select("case_id", "prompt_id")
 )
@@ -345,6 +350,16 @@ register(
        join (select prompt_id, max(version) as v from fx_prompt_versions group by 1) h on h.prompt_id = r.target_id""",
 )(lambda fx: versions.fork_versions(fx.runs, fx.feedback, fx.prompt_versions))
 
+register(
+    "x27_version_notes",
+    "select prompt_id, version, 'revise from run ' || version || ' (' || coalesce(parent_version, 0) || ' feedback)' as made, 'rollback to v' || parent_version as undone from fx_prompt_versions",
+)(
+    lambda fx: fx.prompt_versions.select(
+        "prompt_id", "version", versions.run_note(F.lit("revise"), F.col("version"), F.coalesce("parent_version", F.lit(0))).alias("made"),
+        versions.rollback_note(F.col("parent_version")).alias("undone"),
+    )
+)
+
 # Graphs ------------------------------------------------------------------------------------------
 
 _REACH = "with recursive u(a, b) as (select src, dst from fx_edges union select dst, src from fx_edges), r(n, m) as (select a, a from u union select r.n, u.b from r join u on u.a = r.m), c as (select n as node, min(m) as component from r group by 1)"

@@ -398,6 +398,22 @@ register(
 register(
     "x21_call_confidence", "select id, case when id % 3 = 0 then 'medium' else 'high' end as confidence from fx_prompts"
 )(lambda fx: fx.prompts.select("id", inventory.call_confidence(F.expr("case when id % 3 = 0 then array('unresolved') when id % 3 = 1 then array('unresolved', 'literal') else array('fstring') end")).alias("confidence")))
+register(
+    "x8_usd", "select run_id, case_index, input_tokens * 0.0025::double / 1000 + output_tokens * 0.01::double / 1000 as cost_usd from fx_outputs"
+)(lambda fx: fx.outputs.select("run_id", "case_index", scores.usd(F.col("input_tokens"), F.col("output_tokens"), F.lit(0.0025), F.lit(0.01)).alias("cost_usd")))
+register(
+    "x20_key_provider",
+    """select c_custkey as id, case c_custkey % 8 when 0 then 'openai' when 1 then 'openai' when 2 then 'anthropic' when 4 then 'langchain' when 5 then 'llamaindex' when 6 then 'dashscope' end as provider from customer""",
+)(
+    lambda fx: fx.customer.select(
+        F.col("c_custkey").alias("id"),
+        inventory.key_provider(
+            F.expr(
+                "case c_custkey % 8 when 0 then 'OPENAI_API_KEY' when 1 then 'OPENAI_ORG' when 2 then 'ANTHROPIC_API_KEY' when 3 then concat('MY_', c_mktsegment, '_ANTHROPIC_API_KEY') when 4 then 'LANGSMITH_API_KEY' when 5 then concat('LLAMAINDEX_', c_mktsegment) when 6 then 'DASHSCOPE_API_KEY' else c_mktsegment end"
+            )
+        ).alias("provider"),
+    )
+)
 register(
     "k8_provider_evidence",
     """with l as (select c_custkey as id, concat('d', c_custkey, '/', case c_custkey % 3 when 0 then '.env' when 1 then 'config.yaml' else 'notes.txt' end) as file, c_custkey % 4 as k, c_custkey % 2 as c, c_custkey % 3 as s from customer)

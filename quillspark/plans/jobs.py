@@ -207,13 +207,38 @@ register("u2_run_pipelines", f"{_LINE} select node, case_index, text, null::varc
         ).select("node", "case_index", "text", "error")
     )(fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
 )
-register("u8_iterate_sessions")(
+register(
+    "u8_iterate_sessions",
+    """with r as (select prompt_id as session_id, cast(n as int) as round, template || repeat(' Again.', n - 1) as template from fx_prompt_versions cross join (values (1), (2), (3), (4), (5)) v(n) where version = 1),
+         k as (select id as session_id, cast(id as varchar) as question from fx_feedback),
+         j as (select r.session_id, round, length('Score the output from 0 to 1 on each dimension and reply with one JSON object.' || chr(10) || chr(10) || 'Dimensions: accuracy, relevance, safety, format' || chr(10) || chr(10) || 'Output: echo: ' || replace(template, '{question}', question)) as n
+               from r join k on k.session_id = r.session_id),
+         m as (select session_id, round, round(avg(round(n % 5 / 4.0::double * 0.4::double + (n + 1) % 5 / 4.0::double * 0.3::double + (n + 2) % 5 / 4.0::double * 0.15::double + (n + 3) % 5 / 4.0::double * 0.15::double, 9)), 9) as score from j group by 1, 2),
+         c as (select r.session_id, r.round, r.template, coalesce(m.score, 0.0::double) as weighted_score from r left join m on m.session_id = r.session_id and m.round = r.round),
+         w as (select *, first_value(weighted_score) over p as first_score, abs(weighted_score - lag(weighted_score) over p) as step from c window p as (partition by session_id order by round)),
+         d as (select *, case when round < 2 then null when weighted_score - first_score >= 0.15 then 'delta'
+                 when round >= 3 and max(step) over (partition by session_id order by round rows between 1 preceding and current row) < 0.02 then 'stagnation' when round >= 5 then 'max_rounds' end as reason from w),
+         e as (select session_id, min(round) as stop from d where reason is not null group by 1)
+       select d.session_id, d.round, d.template, d.weighted_score, 'auto' as revise_mode, d.reason from d join e on e.session_id = d.session_id where d.round <= e.stop""",
+)(
     lambda fx: inference.iterate_sessions(
         fx.prompt_versions.where("version = 1").select(F.col("prompt_id").alias("session_id"), "template"),
         fx.feedback.select((F.col("run_id") / 2).cast("long").alias("session_id"), "case_index", F.create_map(F.lit("question"), F.col("id").cast("string")).alias("inputs")),
         judging.DEFAULT_DIMENSIONS, inference.EchoBackend(), inference.ScoringBackend(), _Longer(),
     )
 )
+register(
+    "x26_prompt_texts",
+    """select run_id, case_index,
+         concat_ws(chr(10) || chr(10), 'Score the output from 0 to 1 on each dimension and reply with one JSON object.', 'Dimensions: accuracy, relevance', 'Output: ' || coalesce(text, '(no output)')) as judge,
+         concat_ws(chr(10) || chr(10), 'Improve the template. Reply with one JSON object with "revised_template" and "rationale".', 'Template: ' || provider, 'seen by ' || model, 'Instruction: ' || error) as critic
+       from fx_outputs""",
+)(
+    lambda fx: fx.outputs.select(
+        "run_id", "case_index", inference.judge_prompt("accuracy, relevance", F.col("text")).alias("judge"),
+        inference.critic_prompt(F.col("provider"), F.concat(F.lit("seen by "), "model"), F.col("error")).alias("critic"),
+    )
+)
 register(
     "u9_enrich_sites",
     """select id, case when confidence = 'high' then 'high' when id % 2 = 0 then 'high' else 'medium' end as confidence, coalesce(nullif(trim(purpose), ''), 'p' || id) as purpose from fx_prompts where confidence = 'high' or id % 7 <> 1""",
