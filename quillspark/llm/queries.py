@@ -30,7 +30,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_dedup.dedup_sentences(_table(spark, sf_dir, "documents"))
+    return sentence_dedup.dedup_runs(_table(spark, sf_dir, "documents"))
 
 
 def op5_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

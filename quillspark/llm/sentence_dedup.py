@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -41,14 +41,44 @@ def spans_of(parts: list[str], min_sentences: int, min_words: int) -> Iterator[t
         have -= words[start]
 
 
-def _spans(min_sentences: int, min_words: int):
+def runs_of(parts: list[str], n: int = MIN_SENTENCES) -> Iterator[tuple[int, int]]:
+    """``(start, n)``: every run of ``n`` sentences, or the whole text if it has fewer.
+
+    Pieces without any character but spaces (a text's first may be one) are no sentences and go with
+    the next.
+    """
+    real = [k for k, p in enumerate(parts) if p]
+    if len(real) < n:
+        if parts:
+            yield 0, len(parts)
+        return
+    for k, (a, b) in enumerate(zip(real, real[n - 1 :])):
+        start = a if k else 0
+        yield start, b + 1 - start
+
+
+def _whole(parts: list[str]) -> Iterator[tuple[int, int, int]]:
+    """Runs by the digests of their sentences, so that no joint can be mistaken for a sentence's own text."""
+    each = [xxhash.xxh3_128_digest(p) if p else b"" for p in parts]
+    for start, n in runs_of(parts):
+        yield start, n, xxhash.xxh3_128_intdigest(b"".join(each[start : start + n]))
+
+
+def _at_least(min_sentences: int, min_words: int):
+    def rows(parts: list[str]) -> Iterator[tuple[int, int, int]]:
+        for start, n in spans_of(parts, min_sentences, min_words):
+            yield start, n, xxhash.xxh3_128_intdigest(" ".join(parts[start : start + n]))
+
+    return rows
+
+
+def _spans(runs: Callable[[list[str]], Iterable[tuple[int, int, int]]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, starts, sizes, h1, h2 = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 parts = [p.strip() for p in sentences(text or "")]
-                for start, n in spans_of(parts, min_sentences, min_words):
-                    d = xxhash.xxh3_128_intdigest(" ".join(parts[start : start + n]))
+                for start, n, d in runs(parts):
                     ids.append(i)
                     starts.append(start)
                     sizes.append(n)
@@ -88,11 +118,24 @@ def dedup_sentences(docs: DataFrame, min_sentences: int = MIN_SENTENCES, min_wor
     A null text counts as empty (no sentences). Rows with a null id are never cut and cut no others;
     rows that repeat an id with the same text count as one document. Other columns are ignored.
     """
+    return _dedup(docs, _at_least(min_sentences, min_words))
+
+
+def dedup_runs(docs: DataFrame) -> DataFrame:
+    """As :func:`dedup_sentences`, for every run of two sentences however short, up to the text's end.
+
+    A repeated run of more sentences is repeated pair by pair, so this removes all repeated runs of
+    several sentences. A text of fewer sentences is compared as a whole, with such texts only.
+    """
+    return _dedup(docs, _whole)
+
+
+def _dedup(docs: DataFrame, runs: Callable[[list[str]], Iterable[tuple[int, int, int]]]) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    runs = base.where("doc_id is not null").mapInArrow(_spans(min_sentences, min_words), "doc_id long, start int, n int, h1 long, h2 long")
+    spans = base.where("doc_id is not null").mapInArrow(_spans(runs), "doc_id long, start int, n int, h1 long, h2 long")
     # Written first, so that the semi-join's stage holds no grouping and a frequent span's rows can be split.
-    again = materialise(runs.groupBy("h1").count().where("count > 1").select("h1"), "again")
-    some = materialise(runs.join(again, "h1", "left_semi"), "spans")
+    again = materialise(spans.groupBy("h1").count().where("count > 1").select("h1"), "again")
+    some = materialise(spans.join(again, "h1", "left_semi"), "spans")
     firsts = materialise(some.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1"), "firsts")
     later = some.join(firsts, ["h1", "h2"]).where("struct(doc_id, start) <> first").select("doc_id", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "end")

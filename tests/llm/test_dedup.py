@@ -119,6 +119,30 @@ def test_sentences(spark):
     assert all(r.n_removed == 0 for r in odd)
 
 
+def test_sentence_runs(spark):
+    """Every sentence of a repeated run of any number of sentences over one, and copies of texts of one."""
+    long, last = " ".join(f"w{k}" for k in range(20)) + ".", " Three words here. And four of them."
+    rows = [r for r in corpus(11) if len(r[1] or "") < 4000]
+    rows += [(900, long + last), (901, f"Else. {long}{last}"), (902, "Yes. No. Not the same"), (903, "Or so. Yes. No."), (904, "one sentence"), (905, "one sentence"), (906, "A. one sentence")]
+    rows += [(907, "\n\n" + long), (908, "\n\n" + long + " Other."), (909, long), (910, "\n\nYes. No. And no end"), (911, "x y"), (912, "x\ny")]
+    seen, want = set(), {}
+    for i, t in rows:
+        parts = sentence_dedup.sentences(t or "")
+        gone, real = set(), [k for k, p in enumerate(parts) if p.strip()]
+        spans = [(a, b) for a in range(len(real)) for b in range(a + 2, len(real) + 1)]
+        if len(real) < 2:
+            spans = [(0, len(real))] if parts else []
+        for a, b in spans:
+            key = (len(real) < 2, *(parts[k].strip() for k in real[a:b]))
+            if key in seen:
+                gone |= set(range(real[a] if a else 0, real[b - 1] + 1 if real else len(parts)))
+            seen.add(key)
+        want[i] = (len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone))
+    got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept_text) for r in sentence_dedup.dedup_runs(table(spark, rows)).collect()}
+    assert got == want
+    assert [got[i][2] for i in (11, 12, 901, 903, 905, 906, 908, 909)] == ["", "", "Else. ", "Or so. ", "", "A. one sentence", "\n\n" + long + " Other.", ""]
+
+
 def suffix_brute(rows):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: r[0]):
