@@ -257,3 +257,39 @@ def test_links(spark, shard, chunk):
 def test_keep_one_per_group(spark):
     kept = simhash.keep_one_per_group(table(spark, [(1, "a b c d e"), (2, "a b c d e"), (3, "z y x w v"), (None, "a b c d e")])).collect()
     assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 3]
+
+
+def test_keep_one_similar(spark):
+    """Near copies by shared words go, which fingerprints alone keep; the pipeline's stage does the same."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for base in range(0, 400, 10):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([30, 60, 120]))]
+        rows.append((base, " ".join(words)))
+        for k in range(1, 4):
+            copy = list(words)
+            for _ in range(rng.choice([1, 1, 2, 3])):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((base + k, " ".join(copy)))
+    rows += [(1000, "a b"), (1001, "A  b"), (1002, "c"), (1003, None), (None, rows[0][1])]
+    held = [(i, {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set(), fp_brute(t)) for i, t in rows if i is not None for w in [(t or "").lower().split()]]
+    parent = {i: i for i, *_ in held}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    shared = fingers = 0
+    for (i, g, f), (j, h, e) in itertools.combinations(held, 2):
+        similar, close = bool(g | h) and len(g & h) >= 0.8 * len(g | h), bin(f ^ e).count("1") <= 4
+        shared += similar
+        fingers += similar and close
+        if similar or close:
+            a, b = sorted((root(i), root(j)))
+            parent[b] = a
+    assert shared > fingers
+    got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()]
+    assert sorted(x for x in got if x is not None) == [i for i in parent if root(i) == i] and got.count(None) == 1
