@@ -56,7 +56,7 @@ select src, dst, kind, confidence, detector from (
   union all select p_partkey, p_partkey * 2 + 1, 'function', 'low', 3 from part where p_partkey % 5 = 0) e
 where src % 7 <> 0 and dst < (select count(*) from part)""",
     "fx_cases": """
-select doc_id as case_id, doc_id % 10 as prompt_id, lang, source, substr(text, 1, 80) as body,
+select doc_id as case_id, doc_id % 10 as prompt_id, lang, source, text as body,
   'Summarise {lang} text from {source}: {{ body }} {missing}' as template
 from documents""",
     "fx_judge_replies": """

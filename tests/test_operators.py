@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
 from quillspark.operators import graph
 from quillspark.operators.iterations import Convergence, stop_round
@@ -49,6 +50,12 @@ def test_levels_leave_cycles_out(spark):
     assert {r.node: r.level for r in graph.topo_levels(edges).collect()} == {1: 0, 2: 1, 3: 2, 7: None, 8: None, 9: None}
 
 
+def test_cases_hold_whole_texts(spark):
+    cases = Fixtures(spark, "/root/testdata/sf0.001").cases.select("case_id", "body").collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert {r.case_id: r.body for r in cases} == texts and max(len(t or "") for t in texts.values()) > 4 * 1024
+
+
 def test_render_is_one_pass(spark):
     df = spark.createDataFrame([("{a} {{ b }} {c} $1", {"a": "{b}", "b": "$0"})], "t string, v map<string,string>")
     assert df.select(X.render(F.col("t"), F.col("v"))).first()[0] == "{b} $0 {c} $1"
