@@ -50,6 +50,21 @@ def test_levels_leave_cycles_out(spark):
     assert {r.node: r.level for r in graph.topo_levels(edges).collect()} == {1: 0, 2: 1, 3: 2, 7: None, 8: None, 9: None}
 
 
+@pytest.mark.parametrize("local,depth", [(100_000, 300), (0, 6), (3, 6)])
+def test_levels_of_long_chains(spark, monkeypatch, local, depth):
+    monkeypatch.setattr(graph, "LOCAL_EDGES", local)
+    chain = [(i, i + 1) for i in range(depth)] + [(0, depth), (5000, 3), (0, 7000)]
+    cycle = [(depth, 8000), (8000, 8001), (8001, 8000), (8001, 8002)]
+    edges = spark.createDataFrame([*chain, *cycle], "src long, dst long")
+    want = {i: i for i in range(depth + 1)} | {5000: 0, 7000: 1, 8000: None, 8001: None, 8002: None}
+    assert {r.node: r.level for r in graph.topo_levels(edges).collect()} == want
+    starts = spark.createDataFrame([(0,), (5000,), (8001,), (8002,)], "start long")
+    assert {r.start: r.cyclic for r in graph.reachable_cycles(edges, starts).collect()} == {0: True, 5000: True, 8001: True, 8002: False}
+    plain = spark.createDataFrame(chain, "src long, dst long")
+    assert {r.node: r.layer for r in graph.dag_layers(plain).collect()} == {i: i for i in range(depth + 1)} | {5000: 0, 7000: 1}
+    assert not any(r.cyclic for r in graph.reachable_cycles(plain, starts.where("start < 8000")).collect())
+
+
 def test_cases_hold_whole_texts(spark):
     cases = Fixtures(spark, "/root/testdata/sf0.001").cases.select("case_id", "body").collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
