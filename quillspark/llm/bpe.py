@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from collections.abc import Iterator
+import heapq
+import itertools
+from collections.abc import Iterable, Iterator
 
 import duckdb
 import numpy as np
@@ -16,97 +18,102 @@ from pyspark.sql import functions as F
 
 #: Texts are encoded in slices of about so many characters, so a worker's memory does not follow its partition.
 SLICE_CHARS = 2_000_000
-#: Words a query contracts at a time.
-QUERY_WORDS = 20_000
-#: Pieces and words remembered, twice: a full memory becomes the old one, and what is used again moves on.
-REMEMBERED = 200_000
+#: A longer text is encoded by so many words at a time.
+SECTION_WORDS = 250_000
+#: Rows that the recursion of one query may make: a word of n bytes makes at most n * n / 2 of them.
+QUERY_ROWS = 2_000_000
+#: Bytes of words that a worker remembers, and what each costs besides its characters. The half used last stays.
+REMEMBERED_BYTES = 64 << 20
+ENTRY_BYTES = 480
 #: A word takes as many steps as it has merges; beyond this many bytes a heap contracts it instead.
 LONG_WORD = 400
-
-#: Token-position rows (word w, place p, token t) of the last step make the next one: each word's pair
-#: of least rank, the leftmost of equal ones, becomes one token. A word without pairs leaves.
-ENCODE = """
-with recursive r(w, p, t, i) as (
-    select w, p, t, 0 from start_rows
+#: Pairs of ranks are packed into one number by this base, and a rank with a place too.
+BASE = 1 << 16
+
+#: Token-position rows (word w, place p, token t, the next token n, and the rank m that both merge to)
+#: of the last step make the next one: each word's pair of least rank, the leftmost of equal ones,
+#: becomes one token, at its second row, which knows what follows. Only the two rows with a new pair
+#: look it up among the merges. The rows of a word without pairs come once more as its last; these
+#: are aggregated in the order of their places.
+ENCODE = f"""
+with recursive r(w, p, t, n, m, last) as (
+    select w, p, t, n, merges.m, false from start_rows left join merges on k = t::bigint * {BASE} + n
     union all
-    (with pairs as (
-        select w, p, t::bigint * 65536 + lead(t) over (partition by w order by p) as k from r
-     ), best as (
-        select w, min(m.m::bigint * 65536 + p) as s from pairs join merges m using (k) group by w
+    (with best as (
+        select w, min(m::bigint * {BASE} + p) as s from r where not last and m is not null group by w
+     ), contracted as (
+        select w, p, s % {BASE} as spot, s // {BASE} as made, t, n, m from r left join best using (w)
+        where not last and p is distinct from s % {BASE}
+     ), moved as (
+        select w, case when p > spot then p - 1 else p end as p, case when p = spot + 1 then made else t end as t,
+               case when p = spot - 1 then made else n end as n, m, made, p = spot - 1 or p = spot + 1 as new_pair from contracted
      )
-     select c.w, case when c.p > s % 65536 then c.p - 1 else c.p end::int,
-            case when c.p = s % 65536 then s // 65536 else c.t end::int, c.i + 1
-     from r c join best using (w) where c.p <> s % 65536 + 1)
-), last_rows as (
-    select w, p, t from r qualify i = max(i) over (partition by w)
+     select w, p::int, moved.t::int, moved.n::int, case when new_pair then merges.m else moved.m end, made is null
+     from moved left join merges on k = case when new_pair then moved.t::bigint * {BASE} + moved.n end)
 )
-select w, string_agg(t::varchar, ',' order by p) as ids, string_agg(x.h, '' order by p) as decoded
-from last_rows join tokens x using (t) group by w order by w
+select w, string_agg(d, ',') as ids, string_agg(h, '') as decoded
+from (select w, d, h from r join tokens using (t) where last order by w, p) group by w order by w
 """
 
 
 class Contractor:
-    """A vocabulary and a DuckDB engine that encodes words with it and decodes the ids."""
+    """A vocabulary and a DuckDB engine that encodes words with it and decodes the ids.
+
+    The vocabulary must have all 256 bytes and ranks below 65,536, else a ``ValueError`` says so. Words are
+    the matches of ``pattern`` in a whole text, whatever the pattern; characters outside all matches are lost,
+    as in any encoder of this kind.
+    """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered_bytes: int = REMEMBERED_BYTES):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if any(bytes([b]) not in self.ranks for b in range(256)):
+            raise ValueError(f"{path} lacks single bytes")
+        if not 0 <= min(self.ranks.values()) <= max(self.ranks.values()) < BASE:
+            raise ValueError(f"{path} has ranks beyond {BASE - 1}")
         self.pattern = regex.compile(pattern)
-        #: A space with white space on both sides, or one before it and the text's end after it.
-        self.uneven = regex.compile(r"\s \s|\s $|^ $")
-        #: What such a text holds; finding none of these is quicker than the pattern.
-        self.before_space = [chr(c) + " " for c in range(1 << 16) if regex.match(r"\s", chr(c))]
         self.token = {v: k for k, v in self.ranks.items()}
-        self.new: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
-        ranks = self.ranks
+        self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        #: Of each word remembered: its ids (decimal, joined by commas), the bytes they decode to, when it was last used.
+        self.ids: dict[str, str] = {}
+        self.raw: dict[str, bytes] = {}
+        self.used: dict[str, int] = {}
+        self.bytes, self.most, self.turn = 0, remembered_bytes, 0
+        # One thread, as Spark has a worker for each core; it never writes to a folder of its own.
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = {}
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
-                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    merges[left * 65536 + right] = rank
+                    merges[left * BASE + right] = rank
         self._table("merges", k=pa.array(list(merges), pa.int64()), m=pa.array(list(merges.values()), pa.int32()))
-        self._table("tokens", t=pa.array(list(self.token), pa.int32()), h=pa.array([k.hex() for k in self.token.values()]))
+        self._table("tokens", t=pa.array(list(self.token), pa.int32()), d=pa.array(map(str, self.token)), h=pa.array([k.hex() for k in self.token.values()]))
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("given", pa.table(columns))
         self.con.execute(f"create or replace table {name} as select * from given")
         self.con.unregister("given")
 
-    def words(self, found: list[str]) -> dict[str, tuple[str, bytes]]:
-        """Ids (decimal, joined by commas) and decoded bytes of distinct words."""
-        out, rest = {}, []
-        for word in found:
-            raw = word.encode()
-            if raw in self.ranks:
-                out[word] = (str(self.ranks[raw]), raw)
-            elif len(raw) > LONG_WORD:
-                ids = self.contract_long(raw)
-                out[word] = (",".join(map(str, ids)), b"".join(self.token[i] for i in ids))
-            else:
-                rest.append((word, raw))
-        single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        for at in range(0, len(rest), QUERY_WORDS):
-            part = rest[at : at + QUERY_WORDS]
-            sizes = np.array([len(raw) for _, raw in part])
-            starts = np.cumsum(sizes) - sizes
-            self._table(
-                "start_rows",
-                w=pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)),
-                p=pa.array((np.arange(sizes.sum()) - np.repeat(starts, sizes)).astype(np.int32)),
-                t=pa.array(single[np.frombuffer(b"".join([raw for _, raw in part]), dtype=np.uint8)]),
-            )
-            found = self.con.sql(ENCODE).to_arrow_table()
-            for (word, _), ids, decoded in zip(part, found.column("ids").to_pylist(), found.column("decoded").to_pylist()):
-                out[word] = (ids, bytes.fromhex(decoded))
-        return out
-
-    def contract_long(self, raw: bytes) -> list[int]:
+    def contract(self, part: list[bytes]) -> Iterator[tuple[str, bytes]]:
+        """Ids and decoded bytes of words, by the recursive query."""
+        sizes = np.array([len(raw) for raw in part])
+        ends = np.cumsum(sizes)
+        tokens = self.single[np.frombuffer(b"".join(part), dtype=np.uint8)]
+        after = np.append(tokens[1:], np.int32(-1))
+        after[ends - 1] = -1
+        self._table(
+            "start_rows",
+            w=pa.array(np.repeat(np.arange(len(part), dtype=np.int32), sizes)),
+            p=pa.array((np.arange(len(tokens)) - np.repeat(ends - sizes, sizes)).astype(np.int32)),
+            t=pa.array(tokens),
+            n=pa.array(after),
+        )
+        found = self.con.sql(ENCODE).to_arrow_table()
+        return zip(found.column("ids").to_pylist(), map(bytes.fromhex, found.column("decoded").to_pylist()))
+
+    def contract_long(self, raw: bytes) -> tuple[str, bytes]:
         """The same contraction for one very long word, with a heap of pairs in place of a scan a step."""
-        import heapq
-
         n = len(raw)
         part = [raw[i : i + 1] for i in range(n)]
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
@@ -130,47 +137,84 @@ class Contractor:
                 before[after[j]] = i
             offer(before[i])
             offer(i)
-        return [self.ranks[part[i]] for i in range(n) if alive[i]]
-
-    def pieces(self, text: str) -> list[str]:
-        """The text cut into pieces that the pattern splits on their own as within the text.
-
-        Cutting before each space does that, as a match takes a space only at its start, unless a run
-        of white space goes on past that space; such a text is one piece.
-        """
-        if text == " " or any(x in text for x in self.before_space) and self.uneven.search(text):
-            return [text]
-        first, *others = text.split(" ")
-        return ([first] if first else []) + [" " + x for x in others]
-
-    def recall(self, keys: set[str]) -> dict[str, tuple[str, bytes]]:
-        """What is remembered of ``keys``; hits of the old memory move to the new."""
-        out = {k: self.new[k] for k in keys & self.new.keys()}
-        again = {k: self.old[k] for k in (keys & self.old.keys()) - out.keys()}
-        self.remember(again)
-        return out | again
-
-    def remember(self, made: dict[str, tuple[str, bytes]]) -> None:
-        if len(self.new) + len(made) > REMEMBERED:
-            self.new, self.old = {}, self.new
-        self.new.update((k, v) for k, v in made.items() if len(k) < 64)
+        ids = [self.ranks[part[i]] for i in range(n) if alive[i]]
+        return ",".join(map(str, ids)), b"".join(map(self.token.__getitem__, ids))
+
+    def learn(self, wanted: set[str]) -> None:
+        """Encode and decode the words that are not remembered. A word that is one token is that token."""
+        self.turn += 1
+        fresh = wanted - self.ids.keys()
+        rest: list[tuple[int, bytes, str]] = []
+        for word in fresh:
+            raw = word.encode()
+            if (rank := self.ranks.get(raw)) is not None:
+                self.ids[word], self.raw[word] = str(rank), self.token[rank]
+            elif len(raw) > LONG_WORD:
+                self.ids[word], self.raw[word] = self.contract_long(raw)
+            else:
+                rest.append((len(raw), raw, word))
+        rest.sort()  # words of like length end together
+        at = 0
+        for end, total in _chunks([n * n // 2 for n, _, _ in rest], QUERY_ROWS):
+            for (_, _, word), (ids, raw) in zip(rest[at:end], self.contract([raw for _, raw, _ in rest[at:end]])):
+                # Should the engine not aggregate in the order of its input, decoding would not give the word back.
+                self.ids[word], self.raw[word] = (ids, raw) if raw == word.encode() else self.contract_long(word.encode())
+            at = end
+        self.bytes += sum(ENTRY_BYTES + 4 * len(w) for w in fresh)
+        self.used.update(dict.fromkeys(wanted, self.turn))
+
+    def forget(self) -> None:
+        """Once memory is full, drop the words used longest ago until half is left."""
+        if self.bytes <= self.most:
+            return
+        for word in sorted(self.used, key=self.used.__getitem__):
+            if self.bytes <= self.most // 2:
+                break
+            self.bytes -= ENTRY_BYTES + 4 * len(word)
+            del self.used[word], self.ids[word], self.raw[word]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids, joined by commas, and the bytes they decode to, of each text."""
-        cut = [self.pieces(t) for t in texts]
-        wanted = set().union(*cut)
-        known = self.recall(wanted)
-        split = {p: self.pattern.findall(p) for p in wanted - known.keys()}
-        words = set().union(*split.values())
-        coded = self.recall(words)
-        fresh = self.words(sorted(words - coded.keys()))
-        coded |= fresh
-        self.remember(fresh)
-        made = {p: coded[ws[0]] if len(ws) == 1 else (",".join([coded[w][0] for w in ws]), b"".join([coded[w][1] for w in ws])) for p, ws in split.items()}
-        self.remember(made)
-        known |= made
-        for c in cut:
-            yield ",".join([known[p][0] for p in c]), b"".join([known[p][1] for p in c])
+        cut = [self.pattern.findall(t) for t in texts]
+        self.learn(set().union(*cut))
+        for words in cut:
+            yield ",".join(map(self.ids.__getitem__, words)), b"".join(map(self.raw.__getitem__, words))
+        self.forget()
+
+    def encode_one(self, text: str) -> tuple[str, bytes]:
+        """As :meth:`encode`, for a text too long to hold all its words at a time."""
+        found, ids, raw = self.pattern.finditer(text), [], []
+        while words := [m.group() for m in itertools.islice(found, SECTION_WORDS)]:
+            self.learn(set(words))
+            ids.append(",".join(map(self.ids.__getitem__, words)))
+            raw.append(b"".join(map(self.raw.__getitem__, words)))
+            self.forget()
+        return ",".join(ids), b"".join(raw)
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[tuple[str, bytes]]:
+        """As :meth:`encode`, in slices, whatever the texts' number and length."""
+        part: list[str] = []
+        size = 0
+        for text in texts:
+            if part and size + len(text) > SLICE_CHARS:
+                yield from self.encode(part)
+                part, size = [], 0
+            if len(text) > SLICE_CHARS:
+                yield self.encode_one(text)
+            else:
+                part.append(text)
+                size += len(text)
+        yield from self.encode(part)
+
+
+def _chunks(costs: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ends of runs of about ``most`` in all, each with its sum; the last ends at the end."""
+    total = 0
+    for k, cost in enumerate(costs):
+        total += cost
+        if total >= most or k == len(costs) - 1:
+            yield k + 1, total
+            total = 0
 
 
 @functools.lru_cache(maxsize=1)
@@ -184,27 +228,23 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     ``ids_sha256`` is over the ids in decimal, joined by commas; ``exact`` says that decoding gave the
     text back. A null text is the empty one: no tokens, digests of nothing. There are no special
-    tokens. ``path`` names a rank file that each executor has (a public vocabulary is installed with
-    its package). Nothing is shuffled.
+    tokens. Rows stand for themselves: a repeated row gives its result again, null ids stay null, other
+    columns (whatever their names) are ignored, an empty table gives none. A text of any length is encoded
+    whole, by sections. ``path`` names a rank file that each executor has (a public vocabulary is installed
+    with its package). Nothing is shuffled.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = contractor(path, pattern)
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            out: list[tuple] = []
-            part: list[str] = []
-            size = 0
-            for k, text in enumerate(texts):
-                part.append(text or "")
-                size += len(part[-1])
-                if size >= SLICE_CHARS or k == len(texts) - 1:
-                    for t, (coded, raw) in zip(part, engine.encode(part)):
-                        digest = hashlib.sha256(raw).hexdigest()
-                        out.append((coded.count(",") + bool(coded), hashlib.sha256(coded.encode()).hexdigest(), digest, raw == t.encode()))
-                    part, size = [], 0
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            out = []
+            for text, (ids, raw) in zip(texts, engine.encode_all(texts)):
+                out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
             cols = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
+            )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

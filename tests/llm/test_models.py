@@ -41,20 +41,45 @@ def test_bpe_any_text(library, texts):
 def test_bpe_table(spark, library):
     rows = list(enumerate([*ODD, None])) + [(None, "no id")]
     rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").limit(60).collect()]
-    df = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n_tokens int").repartition(2)
+    rows += [(50, "again"), (50, "again"), (50, "other")]
+    df = spark.createDataFrame([(i, t, 5) for i, t in rows if i != 50], "doc_id long, text string, n_tokens int").repartition(2)
     got = {r.doc_id: r for r in bpe.encode_documents(df, PATH, public_tokenizers.PATTERN).collect()}
-    for i, t in rows:
+    repeated = bpe.encode_documents(spark.createDataFrame([r for r in rows if r[0] == 50], "doc_id long, text string"), PATH, public_tokenizers.PATTERN)
+    assert sorted(r.n_tokens for r in repeated.collect()) == sorted(len(library.encode_ordinary(t)) for i, t in rows if i == 50)
+    for i, t in [r for r in rows if r[0] != 50]:
         ids = library.encode_ordinary(t or "")
         sha = lambda x: hashlib.sha256(x).hexdigest()
         assert (got[i].n_tokens, got[i].ids_sha256, got[i].decoded_sha256, got[i].exact) == (len(ids), sha(",".join(map(str, ids)).encode()), sha((t or "").encode()), True)
     assert bpe.encode_documents(df.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_bpe_memory_turns_over(library, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 5)
-    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN)
-    for t in ["one two three four five six seven", "five six eight nine", "one two ten"] * 2:
-        assert next(engine.encode([t]))[0] == ",".join(map(str, library.encode_ordinary(t)))
+def test_bpe_memory_turns_over(library):
+    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 5 * bpe.ENTRY_BYTES)
+    for t in ["one twoo three fourr five sixx seven", "five sixx eightt nine", "one twoo ten"] * 2:
+        assert list(engine.encode([t]))[0][0] == ",".join(map(str, library.encode_ordinary(t)))
+        assert engine.bytes <= engine.most and engine.ids.keys() == engine.raw.keys() == engine.used.keys()
+
+
+def test_bpe_long_texts_and_many_queries(library, monkeypatch):
+    """A text over a slice goes by sections, words of a slice by several queries."""
+    monkeypatch.setattr(bpe, "SLICE_CHARS", 300)
+    monkeypatch.setattr(bpe, "SECTION_WORDS", 7)
+    monkeypatch.setattr(bpe, "QUERY_ROWS", 100)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdeéß日 \n") for _ in range(rng.randint(1, 14)))
+    texts = [" ".join(word() for _ in range(rng.choice([2, 10, 90]))) for _ in range(25)] + ["x" * 1200, "", " " * 700]
+    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 40 * bpe.ENTRY_BYTES)
+    assert list(engine.encode_all(texts)) == [(",".join(map(str, library.encode_ordinary(t))), t.encode()) for t in texts]
+    assert any(len(t) > 300 for t in texts)
+
+
+def test_bpe_vocabulary_is_checked(tmp_path):
+    line = lambda token, rank: base64.b64encode(token) + f" {rank}\n".encode()
+    whole = [line(bytes([b]), b) for b in range(256)]
+    for lines in (whole[1:], [*whole, line(b"ab", 65_536)]):
+        (tmp_path / "v").write_bytes(b"".join(lines))
+        with pytest.raises(ValueError):
+            bpe.Contractor(str(tmp_path / "v"), public_tokenizers.PATTERN)
 
 
 def test_language(spark):
