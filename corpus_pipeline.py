@@ -11,30 +11,34 @@ from quillspark.storage import materialise
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language cannot be told (null, empty or without letters)."""
-    model = langid.fit_language_model(docs, ~langid.held_out() & F.col("doc_id").isNotNull())
-    return langid.detect_language(docs, model, tuple(c for c in docs.columns if c != "text") + ("text",)).where(
-        F.col("lang_pred") != langid.UNDETERMINED
-    ).select(*docs.columns)
+    """Drop documents whose language cannot be told: null and empty texts, and texts without a letter.
+
+    If no row has a language to learn from, documents with letters stay. Repeated rows are judged each by
+    itself; columns may have any names; an empty table stays empty.
+    """
+    return langid.known_language(docs, langid.fit_language_model(docs, ~langid.held_out() & F.col("doc_id").isNotNull()))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the row with the largest id."""
+    """Of equal texts, keep the row with the largest id; see :func:`exact_dedup.keep_one` for nulls and repeated rows."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies, by fingerprints (as op2) or by five-word shingles (Jaccard 0.8)."""
+    """Keep one document of each group of near copies, by fingerprints (as op2) or by five-word shingles (Jaccard 0.8).
+
+    See :func:`simhash.keep_one_similar` for nulls, empty texts and repeated rows.
+    """
     return simhash.keep_one_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat and leave out documents so that sources meet their targets."""
+    """Repeat and leave out documents so that sources meet their targets; see :func:`mixing.repeat_documents`."""
     return mixing.repeat_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode every text and decode it again."""
+    """Encode every text and decode it again: a row for each row, in whatever number; a null text is the empty one."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -46,7 +50,7 @@ STAGES = [
     ("byte_bpe", encode),
 ]
 
-#: SQL cannot express the learned, fingerprint and encoding stages; the tests hold run() against brute force.
+#: SQL cannot express the learned, fingerprint and encoding stages; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillspark.storage import materialise
 
@@ -23,9 +24,11 @@ class DigestIndex:
     a sort-merge anti-join in which only the delivery's side is shuffled, and those digests are
     appended in the same bucketing. A row stays if its digest is new and its id is the largest of
     its digest in the delivery; a digest that an earlier delivery brought keeps that earlier row.
+    Each delivery adds a file a bucket; :meth:`compact` makes one of them again.
 
     Nulls: a null text equals the empty text; a null id sorts below all others. Repeated rows (same
-    id and text) count separately in ``group_size``. An empty delivery changes nothing.
+    id and text) count separately in ``group_size``. An empty delivery changes nothing. Other columns,
+    whatever their names, are ignored.
     """
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
@@ -35,33 +38,42 @@ class DigestIndex:
             self.buckets = int(self._described("Num Buckets"))
         else:
             self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-            self._write(spark.createDataFrame([], "digest string, keep_id long, group_size long"))
+            self._write(spark.createDataFrame([], "digest string, keep_id long, group_size long"), self.name)
 
-    def _write(self, df: DataFrame) -> None:
-        (
-            df.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(self.name)
-        )
+    def _write(self, df: DataFrame, name: str) -> None:
+        # One task per bucket, so each write adds one file a bucket.
+        dealt = df.repartition(self.buckets, "digest").sortWithinPartitions("digest")
+        dealt.write.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").mode("append").saveAsTable(name)
 
     def entries(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def split(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """``groups`` (one row a digest) that the index lacks, and those it has as the index holds them.
+
+        The index is read by its buckets: only ``groups`` is shuffled, whatever the index's size.
+        """
+        # A merge hint on the delivery's side, so that neither side is broadcast and the buckets count.
+        new = groups.hint("merge").join(self.entries().select("digest"), "digest", "left_anti")
+        old = groups.select("digest").hint("merge").join(self.entries(), "digest")
+        return new, old
+
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Deduplicate ``docs`` against the index and append its new digests.
 
-        Returns one row per input row: ``(id, digest, keep_id, group_size, kept)``.
+        Returns one row per input row: ``(id, digest, keep_id, group_size, kept)``. The result does not
+        read the index, which may be dropped.
         """
         rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(F.col(text_col)).alias("digest"))
         groups = rows.groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
-        # Written first: else the join below would move under the grouping and shuffle every row.
-        groups = materialise(groups, "digests")
-        known = self.entries().select("digest")
-        fresh = groups.join(known.hint("merge"), "digest", "left_anti")
-        # One task per bucket, so each delivery adds one file a bucket.
-        self._write(fresh.repartition(self.buckets, "digest").sortWithinPartitions("digest"))
+        # Written first: else the joins below would move under the grouping and shuffle every row.
+        new, old = self.split(materialise(groups, "digests"))
+        fresh = materialise(new, "fresh")
+        held = fresh.unionByName(materialise(old.select(*fresh.columns), "known"))
+        self._write(fresh, self.name)
         self.spark.catalog.refreshTable(self.name)
-        # The digests' files are read without their bucketing here: both sides are then shuffled, and
-        # a digest that many rows share can be split over tasks.
-        held = self.spark.read.schema("digest string, keep_id long, group_size long").parquet(*self._files())
+        # ``held`` is as large as the delivery. Both sides are shuffled here, so a digest that many rows
+        # share can be split over tasks.
         return rows.join(held, "digest").select(
             F.col("_id").alias(id_col),
             "digest",
@@ -70,18 +82,33 @@ class DigestIndex:
             F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         )
 
-    def _files(self) -> list[str]:
-        return self.entries().inputFiles() or [self._described("Location")]
+    def compact(self) -> None:
+        """Rewrite the table with one sorted file a bucket, as after a single delivery."""
+        other = f"{self.name}_compacted"
+        # Its plain files: as a table, Spark leaves out the shuffle below for buckets that it then does not read by.
+        self._write(self.spark.read.schema(self.entries().schema).parquet(self._described("Location")), other)
+        self.drop()
+        self.spark.sql(f"alter table {other} rename to {self.name}")
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
 
     def _described(self, what: str) -> str:
         return self.spark.sql(f"describe table extended {self.name}").where(F.col("col_name") == what).first()["data_type"]
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns.
+    """The rows of ``docs`` that exact dedup keeps, one for each text, with all their columns.
 
-    Only ids and digests pass through the index; texts are read again for the kept ids. A repeated
-    row (same id, same text) stays once per row that carries the kept id.
+    Only ids and digests pass through the index; texts are read again for the kept ids. Of repeated rows
+    (same id, same text) one stays. A null text equals the empty one; a null id stays only if its text has
+    no other. Columns may have any names; an empty table gives an empty one.
     """
-    kept = DigestIndex(docs.sparkSession).add(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    index = DigestIndex(docs.sparkSession)
+    kept = index.add(docs, id_col, text_col).where("kept").select("digest", "keep_id").distinct()
+    index.drop()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
+    held = whole.join(kept, (whole["digest"] == kept["digest"]) & whole["id"].eqNullSafe(kept["keep_id"]), "left_semi")
+    # Rows of one text and id meet in the join already; a text that repeats under other ids has left by then.
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("id"))
+    return held.withColumn("n", first).where("n = 1").select("row.*")

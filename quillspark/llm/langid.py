@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillspark.llm.ftrl import Ftrl, softmax, temperature
 from quillspark.llm.sampling import bounded_sample, held_out
@@ -143,23 +144,44 @@ def detect_language(docs: DataFrame, model: LanguageModel, keep: tuple[str, ...]
     """``keep`` columns with ``lang_pred`` and ``score`` for every row, from the whole text alone.
 
     A text that is null, empty or without letters gives ``und`` and score 0, as does any text if the
-    model was fitted on no row.
+    model was fitted on no row. Of equally likely languages the first by name is taken. Rows stand for
+    themselves, repeated ones too; ``keep`` may have columns named ``lang_pred`` or ``score``, which the
+    result then has twice (:func:`known_language` does not). An empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return _predicted(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "text"), model).select("row.*", "lang_pred", "score")
+
+
+def _predicted(given: DataFrame, model: LanguageModel) -> DataFrame:
+    """``(row, lang_pred, score)`` of ``(row, text)``, or of ``row`` alone if that struct has the text."""
+    shared = given.sparkSession.sparkContext.broadcast(model)
+    own = "text" in given.columns
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [shared.value.predict(t) for t in batch.column("_text").to_pylist()]
+            texts = batch.column("text") if own else batch.column("row").field("text")
+            made = [shared.value.predict(t.as_py()) for t in texts]
             cols = list(zip(*made)) if made else [[], []]
-            kept = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64())], names=["row", "lang_pred", "score"])
+
+    return given.mapInArrow(rows, T.StructType([given.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+
 
-    given = docs.select(*keep, F.col("text").alias("_text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema if f.name != "_text")
-    return given.mapInArrow(rows, f"{kinds}, lang_pred string, score double")
+def known_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, with its columns, whose language can be told.
+
+    Documents without a letter (null and empty texts too) go. If the model was fitted on no row, those
+    with letters stay, as nothing speaks against them. Columns may have any names.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    if not model.langs:
+        return rows.where(F.coalesce(F.col("row.text").rlike(r"\p{L}"), F.lit(False))).select("row.*")
+    return _predicted(rows, model).where(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, lang_pred, score)``: fitted on rows outside the held-out fold, applied to all."""
+    """``(doc_id, held_out, lang_pred, score)``: fitted on rows outside the held-out fold, applied to all.
+
+    Null ids are in no fold and are not learned from. Other columns, whatever their names, are ignored.
+    """
     model = fit_language_model(docs, ~held_out() & F.col("doc_id").isNotNull())
     return detect_language(docs.select("doc_id", "text", held_out().alias("held_out")), model, ("doc_id", "held_out"))

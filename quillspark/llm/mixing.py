@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillspark.storage import materialise
@@ -159,21 +158,27 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: rows repeated, the rows at a source's edge cut.
 
     A row of a non-empty text appears once per whole repetition, and once more with its first words
-    for what is left. Rows without words are not taken.
+    for what is left; in a cut row ``n_chars``, if there is one, is the cut text's. Rows without words are
+    not taken. Rows of one id, source and size share what :func:`mix_sources` takes of them in the order of
+    their texts' hashes, so each of several repeated rows, or of rows with null ids, has its own part and the
+    words are the mix's. Columns may have any names; an empty table gives an empty one.
     """
-    mix = mix_sources(docs, **options).groupBy("doc_id").agg(F.first("size").alias("_size"), F.max("taken").alias("_taken"))
-    starts = rf"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
-    pieces = F.split("text", starts)
+    size = word_count(F.col("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text", size.alias("size")).where("size > 0")
+    alike = ["doc_id", "source", "size"]
+    mix = mix_sources(docs, **options).groupBy(*alike).agg(F.count("*").alias("n"), F.sum("taken").alias("sum")).toDF("m_id", "m_source", "m_size", "n", "sum")
+    ordered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("text"))))
+    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    # The group's words: whole repetitions of all its rows, then of the first ones, then a part of the next.
+    whole = F.floor(F.col("sum") / (F.col("n") * F.col("size")))
+    extra = F.col("sum") - whole * F.col("n") * F.col("size") - (F.col("k") - 1) * F.col("size")
+    dealt = ordered.join(mix, same).withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra))).where("taken > 0")
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("long")
-    cut = F.array_join(F.slice(pieces, F.lit(1), (F.col("_rest") + lead).cast("int")), "")
-    copies = F.expr("transform(sequence(1, cast(ceil(_taken / _size) as int)), k -> k * _size <= _taken)")
-    joined = (
-        docs.join(mix.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-        .where("_taken > 0")
-        .withColumn("_rest", F.col("_taken") % F.col("_size"))
-        .withColumn("_whole", F.explode(copies))
-        .withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(cut))
-    )
+    cut = F.array_join(F.slice(pieces, F.lit(1), (F.col("taken") % F.col("size") + lead).cast("int")), "")
+    copies = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> k * size <= taken)")
+    out = dealt.withColumn("is_whole", F.explode(copies)).withColumn("cut", F.when(~F.col("is_whole"), cut))
+    short = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_whole"), F.col("n_chars")).otherwise(F.char_length("text").cast(T.LongType())))
-    return joined.select(*docs.columns)
+        short = short.withField("n_chars", F.char_length("cut").cast(docs.schema["n_chars"].dataType))
+    return out.select(F.when(F.col("is_whole"), F.col("row")).otherwise(short).alias("row")).select("row.*")

@@ -28,8 +28,11 @@ QUARTERS = 4
 #: Near copies by the words they share: shingles of five words, and the least Jaccard similarity.
 WORDS = 5
 SIMILARITY = 0.8
-#: MinHash: a pair at the least similarity agrees in a band of four with 0.41, so in none of 24 with 3e-6.
-BANDS, BAND = 24, 4
+#: MinHash: a pair at the least similarity agrees in a band of six with 0.26, so in none of 32 with 6e-5; a pair
+#: that shares a third of its words agrees in any of them with 0.04.
+BANDS, BAND = 32, 6
+#: Leaders of a bucket in a round, times those of the round before.
+MORE_LEADERS = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -139,20 +142,24 @@ class Forest:
 def link_shard(home: np.ndarray, everyone: np.ndarray, quarter: int, radius: int, small: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of a shard that have links, each with the smallest it is linked with in the shard.
 
-    The shard's own tree splits its home fingerprints further by the quarter's distances; a leaf, or
-    what no vantage point splits, compares blocks of pairs. Links become a forest, not a list of pairs.
+    The shard's own tree splits its home fingerprints further by the quarter's distances. What is left large
+    then goes to three more trees, one for each other quarter: of two codes within ``radius`` bits the two
+    quarters that differ least differ in half of ``radius`` bits at most, so a ball of that radius is enough
+    there. A leaf, or what no vantage point splits, compares blocks of pairs. Links become a forest, not a
+    list of pairs.
     """
     points = np.unique(np.concatenate([home, everyone]))
     at_home, at_all = np.searchsorted(points, np.unique(home)), np.searchsorted(points, np.unique(everyone))
-    full, part = points.view(np.uint64), quarters(points)[quarter]
+    full, parts = points.view(np.uint64), quarters(points)
     forest = Forest(len(points))
-    slack = radius // QUARTERS
-    stack = [(at_home, at_all)]
+    first, second = radius // QUARTERS, radius // 2
+    stack = [(at_home, at_all, quarter, first)]
     while stack:
-        own, others = stack.pop()
+        own, others, by, slack = stack.pop()
         if not len(own) or not len(others):
             continue
         if len(own) * len(others) > small:
+            part = parts[by]
             d = np.bitwise_count(part[own] ^ part[own[len(own) // 2]]).astype(np.int64)
             mu = int(np.median(d))
             inside = d <= mu
@@ -161,8 +168,11 @@ def link_shard(home: np.ndarray, everyone: np.ndarray, quarter: int, radius: int
                 inside = d <= mu
             if 0 < inside.sum() < len(own):
                 e = np.bitwise_count(part[others] ^ part[own[len(own) // 2]]).astype(np.int64)
-                stack.append((own[inside], others[e - slack <= mu]))
-                stack.append((own[~inside], others[e + slack > mu]))
+                stack.append((own[inside], others[e - slack <= mu], by, slack))
+                stack.append((own[~inside], others[e + slack > mu], by, slack))
+                continue
+            if by == quarter and any(len(np.unique(parts[q][own])) > 1 for q in range(QUARTERS)):
+                stack += [(own, others, q, second) for q in range(QUARTERS) if q != quarter]
                 continue
         rows = max(1, 1_000_000 // len(others))
         for k in range(0, len(own), rows):
@@ -232,6 +242,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
     return cells.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
+def _points(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, fp)`` of all rows, and ``(fp, least, size)`` of distinct fingerprints; both written."""
+    marked = materialise(fingerprints(docs, shingle), "fingerprints")
+    return marked, materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "points")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id, group_size)`` of every row of ``docs``.
 
@@ -239,10 +255,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     ``component_id`` is the least ``doc_id`` that links reach. Documents with equal fingerprints are one
     point until the end, so copies cost nothing in the search. A text without words, null included, has
     fingerprint zero and is linked like any other. Null ids count as larger than all others; a
-    component of null ids only has a null ``component_id``. Other columns are ignored.
+    component of null ids only has a null ``component_id``. Repeated rows count each. Other columns,
+    whatever their names, are ignored; an empty table gives an empty result.
     """
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    points = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "points")
+    marked, points = _points(docs, shingle)
     linked = components(near_links(points.select("fp"), radius), "a", "b")
     named = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     groups = named.groupBy("group").agg(F.min("least").alias("component_id"), F.sum("size").alias("group_size"))
@@ -250,63 +266,136 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
+def fingerprint_links(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Links ``(a, b)`` of document ids that connect what :func:`near_duplicates` puts into one component."""
+    marked, points = _points(docs.where("doc_id is not null"), shingle)
+    equal = marked.join(points, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+    first = points.select(F.col("fp").alias("a"), F.col("least").alias("_a"))
+    second = points.select(F.col("fp").alias("b"), F.col("least").alias("_b"))
+    return equal.unionByName(near_links(points.select("fp"), radius).join(first, "a").join(second, "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")))
+
+
 def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose id names their group, with all their columns; rows of null ids stay."""
-    kept = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi").unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` whose id names their group, with all their columns; rows of null ids stay.
+
+    Rows that share an id are one document: they stay or go together.
+    """
+    return _without(docs, fingerprint_links(docs, shingle, radius))
+
+
+def _without(docs: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``docs`` but those that links connect with a smaller id."""
+    named = components(links, "a", "b")
+    gone = named.where("node <> component").select("node")
+    return docs.join(gone, docs["doc_id"] == gone["node"], "left_anti")
 
 
 def grams(text: str | None, shingle: int = WORDS) -> np.ndarray:
     """The distinct XXH64 hashes of the word shingles, in lower case as in :func:`fingerprint`; none without words."""
     words = text.encode().lower().split() if text else []
-    n = max(1, len(words) - shingle + 1) if words else 0
-    return np.array(sorted({xxhash.xxh64_intdigest(b" ".join(words[k : k + shingle]), 42) for k in range(n)}), dtype=np.uint64)
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = (ends - [len(w) + 1 for w in words]).tolist()
+    last = (ends - 1).tolist()[min(shingle, len(words)) - 1 :]
+    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, last)], dtype=np.uint64))
+
+
+class MinHashes:
+    """One-permutation MinHash: each of ``BANDS * BAND`` bins holds the least hash of its range.
+
+    A bin without a hash takes that of another one, the first filled of a fixed random row of bins (the next
+    filled one if none of these is). Band keys hash ``BAND`` bins.
+    """
+
+    TRIES = 64
+
+    def __init__(self):
+        bins = BANDS * BAND
+        rng = np.random.default_rng(11)
+        self.edges = (np.arange(bins + 1, dtype=object) * 2**64 // bins)[1:-1].astype(np.uint64)
+        self.other = rng.integers(0, bins, (bins, self.TRIES))
+        self.odd = rng.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def bands(self, h: np.ndarray) -> np.ndarray:
+        """Keys (signed) of the bands of sorted distinct hashes, of which there is at least one."""
+        first = np.concatenate([[0], np.searchsorted(h, self.edges)])
+        filled = first < np.append(first[1:], len(h))
+        if not filled.all():
+            tried = filled[self.other]
+            found = self.other[np.arange(len(first)), tried.argmax(axis=1)]
+            at = np.flatnonzero(filled)
+            after = at[np.searchsorted(at, np.arange(len(first))) % len(at)]
+            first = np.where(filled, first, first[np.where(tried.any(axis=1), found, after)])
+        mixed = (h[first].reshape(BANDS, BAND) ^ (h[first].reshape(BANDS, BAND) >> np.uint64(29))) * self.odd
+        keys = (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (keys ^ (keys >> np.uint64(31)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def _banded(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(11)
-        by = rng.integers(0, 1 << 63, (BANDS * BAND, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        hashes = MinHashes()
         for batch in batches:
-            ids, sets, keys = [], [], []
+            ids, sizes, keys = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = grams(text, shingle)
-                if len(h):
-                    least = np.array([((h ^ b) * a).min() for a, b in by], dtype=np.uint64).reshape(BANDS, BAND)
+                if len(h := grams(text, shingle)):
                     ids.append(i)
-                    sets.append(h.view(np.int64))
-                    keys.append([xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(least)])
+                    sizes.append(len(h))
+                    keys.append(hashes.bands(h))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "grams", "bands"]
+                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "bands"]
             )
 
     return rows
 
 
+def _sets(shingle: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [grams(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+
+    return rows
+
+
 def similar_links(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` of documents whose word shingles have a Jaccard similarity of ``similarity`` at least.
 
     Documents that share a band of MinHashes form a bucket. A round holds every bucket's documents against its
-    least one, by their shingles; that one and those linked to it leave, and the rest go on, until no bucket
-    has two. So no bucket is collected, and near copies of one document cost one comparison each.
+    leaders, by their shingles; leaders and what is linked to one leave, and the rest go on with four times as
+    many leaders, until no bucket has two documents. So near copies of one document cost one comparison each,
+    no bucket is collected, and the rounds grow with the logarithm of the largest bucket of unlike documents.
+    Leaders are those of least seeded hash, another order in each bucket. Links are always true; one is missed
+    if the pair shares no bucket, or if in each that it shares both are linked to different leaders.
+
+    Rows of null ids and texts without words have no links; rows that share an id count as one document.
     """
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    sets = materialise(base.mapInArrow(_banded(shingle), "doc_id long, grams array<long>, bands array<long>"), "grams")
-    sized = sets.select("doc_id", "grams")
-    rows = sets.select("doc_id", F.explode("bands").alias("band")).distinct()
-    several = lambda df: df.groupBy("band").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("band", "first")
-    left, links = materialise(rows.join(several(rows).select("band"), "band", "left_semi"), "buckets"), []
+    banded = materialise(base.mapInArrow(_banded(shingle), "doc_id long, n int, bands array<long>"), "bands")
+    rows = banded.select("doc_id", "n", F.explode("bands").alias("band"))
+    # Written first, so that the semi-join's stage holds no grouping and a frequent band's rows can be split.
+    several = lambda df: materialise(df.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band"), "several")
+    left = materialise(rows.join(several(rows), "band", "left_semi"), "buckets")
+    among = left.select("doc_id").distinct()
+    sets = materialise(base.join(among, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>"), "grams")
+    links, leaders = [], 1
     while not left.isEmpty():
-        led = materialise(left.join(several(left), "band").where("doc_id <> first"), "led")
-        # A pair of one round may have been held against each other before; that costs no more than leaving it out.
-        pairs = led.select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct()
-        both = pairs.join(sized.toDF("a", "_ga"), "a").join(sized.toDF("b", "_gb"), "b")
-        shared = F.size(F.array_intersect("_ga", "_gb"))
-        near = materialise(both.where(shared >= similarity * (F.size("_ga") + F.size("_gb") - shared)).select("a", "b").distinct(), "near")
+        order = F.xxhash64("band", "doc_id")
+        heads = left.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n")).alias("head"))
+        led = heads.select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"))
+        likely = left.join(led, "band").where("doc_id <> a").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
+        pairs = materialise(likely.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+        shared = F.size(F.array_intersect("_a", "_b"))
+        both = pairs.join(sets.toDF("b", "_b"), "b").join(sets.toDF("a", "_a"), "a")
+        near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b"), "near")
         links.append(near)
-        rest = led.join(near, (led["first"] == near["a"]) & (led["doc_id"] == near["b"]), "left_anti").select("doc_id", "band")
-        left = materialise(rest.join(several(rest).select("band"), "band", "left_semi"), "buckets")
+        heads_only = led.select("band", F.col("a").alias("doc_id"))
+        linked = left.join(led, "band").join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"]).select("band", "doc_id")
+        rest = materialise(left.join(heads_only.unionByName(linked).distinct(), ["band", "doc_id"], "left_anti"), "rest")
+        left = materialise(rest.join(several(rest), "band", "left_semi"), "buckets")
+        leaders *= MORE_LEADERS
     out = spark.createDataFrame([], "a long, b long")
     for near in links:
         out = out.unionByName(near)
@@ -316,9 +405,8 @@ def similar_links(docs: DataFrame, shingle: int = WORDS, similarity: float = SIM
 def keep_one_similar(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` but near copies: of documents linked by fingerprints or by shared words the least id stays.
 
-    Links are those of :func:`near_duplicates` and of :func:`similar_links`. Rows of null ids stay.
+    Links are those of :func:`near_duplicates` and of :func:`similar_links`. Texts without words, null included,
+    are all alike (fingerprint zero). Rows of null ids stay. Rows that share an id are one document: they stay
+    or go together. All columns are returned, whatever their names; an empty table gives an empty one.
     """
-    close = near_duplicates(docs).where("doc_id <> component_id").select(F.col("component_id").alias("a"), F.col("doc_id").alias("b"))
-    named = components(close.unionByName(similar_links(docs)), "a", "b")
-    gone = named.where("node <> component").select("node")
-    return docs.join(gone, F.col("doc_id") == F.col("node"), "left_anti")
+    return _without(docs, fingerprint_links(docs).unionByName(similar_links(docs)))

@@ -64,9 +64,29 @@ def test_exact_index_persists(spark):
     assert again.buckets == 3
 
 
+def test_exact_index_is_not_shuffled(spark):
+    """A delivery meets the index by its buckets: only the delivery is dealt out, and the result does not read the index."""
+    index = exact_dedup.DigestIndex(spark, "by_buckets", 3)
+    index.add(table(spark, [(k, f"text {k}") for k in range(50)]))
+    out = index.add(table(spark, [(100 + k, f"text {k}") for k in range(40, 60)]))
+    groups = index.entries().select("digest", "keep_id", "group_size").limit(5)
+    for side in index.split(groups):
+        plan = side._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    index.compact()
+    assert index.entries().count() == 60 and len(index.entries().inputFiles()) <= 3 and index.buckets == 3
+    again = exact_dedup.DigestIndex(spark, "by_buckets")
+    assert {r.keep_id for r in again.add(table(spark, [(900, "text 45")])).collect()} == {45}
+    again.drop()
+    assert {r.doc_id: (r.keep_id, r.kept) for r in out.collect()} == {100 + k: (k, False) if k < 50 else (100 + k, True) for k in range(40, 60)}
+
+
 def test_keep_one(spark):
     kept = exact_dedup.keep_one(table(spark, [(1, "a"), (2, "a"), (3, None), (4, "")])).collect()
     assert sorted(r.doc_id for r in kept) == [2, 4] and len(kept[0]) == 8
+    rows = [(5, "b"), (5, "b"), (5, "c"), (7, "c"), (None, "c"), (None, "d"), (None, "d")]
+    kept = exact_dedup.keep_one(table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == [("5", "b"), ("7", "c"), ("None", "d")]
 
 
 def windows_brute(rows, cut, runs, join):
