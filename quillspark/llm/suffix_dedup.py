@@ -9,7 +9,7 @@ mostly share theirs. The jobs are:
    in the corpus are dropped by a count and a semi-join;
 2. anchors whose whole context (all their windows) is equal form a class: all its members but the
    first are covered wholly. That is a partial aggregation, so a passage in a third of all
-   documents costs one row a task;
+   documents costs one row a task. Contexts are compared by two independent 64-bit hashes;
 3. classes of one k-mer with different contexts differ in some windows only. Their first members'
    contexts are fetched and, group by group, sorted by what follows the anchor: a mergesort whose
    comparisons find the common extension by binary search on prefix polynomial hashes. Neighbours'
@@ -34,6 +34,8 @@ from quillspark.storage import materialise, materialise_at, remove
 
 LENGTH = 100
 KMER = 32
+#: Seed of the second hash of contexts.
+OTHER = 19430322
 #: Bytes hashed at a time; longer texts are cut into overlapping pieces.
 PIECE = 1 << 20
 #: A k-mer with more different contexts than this is split into its windows.
@@ -42,10 +44,10 @@ _LEFT = LENGTH - KMER
 _WIDTH = _LEFT + LENGTH
 
 
-@functools.lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@functools.lru_cache(maxsize=2)
+def _tables(seed: int = 20240607) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Random values of bytes, and powers of an odd base and of its inverse modulo 2**64."""
-    rng = np.random.default_rng(20240607)
+    rng = np.random.default_rng(seed)
     values = rng.integers(0, 2**64, 256, dtype=np.uint64) | np.uint64(1)
     base = int(rng.integers(0, 2**63, dtype=np.uint64)) * 2 + 1
     inverse = pow(base, -1, 2**64)
@@ -61,9 +63,9 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def prefix_hashes(data: np.ndarray) -> np.ndarray:
+def prefix_hashes(data: np.ndarray, *seed: int) -> np.ndarray:
     """``out[i]``: polynomial hash of the first ``i`` bytes, modulo 2**64."""
-    values, up, _ = _tables()
+    values, up, _ = _tables(*seed)
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(values[data] * up[: len(data)], out=out[1:])
     return out
@@ -80,12 +82,13 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def blob_anchors(data: np.ndarray, ends: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Anchors of texts laid end to end: ``(text, position, first start, last start, k-mer, context)``.
+    """Anchors of texts laid end to end: ``(text, position, first start, last start, k-mer, context, context)``.
 
-    ``ends``: where each text ends; ``limits``: starts from there on belong to another piece.
+    ``ends``: where each text ends; ``limits``: starts from there on belong to another piece. The two hashes
+    of the context have nothing in common.
     """
     _, _, down = _tables()
-    none = (np.zeros(0, dtype=np.int64),) * 6
+    none = (np.zeros(0, dtype=np.int64),) * 7
     if len(data) < LENGTH:
         return none
     h = prefix_hashes(data)
@@ -103,7 +106,9 @@ def blob_anchors(data: np.ndarray, ends: np.ndarray, limits: np.ndarray) -> tupl
     lo, hi = ok[new], ok[np.append(new[1:], len(ok)) - 1]
     anchor = anchor[new]
     ctx = _mix((h[hi + LENGTH] - h[lo]) * down[lo] + (anchor - lo).astype(np.uint64) * np.uint64(1 << 20) + (hi - lo).astype(np.uint64))
-    return text[lo], anchor, lo, hi, kmers[anchor], ctx
+    other, back = prefix_hashes(data, OTHER), _tables(OTHER)[2]
+    ctx2 = _mix((other[hi + LENGTH] - other[lo]) * back[lo])
+    return text[lo], anchor, lo, hi, kmers[anchor], ctx, ctx2
 
 
 def _pieces(ids: Iterable, texts: Iterable) -> Iterator[list[tuple[int, int, bytes, int]]]:
@@ -124,20 +129,32 @@ def _pieces(ids: Iterable, texts: Iterable) -> Iterator[list[tuple[int, int, byt
         yield held
 
 
-ANCHORS = "doc_id long, kmer long, ctx long, pos long, lo long, hi long"
+ANCHORS = "doc_id long, kmer long, ctx long, ctx2 long, pos long, lo long, hi long"
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _anchors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of :data:`ANCHORS`, a run of pieces at a time."""
     for batch in batches:
         for run in _pieces(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             data = np.frombuffer(b"".join(p[2] for p in run), dtype=np.uint8)
             ends = np.cumsum([len(p[2]) for p in run])
             begins = ends - [len(p[2]) for p in run]
-            text, at, lo, hi, kmer, ctx = blob_anchors(data, ends, begins + [p[3] for p in run])
+            text, at, lo, hi, kmer, ctx, ctx2 = blob_anchors(data, ends, begins + [p[3] for p in run])
             ids = np.array([p[0] for p in run], dtype=np.int64)
             shift = np.array([p[1] for p in run], dtype=np.int64) - begins
-            cols = [ids[text], kmer.view(np.int64), ctx.view(np.int64), at + shift[text], lo + shift[text], hi + shift[text]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "kmer", "ctx", "pos", "lo", "hi"])
+            yield ids[text], kmer.view(np.int64), ctx.view(np.int64), ctx2.view(np.int64), at + shift[text], lo + shift[text], hi + shift[text]
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for cols in _anchors_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "kmer", "ctx", "ctx2", "pos", "lo", "hi"])
+
+
+def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The k-mers of a run's anchors, counted."""
+    for _, kmer, *_ in _anchors_of(batches):
+        found, n = np.unique(kmer, return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], names=["kmer", "n"])
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,13 +325,17 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     """``(doc_id, a, b)``: byte ranges ``[a, b)`` covered by strings that also start earlier; may overlap."""
     spark = docs.sparkSession
-    anchors = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_anchor_rows, ANCHORS)
-    repeated = anchors.groupBy("kmer").count().where("count > 1").select("kmer")
+    texts = docs.select(F.col("doc_id").cast("long"), "text")
+    counts = texts.mapInArrow(_anchor_counts, "kmer long, n long")
+    # Written first, so that the semi-join's stage holds no grouping and a frequent k-mer's rows can be split.
+    repeated = materialise(counts.groupBy("kmer").agg(F.sum("n").alias("n")).where("n > 1").select("kmer"), "kmers")
+    anchors = texts.mapInArrow(_anchor_rows, ANCHORS)
     place = F.struct("doc_id", "pos").alias("place")
     shape = F.shiftleft(F.col("pos") - F.col("lo"), 8) + (F.col("pos") - F.col("hi"))
-    some = materialise(anchors.join(repeated, "kmer", "left_semi").select("kmer", "ctx", shape.alias("shape"), "doc_id", "pos"), "anchors")
-    key = ["kmer", "ctx", "shape"]
+    some = materialise(anchors.join(repeated, "kmer", "left_semi").select("kmer", "ctx", "ctx2", shape.alias("shape"), "doc_id", "pos"), "anchors")
+    key = ["kmer", "ctx", "ctx2", "shape"]
     classes = materialise(some.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
+    many = materialise(classes.where("n > 1").select(*key, "first"), "firsts")
     span_a, span_b = F.col("pos") - F.shiftright("shape", 8), F.col("pos") - F.col("shape").bitwiseAND(255)
     many = classes.where("n > 1").select(*key, "first")
     members = (
@@ -322,14 +343,13 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
         .where("struct(doc_id, pos) <> first")
         .select("doc_id", span_a.alias("a"), (span_b + LENGTH).alias("b"))
     )
-    contested = classes.groupBy("kmer").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1")
+    contested = materialise(classes.groupBy("kmer").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1"), "contested")
     spots = (
         classes.join(contested, "kmer")
         .select("kmer", "shape", "first.doc_id", "first.pos", (F.col("n_ctx") > max_group).alias("hot"))
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("kmer", "pos", span_a.alias("lo"), span_b.alias("hi"), "hot")).alias("spots"))
     )
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
     fetched, path = materialise_at(
         texts.join(spots, "doc_id").mapInArrow(_fetch, "kmer long, doc_id long, pos long, lo long, hi long, hot boolean, bytes binary"),
         "contexts",
@@ -370,12 +390,22 @@ def dedup_substrings(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
 
     ``spans`` are the removed byte ranges, sorted and apart. A null text is the empty one; texts
     shorter than a window keep all. Rows with a null id neither lose bytes nor make others lose any.
-    Rows that repeat an id with the same text count as one document, so they do not remove each other.
-    Other columns are ignored; an empty table gives an empty result.
+    Rows that repeat an id with the same text are one document, so they do not remove each other and
+    lose the same. Of different texts under one id the last by code point is that document; the others
+    are treated like rows with a null id. Other columns, whatever their names, are ignored; an empty table
+    gives an empty result.
     """
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = repeated_spans(base.where("doc_id is not null"), max_group)
+    given = base.where("doc_id is not null")
+    again = materialise(given.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated_ids")
+    searched, whose = given, F.lit(True)
+    if not again.isEmpty():
+        last = materialise(given.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")), "repeated_rows")
+        searched = given.join(again, "doc_id", "left_anti").unionByName(last)
+        base = base.join(last.toDF("_again", "_last"), F.col("doc_id") == F.col("_again"), "left")
+        whose = F.col("_last").isNull() | (F.col("_last") == F.coalesce("text", F.lit("")))
+    spans = repeated_spans(searched, max_group)
     per_doc = spans.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")).withColumnRenamed("doc_id", "_doc")
-    return base.join(per_doc, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "spans").mapInArrow(
+    return base.join(per_doc, (F.col("doc_id") == F.col("_doc")) & whose, "left").select("doc_id", "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, spans array<array<bigint>>, kept_sha256 string"
     )

@@ -190,7 +190,16 @@ def test_suffixes_odd(spark):
     text = corpus(8)[20][1] * 3
     got = suffix_dedup.dedup_substrings(table(spark, [(None, text), (4, text), (4, text)])).collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got)[0] == (0, 0)
-    assert len({r.n_removed for r in got if r.doc_id}) == 1
+    once = suffix_dedup.dedup_substrings(table(spark, [(4, text)])).first()
+    assert [(r.n_removed, r.spans, r.kept_sha256) for r in got if r.doc_id] == [(once.n_removed, once.spans, once.kept_sha256)] * 2 and once.n_removed
+    # Repeated rows, contested k-mers among them, give what single rows give; another text under the id stays whole.
+    rows = corpus(8)
+    want = suffix_brute(rows)
+    for more in (rows[::3], [(i, "a smaller text") for i, t in rows[1:20:4] if (t or "") > "a smaller text"]):
+        got = suffix_dedup.dedup_substrings(table(spark, rows + more)).collect()
+        found = {(r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got}
+        assert set(want) <= found and len(got) == len(rows) + len(more)
+        assert {(i, n) for i, _, n, _, _ in found - set(want)} == {(i, 0) for i, _ in more if (i, _) not in rows}
     assert suffix_dedup.dedup_substrings(table(spark, [])).count() == 0
 
 
@@ -204,7 +213,7 @@ def test_suffix_collisions(monkeypatch):
     full = (np.zeros(12, dtype=int), np.full(12, 68))
     good = suffix_dedup.covered_offsets(mat, group, rank, *full)
     values, up, down = suffix_dedup._tables()
-    monkeypatch.setattr(suffix_dedup, "_tables", lambda: (np.zeros_like(values), up, down))
+    monkeypatch.setattr(suffix_dedup, "_tables", lambda *_: (np.zeros_like(values), up, down))
     assert (suffix_dedup.covered_offsets(mat, group, rank, *full) == good).all() and good.any()
     want = np.array([[any((mat[i, 68 - o : 168 - o] == mat[j, 68 - o : 168 - o]).all() for j in range(i)) for o in range(69)] for i in range(12)])
     assert (good == want).all()
