@@ -95,6 +95,18 @@ select concat('p', c_custkey % 50, '/f', c_custkey, '.py') as file, c_custkey as
     '    def go(self):', chr(10), '        self.p()', chr(10), '        if 1:', chr(10), '            self.q()', chr(10), '        self.r()', chr(10),
     '    def both(self):', chr(10), '        self.a.p()', chr(10), '        self.b.p()', chr(10)) end as content
 from customer""",
+    "fx_helper_files": r"""
+select concat('p', s_suppkey % 20, '/h', s_suppkey, '.py') as file, s_suppkey as file_id, s_suppkey % 5 as shape, case s_suppkey % 5
+  when 0 then concat('def _system():', chr(10), '    return {"role": "ai", "content": "Rules ', s_suppkey, '"}', chr(10), 'def build_y_messages(q):', chr(10), '    return [_system(), {"role": "human", "content": q}]', chr(10))
+  when 1 then concat('RULES = "Brief ', s_suppkey, '"', chr(10), 'def _system():', chr(10), '    content = RULES', chr(10), '    return {"role": "system", "content": content}', chr(10), 'def build_y_messages(q):', chr(10), '    return [_system(), ("human", "ask")]', chr(10))
+  when 2 then concat('def _inner():', chr(10), '    return {"role": "system", "content": "x"}', chr(10), 'def _outer():', chr(10), '    return _inner()', chr(10), 'def build_y_messages(q):', chr(10), '    return [_outer()]', chr(10))
+  when 3 then concat('def build_y_messages(q):', chr(10), '    a = b', chr(10), '    b = a', chr(10), '    return [{"role": "user", "content": a}]', chr(10))
+  else concat('def _head(q):', chr(10), '    t = f"{q} twice"', chr(10), '    return {"role": "system", "content": t}', chr(10), 'async def build_y_messages(q):', chr(10), '    s = "Early"', chr(10), '    s = "Late ', s_suppkey, '"', chr(10), '    u = s', chr(10), '    return [_head(q), {"role": "user", "content": u}]', chr(10)) end as content
+from supplier""",
+    "fx_json_files": """
+select concat('p', s_suppkey % 20, '/tests/d', s_suppkey, '.json') as file, s_suppkey as file_id, s_suppkey % 4 as shape, case s_suppkey % 4
+  when 0 then concat('[{"question": "q', s_suppkey, '", "n": 2}, {"zzz": 1}, 5]') when 1 then concat(' {"input": {"a": 1}, "id": ', s_suppkey, '}') when 2 then 'no json {' else '"text"' end as content
+from supplier""",
     "fx_nodes": """
 select distinct src % 97 as pipeline_id, src as prompt_id from fx_edges
 union select distinct src % 97, dst from fx_edges""",

@@ -14,7 +14,7 @@ from quillspark.operators.cases import case_id, site_id
 from quillspark.operators.graph import build_pipelines
 from quillspark.operators.select import dedupe_edges, file_anchor
 from quillspark.sources.pyfacts import extract_facts
-from quillspark.storage import new_path
+from quillspark.storage import materialise, new_path
 
 #: Fixed values, in order of precedence: provider, end of the call chain, package that the file must import.
 SDK_CALLS: tuple[tuple[str, str, str | None], ...] = (
@@ -38,6 +38,7 @@ class Facts:
         spark, path = files.sparkSession, new_path(files.sparkSession, "facts")
         rows = extract_facts(files)
         rows.write.partitionBy("fact").parquet(path)
+        self.spark, self.path = spark, path
         self._all = spark.read.schema(rows.schema).parquet(path)
 
     def of(self, fact: str) -> DataFrame:
@@ -87,9 +88,12 @@ def match_templates(facts: Facts) -> DataFrame:
 
 
 def site_messages(facts: Facts, templates: DataFrame) -> DataFrame:
-    """``(id, pos, role, kind, text)`` of calls, of the lists that builders return, and of constants."""
-    own = facts.of("message").select(F.col("parent").alias("id"), "pos", F.col("name").alias("role"), F.col("value").alias("kind"), "text")
-    lists = facts.of("return").where("id is not null").select("file", "scope", F.col("id").alias("_list"))
+    """``(id, pos, role, kind, text)`` of calls, of the lists that builders return, and of constants.
+
+    Roles are those that their aliases stand for (X16).
+    """
+    own = facts.of("message").select(F.col("parent").alias("id"), "pos", X.role(F.col("name")).alias("role"), F.col("value").alias("kind"), "text")
+    lists = facts.of("return").where("id is not null and value is null").select("file", "scope", F.col("id").alias("_list"))
     returned = templates.where("origin = 'builder'").select("file", "scope", "id").join(lists, ["file", "scope"]).select("id", "_list")
     built = returned.join(own.withColumnRenamed("id", "_list"), "_list").drop("_list")
     values = facts.of("assign").where("scope = ''").select(F.concat_ws(":", "file", "name").alias("id"), F.col("value").alias("kind"), "text")
@@ -102,8 +106,19 @@ def resolve_names(messages: DataFrame, facts: Facts, hops: int = 4) -> DataFrame
     """K6: unresolved messages that name a local or module variable, with its text, over at most ``hops`` names.
 
     ``messages`` is ``(id, file, scope, pos, role, kind, text)``. A name's last assignment counts; a local
-    one goes before the module's. Names that lead nowhere, or in a loop, stay unresolved.
+    one goes before the module's. A message that a function of the module makes (``helper()``) is that of its
+    first return, if that is one message, whose names are then looked up in the helper. Names that lead
+    nowhere, or in a loop, stay unresolved.
     """
+    made = F.when(F.col("kind") == "unresolved", F.regexp_extract("text", r"^(\w+)\(\)$", 1))
+    returns = facts.of("return").where("not contains(scope, '.')").groupBy("file", "scope").agg(F.min_by(F.struct("id", "value"), "line").alias("_r")).where("_r.value = 'dict'")
+    said = facts.of("message").select(F.col("parent").alias("_id"), F.struct(X.role(F.col("name")).alias("role"), F.col("value").alias("kind"), "text").alias("_m"))
+    helpers = returns.select("file", F.col("scope").alias("_helper"), F.col("_r.id").alias("_id")).join(said, "_id").drop("_id")
+    helped = messages.withColumn("_helper", F.nullif(made, F.lit(""))).join(helpers, ["file", "_helper"], "left")
+    messages = helped.select(
+        "id", "file", F.when(F.col("_m").isNotNull(), F.col("_helper")).otherwise(F.col("scope")).alias("scope"), "pos",
+        *[F.when(F.col("_m").isNotNull(), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) for c in ("role", "kind", "text")],
+    )
     # Of the latest assignment of each name; one row a name of each scope.
     last = facts.of("assign").where("value in ('literal', 'fstring', 'name')").groupBy("file", "scope", "name").agg(F.max_by(F.struct("value", "text"), "line").alias("_b"))
     out = messages.withColumn("_name", F.when(F.col("kind") == "unresolved", F.col("text")))
@@ -166,15 +181,33 @@ def input_shapes(facts: Facts, sites: DataFrame) -> DataFrame:
     return both.select(F.col("site").alias("id"), F.col("scope").alias("function"), F.filter(args, lambda a: a != "self").alias("args"), F.col("_s.text").alias("doc"))
 
 
-def mine_cases(facts: Facts, sites: DataFrame, n: int = 50, folders: Sequence[str] | None = CASE_FOLDERS) -> DataFrame:
+def json_objects_of(files: DataFrame) -> DataFrame:
+    """``(file, line, items, text)``: each JSON file's object, or the objects of its list, with their keys.
+
+    A file's line is 1, as objects of JSON have none of their own. Files that do not parse, or hold anything
+    else, have no rows.
+    """
+    whole = files.where(F.lower("file").endswith(".json")).select("file", F.trim("content").alias("_c")).where(F.try_parse_json("_c").isNotNull())
+    each = F.when(F.col("_c").startswith("["), F.from_json("_c", "array<string>")).when(F.col("_c").startswith("{"), F.array("_c"))
+    # As text with sorted keys, so that equal objects are equal whatever their spacing.
+    found = whole.select("file", F.lit(1).alias("line"), F.explode(each).alias("_o")).withColumn("text", F.to_json(F.try_parse_json("_o")))
+    return found.withColumn("items", F.json_object_keys("text")).where("size(items) > 0").select("file", "line", "items", "text")
+
+
+def mine_cases(facts: Facts, sites: DataFrame, n: int = 50, folders: Sequence[str] | None = CASE_FOLDERS, files: DataFrame | None = None) -> DataFrame:
     """``(project, site, case_id, inputs, file, line)``: literals of each project with an input's key, ``n`` a site at most.
 
-    ``sites`` is ``(project, site)``. A literal's project is its file's first folder. Only files below one of
-    ``folders`` count; with None, all do.
+    Literals are dictionaries in sources and, with ``files``, the objects of JSON files. ``sites`` is ``(project,
+    site)``. A literal's project is its file's first folder. Only files below one of ``folders`` count; with None,
+    all do.
     """
     inside = F.lit(True) if folders is None else F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(d) for d in folders]))
-    keyed = facts.of("dict").where(F.arrays_overlap("items", F.array(*[F.lit(k) for k in INPUT_KEYS])) & inside)
-    # Of equal literals of a project the first; then the first n, before sites multiply them.
+    literals = facts.of("dict").select("file", "line", "items", "text")
+    if files is not None:
+        literals = literals.unionByName(json_objects_of(files))
+    keyed = literals.where(F.arrays_overlap("items", F.array(*[F.lit(k) for k in INPUT_KEYS])) & inside)
+    # Of equal literals of a project the first; then the first n, before sites multiply them. The partial group
+    # limit leaves n rows a task of a project before any of them meet.
     once = keyed.groupBy(F.split("file", "/")[0].alias("project"), F.col("text").alias("inputs")).agg(F.min(F.struct("file", "line")).alias("_a"))
     rank = F.row_number().over(Window.partitionBy("project").orderBy("_a", "inputs"))
     first = once.withColumn("_r", rank).where(F.col("_r") <= n).select("project", "inputs", "_a.file", "_a.line")
@@ -272,12 +305,13 @@ def corpus_edges(facts: Facts, sites: DataFrame) -> DataFrame:
 def scan_corpus(files: DataFrame) -> dict[str, DataFrame]:
     """The whole inventory of ``(file, content)``: sites, edges, pipelines, evidence and warnings."""
     facts = Facts(files)
-    sites = prompt_sites(facts)
-    edges = corpus_edges(facts, sites)
+    # Written once: every detector starts from them.
+    sites = materialise(prompt_sites(facts), "sites")
+    edges = materialise(corpus_edges(facts, sites), "corpus-edges")
     return {
         "sites": sites,
         "edges": edges,
-        "pipelines": build_pipelines(edges.select("src", "dst")),
+        "pipelines": build_pipelines(edges.select("src", "dst"), sites),
         "evidence": I.provider_evidence(files),
         "warnings": facts.of("warning").select("file", "name", "text"),
     }

@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as X
+from quillspark.operators.cases import pipeline_id
 from quillspark.storage import materialise_at, remove
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int | None = None) -> DataFrame:
     """G1: weakly connected components as ``(node, component)``, the smallest node naming its component.
 
     Alternating large-star and small-star rounds (Kiveris et al., 2014): each round links every
     neighbour to the smallest one, so chains of any length shrink by a constant factor and no
     neighbourhood is ever collected; minima come from a partial aggregation and are joined back, so
     a hub's rows may be split over tasks by skew-join handling. A round ends in a Parquet table in
-    the shared folder. Null ends are dropped; self-loops make a node a component of its own.
+    the shared folder. Null ends are dropped; self-loops make a node a component of its own. Rounds go on
+    until nothing moves; ``max_rounds`` makes more of them an error.
     """
     spark = edges.sparkSession
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     cur, path = materialise_at(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     first, first_path = cur, path
     stamp = None
-    for _ in range(max_rounds):
+    for number in itertools.count(1):
+        if max_rounds is not None and number > max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
         links = cur.where("u <> v")
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -42,46 +49,61 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         if (row["n"], row["h"]) == stamp or row["n"] == 0:
             break
         stamp = (row["n"], row["h"])
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     nodes = first.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(cur.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")), "node", "left").select(
         "node", F.coalesce("component", "node").alias("component")
     )
 
 
-def build_pipelines(edges: DataFrame) -> DataFrame:
-    """``(component, n_nodes, n_edges, entries, exits)`` of each group of linked nodes.
+def build_pipelines(edges: DataFrame, sites: DataFrame) -> DataFrame:
+    """``(pipeline_id, name, component, nodes, n_nodes, n_edges, entries, exits)`` of each group of linked nodes.
 
-    Entries have no edge in, exits none out; both are sorted lists as text. Nodes without edges are in
-    no pipeline.
+    ``sites`` is ``(id, name)``. The id is X24's over the nodes. Entries have no edge in, exits none out; these and
+    the nodes are sorted lists as text. The name comes from the first entry's site, or the first node's where
+    a pipeline has no entry, or the component where that site is not known. Nodes without edges are in no pipeline.
     """
     named = components(edges)
     plain = edges.select("src", "dst").where("src <> dst").distinct()
     ins = plain.select(F.col("dst").alias("node")).distinct().withColumn("has_in", F.lit(True))
     outs = plain.select(F.col("src").alias("node")).distinct().withColumn("has_out", F.lit(True))
     nodes = named.join(ins, "node", "left").join(outs, "node", "left")
-    listed = lambda cond: F.array_join(F.array_sort(F.collect_set(F.when(cond, F.col("node")))), ",")
+    listed = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("node"))))
     whole = nodes.groupBy("component").agg(
-        F.count("*").alias("n_nodes"), listed(F.col("has_in").isNull()).alias("entries"), listed(F.col("has_out").isNull()).alias("exits")
+        F.count("*").alias("n_nodes"), F.array_sort(F.collect_set("node")).alias("nodes"), listed(F.col("has_in").isNull()).alias("entries"), listed(F.col("has_out").isNull()).alias("exits")
+    )
+    whole = whole.withColumn("_anchor", F.coalesce(F.get("entries", 0), F.get("nodes", 0)))
+    named_after = whole.join(sites.select(F.col("id").alias("_anchor"), F.col("name").alias("_site")), "_anchor", "left")
+    name = X.slug(F.concat(F.coalesce("_site", F.concat(F.lit("pipeline_"), F.substring(F.col("component").cast("string"), 1, 6))), F.lit("_pipeline")))
+    joined = lambda c: F.array_join(F.transform(c, lambda n: n.cast("string")), ",").alias(c)
+    whole = named_after.select(
+        pipeline_id(F.transform("nodes", lambda n: n.cast("string"))).alias("pipeline_id"), name.alias("name"), "component", "n_nodes", joined("nodes"), joined("entries"), joined("exits")
     )
     n_edges = plain.join(named, plain["src"] == named["node"]).groupBy("component").agg(F.count("*").alias("n_edges"))
-    return whole.join(n_edges, "component", "left").select("component", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "entries", "exits")
+    return whole.join(n_edges, "component", "left").select(
+        "pipeline_id", "name", "component", "nodes", "n_nodes", F.coalesce("n_edges", F.lit(0)).alias("n_edges"), "entries", "exits"
+    )
 
 
-def downstream_impact(edges: DataFrame, starts: DataFrame, max_rings: int = 100) -> DataFrame:
+def downstream_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, node, distance, kinds)``: what each start reaches, by shortest paths.
 
     ``kinds`` are those on all shortest paths, sorted and joined. One ring a round for all starts; a
     ring's rows come from the ring before, joined with the edges, less what was reached already. The
-    start is left out. Raises after ``max_rings`` rounds.
+    start is left out. A start that no edge names, and a cycle that a start reaches, is a ``ValueError``.
     """
     spark = edges.sparkSession
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("start"))
+    unknown = starts.join(nodes, "start", "left_anti").first()
+    if unknown is not None:
+        raise ValueError(f"start {unknown['start']} is not in the graph")
+    cyclic = reachable_cycles(edges, starts).where("cyclic").first()
+    if cyclic is not None:
+        raise ValueError(f"a cycle can be reached from {cyclic['start']}")
     plain = edges.select("src", "dst", "kind").distinct()
     ring = starts.select(F.col("start"), F.col("start").alias("node"), F.lit(0).alias("distance"), F.array().cast("array<string>").alias("kinds"))
     reached, path = materialise_at(ring, "ring")
     ring, paths = reached, [path]
-    for distance in range(1, max_rings + 1):
+    for distance in itertools.count(1):
         step = ring.join(plain, ring["node"] == plain["src"]).select(
             "start", F.col("dst").alias("node"), F.array_union("kinds", F.array("kind")).alias("kinds")
         )
@@ -93,8 +115,6 @@ def downstream_impact(edges: DataFrame, starts: DataFrame, max_rings: int = 100)
             break
         paths.append(path)
         reached = spark.read.schema(ring.schema).parquet(*paths)
-    else:
-        raise RuntimeError(f"not settled after {max_rings} rings")
     return reached.where("distance > 0").select("start", "node", "distance", F.array_join("kinds", ",").alias("kinds"))
 
 
@@ -127,7 +147,7 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     """``(node, level)``: 0 without predecessors, else one more than the highest of them.
 
     Nodes on or behind a cycle have a null level. Each round peels the nodes without live edges in, until none
-    is peeled; once at most ``LOCAL_EDGES`` edges are live, the driver does the rest.
+    is peeled; once (or if from the start) at most ``LOCAL_EDGES`` edges are live, the driver does the rest.
     """
     spark = edges.sparkSession
     live, path = materialise_at(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "live")
@@ -135,10 +155,18 @@ def topo_levels(edges: DataFrame) -> DataFrame:
     done: list[str] = []
     level = 0
     while True:
+        if live.count() <= LOCAL_EDGES:
+            few = live.collect()
+            ends = sorted({n for e in few for n in (e["src"], e["dst"])})
+            rest = spark.createDataFrame(_peel([(e["src"], e["dst"]) for e in few], ends, level), "node long, level int")
+            # Nodes whose edges have all been peeled are the next level.
+            rest = rest.unionByName(left.join(rest.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level")))
+            break
         peeled = left.join(live.select(F.col("dst").alias("node")), "node", "left_anti")
         peel, at = materialise_at(peeled.select("node", F.lit(level).alias("level")), "level")
         if peel.isEmpty():
             remove(spark, at)
+            rest = left.select("node", F.lit(None).cast("int").alias("level"))
             break
         done.append(at)
         level += 1
@@ -147,14 +175,6 @@ def topo_levels(edges: DataFrame) -> DataFrame:
         live, path = materialise_at(live.join(names.withColumnRenamed("node", "src"), "src", "left_anti"), "live")
         left, left_path = materialise_at(left.join(names, "node", "left_anti"), "left")
         remove(spark, old), remove(spark, old_left)
-        if 0 < live.count() <= LOCAL_EDGES:
-            few = live.collect()
-            ends = sorted({n for e in few for n in (e["src"], e["dst"])})
-            known = spark.createDataFrame(_peel([(e["src"], e["dst"]) for e in few], ends, level), "node long, level int")
-            alone = left.join(known.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level"))
-            rest = known.unionByName(alone)
-            return spark.read.schema("node long, level int").parquet(*done).unionByName(rest)
-    rest = left.select("node", F.lit(None).cast("int").alias("level"))
     return spark.read.schema("node long, level int").parquet(*done).unionByName(rest) if done else rest
 
 

@@ -91,9 +91,9 @@ def provider_evidence(files: DataFrame) -> DataFrame:
     """K8: ``(file, provider, source, line, key_var_name)``: keys set in environment and configuration files.
 
     ``files`` is ``(file, content)``. Comments do not count, values are never emitted, and a key counts
-    once a file, on its first line. Whole files are split on Spark, one row a line.
+    once a file, on its first line. File names count in any case. Whole files are split on Spark, one row a line.
     """
-    base = F.regexp_extract("file", r"([^/]+)$", 1)
+    base = F.lower(F.regexp_extract("file", r"([^/]+)$", 1))
     env = base.isin(".env", ".env.local", ".env.example", ".env.sample") | base.endswith(".env")
     config = base.isin("config.yaml", "config.yml", "settings.yaml", "settings.yml", "config.py", "settings.py")
     source = F.when(env, ".env").when(config, "config")

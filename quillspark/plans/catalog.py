@@ -367,10 +367,12 @@ register("g1_components", f"{_REACH} select * from c")(lambda fx: graph.componen
 register(
     "g2_build_pipelines",
     f"""{_REACH}, e as (select distinct src, dst from fx_edges where src <> dst)
-       select c.component, count(*) as n_nodes, (select count(*) from e join c x on x.node = e.src where x.component = c.component) as n_edges,
+       select c.component, substr(sha1(string_agg(cast(node as varchar), '|' order by cast(node as varchar))), 1, 12) as pipeline_id,
+         coalesce((select p.name from fx_prompts p where p.id = min(node) filter (node not in (select dst from e))), 'pipeline_' || substr(cast(c.component as varchar), 1, 6)) || '_pipeline' as name,
+         string_agg(cast(node as varchar), ',' order by node) as nodes, count(*) as n_nodes, (select count(*) from e join c x on x.node = e.src where x.component = c.component) as n_edges,
          string_agg(cast(node as varchar), ',' order by node) filter (node not in (select dst from e)) as entries,
          string_agg(cast(node as varchar), ',' order by node) filter (node not in (select src from e)) as exits from c group by c.component""",
-)(lambda fx: graph.build_pipelines(fx.edges))
+)(lambda fx: graph.build_pipelines(fx.edges, fx.prompts.select("id", "name")))
 register(
     "g3_topo_levels",
     """with recursive e as (select distinct src, dst from fx_edges), l(node, level) as (
@@ -380,12 +382,12 @@ register(
 )(lambda fx: graph.topo_levels(fx.edges))
 register(
     "g4_downstream_impact",
-    """with recursive e as (select distinct src, dst, kind from fx_edges), s as (select distinct src as start from e where src % 5 = 1),
+    """with recursive e as (select distinct src, dst, kind from fx_edges), s as (select distinct src as start from e),
          w(start, node, distance, kind) as (select s.start, e.dst, 1, e.kind from s join e on e.src = s.start
            union select w.start, e.dst, w.distance + 1, k.kind from w join e on e.src = w.node, lateral (select w.kind union select e.kind) k(kind)),
          d as (select start, node, min(distance) as distance from w group by 1, 2)
        select d.start, d.node, d.distance, string_agg(distinct w.kind, ',' order by w.kind) as kinds from d join w on w.start = d.start and w.node = d.node and w.distance = d.distance group by 1, 2, 3""",
-)(lambda fx: graph.downstream_impact(fx.edges, fx.edges.where("src % 5 = 1").select(F.col("src").alias("start")).distinct()))
+)(lambda fx: graph.downstream_impact(fx.edges, fx.edges.select(F.col("src").alias("start")).distinct()))
 
 
 def run_events(events: DataFrame) -> DataFrame:

@@ -6,16 +6,40 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpus
 from quillspark.plans.registry import register
+from quillspark.storage import exists, materialise_at
+
+
+#: Facts and sites of a session and a data folder, which all queries of it start from.
+_SHARED: dict[tuple, tuple[str, object]] = {}
+
+
+def _shared(fx, what: str, make):
+    """``make()``'s ``(path, value)``, made again if its table is gone."""
+    key = (fx.spark.sparkContext.applicationId, fx.sf_dir, what)
+    if key not in _SHARED or not exists(fx.spark, _SHARED[key][0]):
+        _SHARED[key] = make()
+    return _SHARED[key][1]
 
 
 def _facts(fx) -> corpus.Facts:
-    return corpus.Facts(fx.code_files)
+    def make():
+        facts = corpus.Facts(fx.code_files)
+        return facts.path, facts
+
+    return _shared(fx, "facts", make)
+
+
+def _sites(fx):
+    def make():
+        sites, path = materialise_at(corpus.prompt_sites(_facts(fx)), "sites")
+        return path, sites
+
+    return _shared(fx, "sites", make)
 
 
 def _with_sites(rule):
     def run(fx):
-        facts = _facts(fx)
-        return rule(facts, corpus.prompt_sites(facts))
+        return rule(_facts(fx), _sites(fx))
 
     return run
 
@@ -50,22 +74,28 @@ register(
     """select file, l.line, l.origin, l.confidence, l.n as n_messages from fx_code_files join (values (0, 2, 'constant', 'high', 1), (0, 4, 'sdk', 'high', 2), (0, 5, 'wrapper', 'high', 1), (1, 3, 'builder', 'medium', 1), (1, 6, 'sdk', 'high', 2),
          (2, 1, 'wrapper', 'high', 1), (2, 1, 'wrapper', 'high', 1), (5, 3, 'wrapper', 'high', 1), (5, 5, 'wrapper', 'high', 1), (6, 6, 'wrapper', 'high', 1), (6, 8, 'wrapper', 'high', 1), (6, 10, 'wrapper', 'high', 1)) l(shape, line, origin, confidence, n)
        on l.shape = fx_code_files.shape""",
-)(lambda fx: corpus.prompt_sites(_facts(fx)).select("file", "line", "origin", "confidence", "n_messages"))
+)(lambda fx: _sites(fx).select("file", "line", "origin", "confidence", "n_messages"))
 
 
-def _upgraded(fx):
-    facts = _facts(fx)
+def _upgraded(facts):
     templates = corpus.match_templates(facts)
     said = corpus.site_messages(facts, templates).join(templates.where("origin = 'builder'").select("id", "file", "scope"), "id")
-    return corpus.resolve_names(said, facts).select("file", "role", "kind", "text")
+    return corpus.resolve_names(said, facts).select("file", "pos", "role", "kind", "text")
 
 
-register("k6_upgrade_builders", "select file, 'user' as role, 'literal' as kind, 'calm ' || file_id as text from fx_code_files where shape = 1")(_upgraded)
+register("k6_upgrade_builders", "select file, 'user' as role, 'literal' as kind, 'calm ' || file_id as text from fx_code_files where shape = 1")(
+    lambda fx: _upgraded(_facts(fx)).drop("pos")
+)
+register(
+    "k6_helper_returns",
+    """select file, pos, role, kind, case when kind = 'literal' and word <> 'ask' then word || file_id else word end as text from fx_helper_files join (values
+         (0, 1, 'assistant', 'literal', 'Rules '), (0, 2, 'user', 'unresolved', 'q'), (1, 1, 'system', 'literal', 'Brief '), (1, 2, 'user', 'literal', 'ask'), (2, 1, 'user', 'unresolved', '_outer()'),
+         (3, 1, 'user', 'unresolved', 'a'), (4, 1, 'system', 'fstring', '{q} twice'), (4, 2, 'user', 'literal', 'Late ')) v(shape, pos, role, kind, word) on v.shape = fx_helper_files.shape""",
+)(lambda fx: _upgraded(corpus.Facts(fx.helper_files)))
 
 
 def _linked(fx):
-    facts = _facts(fx)
-    sites = corpus.prompt_sites(facts)
+    facts, sites = _facts(fx), _sites(fx)
     # A builder's name is looked up corpus-wide, so the file of the first one stands for all.
     return corpus.link_wrappers(facts, sites, corpus.match_templates(facts)).select(F.split("id", ":")[0].alias("file"), "builder")
 
@@ -77,10 +107,10 @@ register(
          (2, 1, null, null, null), (2, 1, null, null, null), (5, 3, 'f', '', ''), (5, 5, 'g', 'v', ''), (6, 6, 'p', '', ''), (6, 8, 'q', '', ''), (6, 10, 'r', '', '')) l(shape, line, f, args, doc) on l.shape = fx_code_files.shape""",
 )(
     lambda fx: (
-        lambda f: (lambda s: corpus.input_shapes(f, s).join(s.select("id", "file", "line"), "id"))(corpus.prompt_sites(f)).select(
-            "file", "line", F.substring_index("function", ".", -1).alias("function"), F.array_join("args", ",").alias("args"), "doc"
-        )
-    )(_facts(fx))
+        lambda s: corpus.input_shapes(_facts(fx), s)
+        .join(s.select("id", "file", "line"), "id")
+        .select("file", "line", F.substring_index("function", ".", -1).alias("function"), F.array_join("args", ",").alias("args"), "doc")
+    )(_sites(fx))
 )
 register(
     "k10_mine_cases",
@@ -93,6 +123,16 @@ register(
         _facts(fx), fx.code_files.select(F.split("file", "/")[0].alias("project")).distinct().select("project", F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("site")), 2, None
     ).select("project", "site", "inputs", "file", "line")
 )
+register(
+    "k10_json_cases",
+    """with o as (select split_part(file, '/', 1) as project, file, case shape when 0 then '{"n":2,"question":"q' || file_id || '"}' else '{"id":' || file_id || ',"input":{"a":1}}' end as inputs from fx_json_files where shape in (0, 1)),
+         r as (select *, row_number() over (partition by project order by file, inputs) as k from o)
+       select project, 's' as site, inputs, file, 1 as line from r where k <= 3""",
+)(
+    lambda fx: corpus.mine_cases(
+        _facts(fx), fx.json_files.select(F.split("file", "/")[0].alias("project")).distinct().withColumn("site", F.lit("s")), 3, files=fx.json_files
+    ).select("project", "site", "inputs", "file", "line")
+)
 _EDGE = "select file, {0} as src_line, {1} as dst_line, '{2}' as kind, '{3}' as confidence from fx_code_files where shape = {4}"
 register("d1_variable_edges", _EDGE.format(4, 5, "variable", "high", 0))(lambda fx: _lines(_with_sites(corpus.variable_edges)(fx)))
 register("d2_function_edges", _EDGE.format(3, 5, "function", "high", 5))(lambda fx: _lines(_with_sites(corpus.function_edges)(fx)))

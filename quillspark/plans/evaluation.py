@@ -167,7 +167,7 @@ register(
     "u7_feedback_block",
     """with w as (select run_id % 50 as k, id, rating, row_number() over (partition by run_id % 50 order by rating, id) as rank, critique from fx_feedback where length(critique) > 0),
          p as (select k, 1 as part, 'Worst cases' as title, rank, 'case ' || id as line from w where rank <= 2 union all select run_id % 50, 2, 'Thumbs down', id, 'case ' || id from fx_feedback where rating = -1
-           union all select run_id % 50, 3, 'Notes', id, 'note ' || id from fx_feedback where rating = 0 and id % 40 = 0),
+           union all select run_id % 50, 3, 'Notes', id, 'note ' || id from fx_feedback where rating = 0),
          b as (select k, part, title || ':' || chr(10) || string_agg('- ' || line, chr(10) order by rank, line) as t from p group by k, part, title)
        select k as round_id, string_agg(t, chr(10) || chr(10) order by part) as block from b group by 1""",
 )(
@@ -178,7 +178,7 @@ register(
                 "round_id", "rank", F.concat(F.lit("case "), F.col("case_index").cast("string")).alias("line")
             ),
             f.where("rating = -1").select("round_id", F.col("id").alias("rank"), F.concat(F.lit("case "), F.col("id").cast("string")).alias("line")),
-            f.where("rating = 0 and id % 40 = 0").select("round_id", F.col("id").alias("rank"), F.concat(F.lit("note "), F.col("id").cast("string")).alias("line")),
+            f.where("rating = 0").select("round_id", F.col("id").alias("rank"), F.concat(F.lit("note "), F.col("id").cast("string")).alias("line")),
             "round_id",
         )
     )(fx.feedback.select((F.col("run_id") % 50).alias("round_id"), "id", "rating", "critique"))
@@ -461,13 +461,13 @@ register(
 )(lambda fx: graph.segment_entries(fx.nodes.select(F.col("pipeline_id").alias("run_id"), F.col("prompt_id").alias("node")), fx.edges, fx.nodes.select(F.col("prompt_id").alias("node")).where("node % 50 = 3")))
 register(
     "g8_impact_status_map",
-    """with recursive e as (select distinct src, dst from fx_edges), r(start, node) as (select src, dst from e where src % 5 = 1 union select r.start, e.dst from r join e on e.src = r.node),
+    """with recursive e as (select distinct src, dst from fx_edges), r(start, node) as (select src, dst from e union select r.start, e.dst from r join e on e.src = r.node),
          n as (select src as id from e union select dst from e), m as (select start, string_agg(cast(node as varchar), ',' order by node) as nodes from r where node <> start group by 1)
-       select p.id as prompt_id, case when p.id in (select id from n) then coalesce(m.nodes, '') end as nodes from fx_prompts p left join m on m.start = p.id where p.id % 5 = 1""",
+       select p.id as prompt_id, case when p.id in (select id from n) then coalesce(m.nodes, '') end as nodes from fx_prompts p left join m on m.start = p.id""",
 )(
     lambda fx: graph.impact_status_map(
-        fx.prompts.where("id % 5 = 1").select(F.col("id").alias("prompt_id")),
+        fx.prompts.select(F.col("id").alias("prompt_id")),
         fx.nodes,
-        graph.downstream_impact(fx.edges, fx.edges.where("src % 5 = 1").select(F.col("src").alias("start")).distinct()),
+        graph.downstream_impact(fx.edges, fx.edges.select(F.col("src").alias("start")).distinct()),
     ).select("prompt_id", F.array_join(F.map_keys("statuses"), ",").alias("nodes"))
 )

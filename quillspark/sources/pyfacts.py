@@ -9,10 +9,11 @@ A row is ``(file, fact, id, parent, pos, line, depth, scope, name, value, items,
   ``pos``, block depth in ``depth``, kind or name of the first argument in ``name``;
 - ``use``: a ``name`` among the arguments of call ``parent``;
 - ``message``: number ``pos`` of ``parent`` with role ``name``, kind ``value`` and ``text`` (of an
-  unresolved one, the name it comes from);
+  unresolved one, the name it comes from, or the function's with ``()`` where it is one's result);
 - ``assign``: ``name`` set to ``value`` (call, name, literal or other), with the call's id in ``parent``, the
   name or literal in ``text``;
-- ``return``: call ``parent`` whose result the function ``scope`` returns, or a message list of id ``id``;
+- ``return``: call ``parent`` whose result the function ``scope`` returns, or a message list of id ``id`` (or one
+  message of that id, with ``value`` dict);
 - ``pipe``: operand ``pos`` of chain ``id`` is call ``parent``;
 - ``dict``: a literal with ``items`` as keys and JSON ``text``;
 - ``warning``: code in ``name``, reason in ``text``.
@@ -48,6 +49,8 @@ def _text_of(node: ast.AST) -> tuple[str, str]:
         return "literal", node.value
     if isinstance(node, ast.JoinedStr):
         return "fstring", "".join(v.value if isinstance(v, ast.Constant) else "{" + ast.unparse(v.value) + "}" for v in node.values)
+    if isinstance(node, ast.Call) and isinstance(node.func, ast.Name):
+        return "unresolved", f"{node.func.id}()"
     return "unresolved", _dotted(node) if isinstance(node, ast.Name | ast.Attribute) else ""
 
 
@@ -96,6 +99,8 @@ class _Facts(ast.NodeVisitor):
             return
         for pos, item in enumerate(node.elts):
             fields = {k.value: v for k, v in zip(item.keys, item.values, strict=True) if isinstance(k, ast.Constant)} if isinstance(item, ast.Dict) else {}
+            if isinstance(item, ast.Tuple) and len(item.elts) == 2:
+                fields = dict(zip(("role", "content"), item.elts))
             role = fields["role"].value if isinstance(fields.get("role"), ast.Constant) else "user"
             kind, text = _text_of(fields.get("content", item))
             self.add("message", item, parent=owner, pos=pos + 1, name=str(role), value=kind, text=text)
@@ -150,6 +155,9 @@ class _Facts(ast.NodeVisitor):
         elif isinstance(value, ast.List | ast.Constant | ast.JoinedStr):
             self.add("return", node, id=self.ident(value))
             self.messages(self.ident(value), value)
+        elif isinstance(value, ast.Dict) and {"role", "content"} <= {k.value for k in value.keys if isinstance(k, ast.Constant)}:
+            self.add("return", node, id=self.ident(value), value="dict")
+            self.messages(self.ident(value), ast.List(elts=[value]))
         self.generic_visit(node)
 
     def visit_BinOp(self, node: ast.BinOp) -> None:

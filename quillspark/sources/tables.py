@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.integrity import fresh_cases
+from quillspark.storage import exists
 
 OUTPUT = "case_index bigint, text string, error string, input_tokens bigint, output_tokens bigint"
 CASE = "id string, prompt_site_id string, inputs map<string,string>, expected string, tags array<string>, source string, notes string"
@@ -30,9 +31,13 @@ def read_outputs(spark: SparkSession, path: str, schema: str = OUTPUT) -> tuple[
     """``(good, bad)`` lines of run outputs under ``path``, with the run from the folder ``run_id=...``.
 
     Lines that are no JSON or have a field of the wrong type are in ``bad``, as they stand; blank lines
-    are neither. One pass each; nothing is cached.
+    are neither. One pass each; nothing is cached. A path that is not there has no rows.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"run_id=([^/]+)/", 1))
+    if exists(spark, path):
+        found = spark.read.option("recursiveFileLookup", "true").text(path)
+        lines = found.withColumn("run_id", F.regexp_extract(F.col("_metadata.file_path"), r"run_id=([^/]+)/", 1))
+    else:
+        lines = spark.createDataFrame([], "value string, run_id string")
     read = lines.where("trim(value) <> ''").select(
         "run_id", "value", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("_r")
     )
@@ -48,7 +53,9 @@ def write_outputs(df: DataFrame, path: str) -> None:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """S3: cases from JSON lines; lines that do not fit the schema, or have no id, are left out."""
+    """S3: cases from JSON lines; lines that do not fit the schema, or have no id, are left out. No path, no rows."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], CASE)
     whole = spark.read.schema(f"{CASE}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path)
     return whole.where("_bad is null and id is not null").drop("_bad")
 
@@ -105,13 +112,9 @@ class Tables:
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base.rstrip("/")
 
-    def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
     def read(self, name: str) -> DataFrame:
         schema = SCHEMAS[name]
-        if not self._exists(name):
+        if not exists(self.spark, f"{self.base}/{name}"):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.base}/{name}")
 

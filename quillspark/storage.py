@@ -51,6 +51,13 @@ def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder, or any that a pattern fits, is there; on any store that Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete an intermediate table through Hadoop's file system, so it works on any store."""
     jvm = spark._jvm
