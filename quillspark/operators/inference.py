@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as X
 from quillspark.operators import cases as C
 from quillspark.operators.iterations import Convergence, check_convergence
-from quillspark.operators.judging import critic_reply, judge_replies, weighted_total
+from quillspark.operators.judging import DEFAULT_DIMENSIONS, critic_reply, feedback_block, judge_replies, judge_view, weighted_total, worst_cases
 from quillspark.operators.graph import topo_levels
+from quillspark.operators.scores import weakest_dimensions
 from quillspark.storage import materialise, materialise_at
 
 MODES = ("node", "segment", "end_to_end")
@@ -89,14 +90,41 @@ def run_prompts(matrix: DataFrame, backend: ChatBackend, keys: list[str]) -> Dat
     )
 
 
-def run_pipelines(prompts: DataFrame, edges: DataFrame, cases: DataFrame, backend: ChatBackend) -> DataFrame:
+def select_nodes(prompts: DataFrame, requests: DataFrame) -> DataFrame:
+    """The rows of ``prompts`` that each request runs: its node, its segment, or the whole pipeline.
+
+    ``requests`` is ``(pipeline_id, mode, node, segment)``, one a pipeline, as :func:`validate_runs` passes them. An
+    unknown mode, a missing selector, and a node that its pipeline lacks are a ``ValueError``.
+    """
+    mode = F.col("mode")
+    segment = F.when((mode == "segment") & (F.size("segment") > 0), F.col("segment"))
+    wanted = requests.withColumn("_wanted", F.when((mode == "node") & F.col("node").isNotNull(), F.array("node")).otherwise(segment))
+    bad = wanted.where(mode.isNull() | ~mode.isin(*MODES) | ((mode != "end_to_end") & F.col("_wanted").isNull())).first()
+    if bad is not None:
+        raise ValueError(f"pipeline {bad['pipeline_id']}: mode {bad['mode']} is unknown or lacks its selector")
+    named = wanted.select("pipeline_id", F.explode("_wanted").alias("node")).distinct()
+    unknown = named.join(prompts, ["pipeline_id", "node"], "left_anti").first()
+    if unknown is not None:
+        raise ValueError(f"node {unknown['node']} is not in pipeline {unknown['pipeline_id']}")
+    whole = wanted.where("mode = 'end_to_end'").select("pipeline_id").distinct()
+    return prompts.join(whole, "pipeline_id", "left_semi").unionByName(prompts.join(named, ["pipeline_id", "node"], "left_semi"))
+
+
+def run_pipelines(prompts: DataFrame, edges: DataFrame, cases: DataFrame, backend: ChatBackend, requests: DataFrame | None = None) -> DataFrame:
     """``(pipeline_id, node, case_index, text, error)``: each case through its pipeline, outputs passed along edges.
 
+    With ``requests`` (see :func:`select_nodes`) only pipelines asked for run, whole, or one node, or a segment whose
+    nodes get outputs along the edges inside it; all nodes also read the case's own inputs.
+
     ``prompts`` is ``(pipeline_id, node, template)``, ``edges`` ``(src, dst, via, pos)`` between them, ``cases``
     ``(pipeline_id, case_index, inputs)``. A node and a case in two pipelines need ids of their own. One job
     a topological level runs that level of all pipelines; a case ends at its first failing level. A cycle
     is an error.
     """
+    if requests is not None:
+        prompts = materialise(select_nodes(prompts, requests), "selected")
+        inside = prompts.select("node").distinct()
+        edges = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
     levels = materialise(topo_levels(edges), "levels")
     if not levels.where("level is null").isEmpty():
         raise ValueError("a pipeline has a cycle")
@@ -137,29 +165,63 @@ def validate_runs(requests: DataFrame, nodes: DataFrame) -> DataFrame:
     return requests.join(unknown, "run_id", "left").select("run_id", errors.alias("errors"))
 
 
-def judge_prompt(rubric: str, shown: Column) -> Column:
-    """What a judge reads: the task, the dimensions, the output."""
-    return F.concat_ws("\n\n", F.lit("Score the output from 0 to 1 on each dimension and reply with one JSON object."), F.lit(f"Dimensions: {rubric}"), F.concat(F.lit("Output: "), F.coalesce(shown, F.lit("(no output)"))))
+def _weights(dims: Sequence[tuple], *names: str) -> str:
+    return json.dumps([dict(zip(names, d)) for d in dims], ensure_ascii=False)
+
+
+def judge_prompt(dims: Sequence[tuple[str, float] | tuple[str, float, str]], shown: Column, purpose: Column | None = None, reference: Column | None = None) -> Column:
+    """What a judge reads: the purpose, the dimensions (with weight and rubric), the output, a reference if any, the ask."""
+    return F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("Purpose of the prompt: "), F.coalesce(purpose if purpose is not None else F.lit(None), F.lit("(not stated)"))),
+        F.lit("Score the output from 0 to 1 on each of these dimensions:"),
+        F.lit(_weights(dims, "name", "weight", "rubric")),
+        F.lit("Output:"),
+        F.coalesce(shown, F.lit("(no output)")),
+        *([] if reference is None else [F.concat(F.lit("Reference, to hold the output against:\n\n"), reference)]),
+        F.lit(f'Reply with one JSON object: a number for each of {", ".join(d[0] for d in dims)}, and a text "critique".'),
+    )
 
 
-def critic_prompt(template: Column, block: Column, instruction: Column) -> Column:
-    """What a critic reads: the task, the template, the feedback, and the user's instruction if there is one."""
-    task = F.lit('Improve the template. Reply with one JSON object with "revised_template" and "rationale".')
-    return F.concat_ws("\n\n", task, F.concat(F.lit("Template: "), template), block, F.concat(F.lit("Instruction: "), instruction))
+def critic_prompt(template: Column, block: Column, instruction: Column, dims: Sequence[tuple[str, float]] = DEFAULT_DIMENSIONS, name: Column | None = None, purpose: Column | None = None) -> Column:
+    """What a critic reads: name, purpose, template, feedback, weights, the user's instruction if any, the ask."""
+    said = lambda c, label: F.concat(F.lit(f"{label}: "), F.coalesce(c if c is not None else F.lit(None), F.lit("(not stated)")))
+    return F.concat_ws(
+        "\n\n",
+        F.lit("Improve the template by the feedback."),
+        said(name, "Name"),
+        said(purpose, "Purpose"),
+        F.concat(F.lit("Template: "), template),
+        F.concat(F.lit("Feedback:\n"), F.coalesce(F.nullif(block, F.lit("")), F.lit("(none this round)"))),
+        F.lit(f"Weights: {_weights(dims, 'name', 'weight')}"),
+        F.concat(F.lit("Instruction, to be followed: "), instruction),
+        F.lit('Reply with one JSON object with "revised_template" and "rationale".'),
+    )
 
 
 def judge_outputs(outputs: DataFrame, dims: Sequence[tuple[str, float]], backend: ChatBackend, keys: list[str]) -> DataFrame:
-    """U4: ``(*keys, weighted_total, critique)``; an output without text, or a failed call, scores 0."""
-    said = call_model(outputs.select(*keys, "text"), judge_prompt(", ".join(d for d, _ in dims), F.col("text")), backend, 0.0, 512)
-    per_dim = judge_replies(said, dims, keys)
-    return weighted_total(per_dim, [*keys, "critique"]).select(*keys, "weighted_total", "critique")
+    """U4: ``(*keys, weighted_total, critique)``; an output without text, or a failed call, scores 0.
+
+    ``outputs`` is ``(*keys, text, error)``; the judge sees what P9 shows, and the columns ``purpose`` and
+    ``reference`` where there are any.
+    """
+    return weighted_total(judge_dimensions(outputs, dims, backend, keys), [*keys, "critique"]).select(*keys, "weighted_total", "critique")
 
 
-def revise(requests: DataFrame, backend: ChatBackend) -> DataFrame:
+def judge_dimensions(outputs: DataFrame, dims: Sequence[tuple[str, float]], backend: ChatBackend, keys: list[str]) -> DataFrame:
+    """U4 before A8: ``(*keys, dimension, weight, score, critique)``."""
+    more = [c for c in ("purpose", "reference") if c in outputs.columns]
+    shown = judge_view(outputs, [*keys, *more])
+    col = lambda c: F.col(c) if c in more else None
+    said = call_model(shown, judge_prompt(dims, F.col("shown"), col("purpose"), col("reference")), backend, 0.0, 512)
+    return judge_replies(said, [d[:2] for d in dims], keys)
+
+
+def revise(requests: DataFrame, backend: ChatBackend, dims: Sequence[tuple[str, float]] = DEFAULT_DIMENSIONS) -> DataFrame:
     """``(prompt_id, template, rationale, status)`` of each request.
 
-    ``requests`` is ``(prompt_id, mode, template, block, instruction)``. Manual revisions take the
-    instruction as the new template, without a call; guided and manual ones without it have a status.
+    ``requests`` is ``(prompt_id, mode, template, block, instruction)``, with ``name`` and ``purpose`` where there are
+    any. Manual revisions take the instruction as the new template, without a call; guided and manual ones without it have a status.
     """
     lacks = F.coalesce(F.trim("instruction"), F.lit("")) == ""
     bad = (F.col("mode") != "auto") & lacks
@@ -168,35 +230,38 @@ def revise(requests: DataFrame, backend: ChatBackend) -> DataFrame:
     )
     calls = requests.where((F.col("mode") != "manual") & ~bad)
     hint = F.when(F.col("mode") == "guided", F.col("instruction"))
-    said = call_model(calls, critic_prompt(F.col("template"), F.col("block"), hint), backend, 0.0, 2048)
+    col = lambda c: F.col(c) if c in requests.columns else None
+    said = call_model(calls, critic_prompt(F.col("template"), F.col("block"), hint, dims, col("name"), col("purpose")), backend, 0.0, 2048)
     read = critic_reply(F.col("reply"))
     guided = F.when(hint.isNotNull(), F.concat(F.lit("User instruction: "), hint, F.lit("\nCritic: "), read["rationale"])).otherwise(read["rationale"])
     status = F.when(F.col("error").isNotNull(), "call_failed").otherwise(read["status"])
     return by_hand.unionByName(said.select("prompt_id", read["template"].alias("template"), F.when(read["template"].isNotNull(), guided).alias("rationale"), status.alias("status")))
 
 
-def iterate_sessions(prompts: DataFrame, cases: DataFrame, dims: Sequence[tuple[str, float]], runner: ChatBackend, judge: ChatBackend, critic: ChatBackend, cfg: Convergence = Convergence()) -> DataFrame:
+def iterate_sessions(prompts: DataFrame, cases: DataFrame, dims: Sequence[tuple[str, float]], runner: ChatBackend, judge: ChatBackend, critic: ChatBackend, cfg: Convergence = Convergence(), notes: DataFrame | None = None) -> DataFrame:
     """U8: ``(session_id, round, template, weighted_score, revise_mode, reason)`` of all sessions together.
 
     ``prompts`` is ``(session_id, template)``, ``cases`` ``(session_id, case_index, inputs)``. Round 1 is the
     baseline; each later round revises, runs, judges and checks the convergence rule for every session
-    that goes on. A failed critic writes a ``failed`` round of score 0 and ends the session. A round is
+    that goes on. The critic reads what the judge said of the round before (U7) and users' ``notes`` ``(session_id,
+    case_index, thumb, note)`` if given. A failed critic writes a ``failed`` round of score 0 and ends the session. A round is
     one table in the shared folder, so there are at most ``max_rounds`` of them whatever the rows.
     """
-    spark, paths, schema, rounds = prompts.sparkSession, [], None, None
+    spark, paths, schema, rounds, judged = prompts.sparkSession, [], None, None, None
     live = prompts.select("session_id", "template", F.lit("auto").alias("revise_mode"))
     for number in range(1, cfg.max_rounds + 1):
         if rounds is not None:
             seen = check_convergence(rounds, cfg)
             over = seen.where("reason is not null or revise_mode = 'failed'").select("session_id").distinct()
             going = rounds.where(F.col("round") == number - 1).join(over, "session_id", "left_anti")
-            asked = going.select(F.col("session_id").alias("prompt_id"), F.lit("auto").alias("mode"), "template", F.lit("").alias("block"), F.lit(None).cast("string").alias("instruction"))
-            made = revise(asked, critic).select(F.col("prompt_id").alias("session_id"), "template", F.when(F.col("status") == "ok", "auto").otherwise("failed").alias("revise_mode"))
+            asked = going.select(F.col("session_id").alias("prompt_id"), F.lit("auto").alias("mode"), "template", F.lit(None).cast("string").alias("instruction"))
+            asked = asked.join(session_block(judged, notes).withColumnRenamed("session_id", "prompt_id"), "prompt_id", "left")
+            made = revise(asked, critic, dims).select(F.col("prompt_id").alias("session_id"), "template", F.when(F.col("status") == "ok", "auto").otherwise("failed").alias("revise_mode"))
             live = materialise(made, "revised")
         good = live.where("revise_mode <> 'failed'")
         outputs = run_prompts(good.join(cases, "session_id"), runner, ["session_id", "case_index"])
-        judged = judge_outputs(outputs, dims, judge, ["session_id", "case_index"])
-        mean = judged.groupBy("session_id").agg(F.round(F.avg("weighted_total"), 9).alias("weighted_score"))
+        judged = materialise(judge_dimensions(outputs, dims, judge, ["session_id", "case_index"]), "judged")
+        mean = weighted_total(judged, ["session_id", "case_index"]).groupBy("session_id").agg(F.round(F.avg("weighted_total"), 9).alias("weighted_score"))
         row = live.join(mean, "session_id", "left").select("session_id", F.lit(number).alias("round"), "template", F.coalesce("weighted_score", F.lit(0.0)).alias("weighted_score"), "revise_mode")
         written, path = materialise_at(row, "round")
         if written.isEmpty():
@@ -207,6 +272,25 @@ def iterate_sessions(prompts: DataFrame, cases: DataFrame, dims: Sequence[tuple[
     return check_convergence(rounds, cfg)
 
 
+def session_block(judged: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """U7 for the sessions of one round: ``(session_id, block)``.
+
+    ``judged`` is ``(session_id, case_index, dimension, weight, score, critique)``, ``notes`` ``(session_id,
+    case_index, thumb, note)``.
+    """
+    line = lambda df, text: df.select("session_id", F.col("rank").cast("long").alias("rank"), text.alias("line"))
+    case = lambda said: F.concat(F.lit("case "), F.col("case_index").cast("string"), F.lit(": "), said)
+    weak = line(weakest_dimensions(judged.select("session_id", "dimension", "weight", "score")), F.col("dimension"))
+    totals = weighted_total(judged, ["session_id", "case_index", "critique"])
+    worst = line(worst_cases(totals, "session_id"), case(F.col("critique")))
+    if notes is None:
+        notes = judged.sparkSession.createDataFrame([], "session_id long, case_index long, thumb string, note string")
+    ranked = notes.withColumn("rank", F.col("case_index"))
+    down = line(ranked.where("thumb = 'down'"), case(F.coalesce(F.nullif("note", F.lit("")), F.lit("(no note)"))))
+    other = line(ranked.where("thumb is null and length(note) > 0"), case(F.col("note")))
+    return feedback_block(weak, worst, down, other, "session_id")
+
+
 def enrich_sites(sites: DataFrame, backend: ChatBackend) -> DataFrame:
     """Sites confirmed and given a purpose by a model: ``(id, confidence, purpose)``.
 
@@ -226,20 +310,34 @@ def enrich_sites(sites: DataFrame, backend: ChatBackend) -> DataFrame:
     return kept.unionByName(confirmed.select("id", confidence.alias("confidence"), purpose.alias("purpose")))
 
 
-def expand_cases_llm(seeds: DataFrame, backend: ChatBackend, n: int) -> DataFrame:
-    """Exactly ``n`` new cases a site: those a model lists, filled up by boundary cases (Q9)."""
+def expand_cases_llm(seeds: DataFrame, backend: ChatBackend, n: int, shapes: DataFrame | None = None) -> DataFrame:
+    """Exactly ``n`` new cases a site: those a model lists, filled up by boundary cases (Q9).
+
+    With ``shapes`` ``(site, function, args, doc)``, as K9 finds them, the model also reads how the site's code takes
+    its inputs; a site without one is asked as before.
+    """
     sent = F.concat(F.lit(f"Write {n} more cases as a JSON array. Seed: "), C.canonical_json(F.col("inputs")))
+    if shapes is not None:
+        seeds = seeds.join(shapes, "site", "left")
+        around = F.concat(F.lit("\n\nTaken by "), "function", F.lit("("), F.array_join("args", ", "), F.lit(")"), F.coalesce(F.concat(F.lit(": "), F.nullif("doc", F.lit(""))), F.lit("")))
+        sent = F.concat(sent, F.coalesce(around, F.lit("")))
     said = call_model(seeds.select("site", F.to_json("inputs").alias("_seed"), sent.alias("_ask")), F.col("_ask"), backend, 0.7, 2048)
     listed = said.select("site", F.from_json("_seed", "map<string,string>").alias("seed"), F.posexplode(C.json_objects(F.col("reply"))).alias("pos", "item"))
-    return C.expand_cases(seeds, listed.select("site", "pos", C.case_inputs(F.col("item"), F.col("seed")).alias("inputs")), n)
+    return C.expand_cases(seeds.select("site", "inputs"), listed.select("site", "pos", C.case_inputs(F.col("item"), F.col("seed")).alias("inputs")), n)
 
 
-def generate_cases(mode: str, seeds: DataFrame, mined: DataFrame, backend: ChatBackend, n: int) -> DataFrame:
-    """``(site, k, case_id, origin)`` by mode: ``seed`` (the stored ones), ``fixtures`` (mined) or ``expand`` (a model's)."""
-    if mode == "expand":
-        return expand_cases_llm(seeds, backend, n)
-    if mode not in ("seed", "fixtures"):
+def generate_cases(mode: str, seeds: DataFrame, mined: DataFrame, backend: ChatBackend, n: int, shapes: DataFrame | None = None) -> DataFrame:
+    """``(site, k, case_id, origin)`` by mode.
+
+    ``seed`` takes the stored cases, ``fixtures`` the mined ones, ``expand`` a model's, and ``context`` a model's that has
+    read the sites' ``shapes`` (K9); that mode needs them.
+    """
+    if mode not in ("seed", "fixtures", "expand", "context"):
         raise ValueError(f"unknown mode: {mode}")
+    if mode == "context" and shapes is None:
+        raise ValueError("mode context needs shapes")
+    if mode in ("expand", "context"):
+        return expand_cases_llm(seeds, backend, n, shapes if mode == "context" else None)
     of = (seeds.withColumn("pos", F.lit(0)) if mode == "seed" else mined).withColumn("case_id", C.case_id(F.col("site"), F.col("inputs")))
     once = of.groupBy("site", "case_id").agg(F.min("pos").alias("pos"))
     rank = F.row_number().over(Window.partitionBy("site").orderBy("pos", "case_id")) - 1

@@ -161,10 +161,21 @@ register(
     f"""with {_RAN} select case_id, text, case when text is null then 'RuntimeError: refused' end as error, cast(case when text is null then 0 else greatest(1, floor(length(sent) / 4)) end as bigint) as input_tokens,
        cast(case when text is null then 0 else greatest(1, floor(length(text) / 4)) end as bigint) as output_tokens from r""",
 )(lambda fx: inference.run_prompts(_matrix(fx), _BACKEND, ["case_id"]))
-_JUDGE_HEAD = "'Score the output from 0 to 1 on each dimension and reply with one JSON object.' || chr(10) || chr(10) || 'Dimensions: accuracy, relevance, safety, format' || chr(10) || chr(10) || 'Output: '"
+_NL2 = "chr(10) || chr(10)"
+
+
+def _judge_sql(dims: str, names: str, shown: str) -> str:
+    """What a judge reads, in SQL."""
+    return f"""concat_ws({_NL2}, 'Purpose of the prompt: (not stated)', 'Score the output from 0 to 1 on each of these dimensions:', '{dims}', 'Output:', {shown},
+      'Reply with one JSON object: a number for each of {names}, and a text "critique".')"""
+
+
+_DEFAULT_DIMS = '[{"name": "accuracy", "weight": 0.4}, {"name": "relevance", "weight": 0.3}, {"name": "safety", "weight": 0.15}, {"name": "format", "weight": 0.15}]'
+_DEFAULT_NAMES = "accuracy, relevance, safety, format"
+_SHOWN = "case when text is not null then cast(json_object('text', text) as varchar) else cast(json_object('error', 'RuntimeError: refused') as varchar) end"
 register(
     "u4_judge_outputs",
-    f"""with {_RAN}, n as (select case_id, length({_JUDGE_HEAD} || coalesce(text, '(no output)')) as n from r)
+    f"""with {_RAN}, n as (select case_id, length({_judge_sql(_DEFAULT_DIMS, _DEFAULT_NAMES, _SHOWN)}) as n from r)
        select case_id, round((n % 5) / 4.0::double * 0.4::double + ((n + 1) % 5) / 4.0::double * 0.3::double + ((n + 2) % 5) / 4.0::double * 0.15::double + ((n + 3) % 5) / 4.0::double * 0.15::double, 9) as weighted_total, 'length ' || n as critique from n""",
 )(lambda fx: inference.judge_outputs(inference.run_prompts(_matrix(fx), _BACKEND, ["case_id"]), judging.DEFAULT_DIMENSIONS, inference.ScoringBackend(), ["case_id"]))
 register(
@@ -207,11 +218,32 @@ register("u2_run_pipelines", f"{_LINE} select node, case_index, text, null::varc
         ).select("node", "case_index", "text", "error")
     )(fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
 )
+_MODES = "case id % 12 when 0 then 'node' when 4 then 'segment' else 'end_to_end' end"
+register(
+    "u2_run_modes",
+    f"""with recursive q as (select id, name, {_MODES} as mode from fx_prompts where id % 4 = 0),
+         n as (select q.*, id + k as node, k from q cross join (values (0), (1), (2)) v(k) where mode = 'end_to_end' or (mode = 'node' and k = 1) or (mode = 'segment' and k > 0)),
+         p(id, node, k, text) as (select id, node, k, case when k = 0 then 'echo: start ' || name else 'echo: next {{before}}' end from n where k = 0 or (mode <> 'end_to_end' and k = 1)
+           union all select p.id, n.node, n.k, 'echo: next ' || p.text from p join n on n.id = p.id and n.k = p.k + 1)
+       select id as pipeline_id, node, text from p""",
+)(
+    lambda fx: (
+        lambda ids: inference.run_pipelines(
+            ids.selectExpr("pipe as pipeline_id", "node", "case when node % 4 = 0 then 'start {name}' else 'next {before}' end as template"),
+            ids.where("node % 4 > 0").selectExpr("node - 1 as src", "node as dst", "'before' as via", "0 as pos"),
+            fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipeline_id"), F.lit(0).alias("case_index"), F.create_map(F.lit("name"), "name").alias("inputs")),
+            inference.EchoBackend(),
+            fx.prompts.where("id % 4 = 0").selectExpr(
+                "id as pipeline_id", f"{_MODES} as mode", "case when id % 12 = 0 then id + 1 end as node", "case when id % 12 = 4 then array(id + 1, id + 2) end as segment"
+            ),
+        ).select("pipeline_id", "node", "text")
+    )(fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
+)
 register(
     "u8_iterate_sessions",
     """with r as (select prompt_id as session_id, cast(n as int) as round, template || repeat(' Again.', n - 1) as template from fx_prompt_versions cross join (values (1), (2), (3), (4), (5)) v(n) where version = 1),
          k as (select id as session_id, cast(id as varchar) as question from fx_feedback),
-         j as (select r.session_id, round, length('Score the output from 0 to 1 on each dimension and reply with one JSON object.' || chr(10) || chr(10) || 'Dimensions: accuracy, relevance, safety, format' || chr(10) || chr(10) || 'Output: echo: ' || replace(template, '{question}', question)) as n
+         j as (select r.session_id, round, length(""" + _judge_sql(_DEFAULT_DIMS, _DEFAULT_NAMES, """'{"text":"echo: ' || replace(template, '{question}', question) || '"}'""") + """) as n
                from r join k on k.session_id = r.session_id),
          m as (select session_id, round, round(avg(round(n % 5 / 4.0::double * 0.4::double + (n + 1) % 5 / 4.0::double * 0.3::double + (n + 2) % 5 / 4.0::double * 0.15::double + (n + 3) % 5 / 4.0::double * 0.15::double, 9)), 9) as score from j group by 1, 2),
          c as (select r.session_id, r.round, r.template, coalesce(m.score, 0.0::double) as weighted_score from r left join m on m.session_id = r.session_id and m.round = r.round),
@@ -229,14 +261,24 @@ register(
 )
 register(
     "x26_prompt_texts",
-    """select run_id, case_index,
-         concat_ws(chr(10) || chr(10), 'Score the output from 0 to 1 on each dimension and reply with one JSON object.', 'Dimensions: accuracy, relevance', 'Output: ' || coalesce(text, '(no output)')) as judge,
-         concat_ws(chr(10) || chr(10), 'Improve the template. Reply with one JSON object with "revised_template" and "rationale".', 'Template: ' || provider, 'seen by ' || model, 'Instruction: ' || error) as critic
+    "select run_id, case_index, "
+    + _judge_sql(
+        '[{"name": "accuracy", "weight": 0.5, "rubric": "right"}, {"name": "relevance", "weight": 0.5, "rubric": "to the point"}]', "accuracy, relevance",
+        "coalesce(text, '(no output)'), 'Reference, to hold the output against:' || chr(10) || chr(10) || model",
+    ).replace("(not stated)", "' || provider || '")
+    + """ as judge,
+         concat_ws(chr(10) || chr(10), 'Improve the template by the feedback.', 'Name: ' || provider, 'Purpose: ' || coalesce(text, '(not stated)'), 'Template: ' || provider, 'Feedback:' || chr(10) || case when case_index % 2 = 0 then 'seen by ' || model else '(none this round)' end,
+           'Weights: """
+    + _DEFAULT_DIMS
+    + """', 'Instruction, to be followed: ' || error, 'Reply with one JSON object with "revised_template" and "rationale".') as critic
        from fx_outputs""",
 )(
     lambda fx: fx.outputs.select(
-        "run_id", "case_index", inference.judge_prompt("accuracy, relevance", F.col("text")).alias("judge"),
-        inference.critic_prompt(F.col("provider"), F.concat(F.lit("seen by "), "model"), F.col("error")).alias("critic"),
+        "run_id", "case_index",
+        inference.judge_prompt([("accuracy", 0.5, "right"), ("relevance", 0.5, "to the point")], F.col("text"), F.col("provider"), F.col("model")).alias("judge"),
+        inference.critic_prompt(
+            F.col("provider"), F.when(F.col("case_index") % 2 == 0, F.concat(F.lit("seen by "), "model")).otherwise(""), F.col("error"), name=F.col("provider"), purpose=F.col("text")
+        ).alias("critic"),
     )
 )
 register(
@@ -261,6 +303,31 @@ register(
 )
 
 
+register(
+    "u11_context_cases",
+    """with s as (select id as site, name as q, case when id % 2 = 0 then 'f' || id end as f from fx_prompts),
+         m as (select *, '{"q":"' || case when f is not null then f || '(q: str, n)' || case when site % 4 = 0 then ': Asks.' else '' end else 'none' end || '"}' as found from s)
+       select site, t.k, substr(sha1(concat(cast(site as varchar), chr(0), case when t.k = 0 then found else '{"q":"a"}' end)), 1, 12) as case_id, case when t.k = 0 then 'model' else 'boundary' end as origin
+       from m cross join (values (0), (1)) t(k)""",
+)(
+    lambda fx: (
+        lambda s: inference.generate_cases(
+            "context", s, s, _Shape(), 2,
+            fx.prompts.where("id % 2 = 0").select(
+                F.col("id").alias("site"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("function"), F.array(F.lit("q: str"), F.lit("n")).alias("args"), F.when(F.col("id") % 4 == 0, "Asks.").otherwise("").alias("doc")
+            ),
+        )
+    )(fx.prompts.select(F.col("id").alias("site"), F.create_map(F.lit("q"), "name").alias("inputs")))
+)
+
+
+class _Shape:
+    """A backend that lists one case: the function that its prompt names."""
+
+    def chat(self, prompt: str, temperature: float, max_tokens: int) -> str:
+        return inference.json.dumps([{"inputs": {"q": prompt.split("Taken by ", 1)[1] if "Taken by " in prompt else "none"}}])
+
+
 class _LastObject:
     """A backend that answers with the JSON object of its prompt's last lines."""
 

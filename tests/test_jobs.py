@@ -106,3 +106,57 @@ def test_names_in_a_loop_stay_unresolved(spark):
     said = corpus.site_messages(facts, templates).join(templates.select("id", "file", "scope"), "id")
     got = sorted((r.pos, r.kind, r.text) for r in corpus.resolve_names(said, facts).collect())
     assert got == [(1, "unresolved", "A"), (2, "literal", "text")]
+
+
+def test_the_critic_reads_what_the_judge_said(spark):
+    """From the second round on, the loop's critic gets weak dimensions, worst critiques and users' notes."""
+
+    class Quoting:
+        def chat(self, prompt, temperature, max_tokens):
+            return json.dumps({"revised_template": prompt.split("Feedback:\n", 1)[1].split("\n\nWeights", 1)[0], "rationale": "quoted"})
+
+    class Judge:
+        def chat(self, prompt, temperature, max_tokens):
+            return json.dumps({"accuracy": 0.5, "relevance": 1.0, "critique": "too short"})
+
+    prompts = spark.createDataFrame([(1, "Hi {q}")], "session_id long, template string")
+    asked = spark.createDataFrame([(1, 0, {"q": "a"}), (1, 1, {"q": "b"})], "session_id long, case_index long, inputs map<string,string>")
+    notes = spark.createDataFrame([(1, 0, "down", ""), (1, 1, None, "be kind"), (1, 2, "up", "fine")], "session_id long, case_index long, thumb string, note string")
+    got = inference.iterate_sessions(prompts, asked, [("accuracy", 0.5), ("relevance", 0.5)], inference.EchoBackend(), Judge(), Quoting(), Convergence(max_rounds=2), notes)
+    texts = {r.round: r.template for r in got.collect()}
+    assert texts[1] == "Hi {q}"
+    assert texts[2] == "\n\n".join(
+        ["Weak dimensions:\n- accuracy", "Worst cases:\n- case 0: too short\n- case 1: too short", "Thumbs down:\n- case 0: (no note)", "Notes:\n- case 1: be kind"]
+    )
+
+
+def test_run_modes_reject_what_is_not_there(spark):
+    prompts = spark.createDataFrame([(1, 1, "{q}"), (1, 2, "then {a}")], "pipeline_id long, node long, template string")
+    schema = "pipeline_id long, mode string, node long, segment array<long>"
+    for row in [(1, "all", None, None), (1, "node", None, None), (1, "segment", None, []), (1, "node", 9, None), (1, "segment", None, [1, 9]), (1, None, None, None)]:
+        with pytest.raises(ValueError):
+            inference.select_nodes(prompts, spark.createDataFrame([row], schema))
+    with pytest.raises(ValueError):
+        inference.generate_cases("context", prompts, prompts, inference.EchoBackend(), 1)
+
+
+def test_paths_that_are_not_there_have_no_rows(spark, tmp_path):
+    good, bad = tables.read_outputs(spark, f"{tmp_path}/none")
+    assert good.count() == 0 and bad.count() == 0 and good.columns[:2] == ["run_id", "case_index"]
+    assert tables.read_cases(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_stored_cases_are_appended_once(spark, tmp_path):
+    schema = tables.CASE
+    case = lambda i: (i, "p", {"q": i}, None, ["t"], "seed", None)
+    path = str(tmp_path / "cases")
+    tables.append_cases(spark.createDataFrame([case("a"), case("b")], schema), path, tables.read_cases(spark, path))
+    tables.append_cases(spark.createDataFrame([case("b"), case("c")], schema), path, tables.read_cases(spark, path))
+    assert sorted(r.id for r in tables.read_cases(spark, path).collect()) == ["a", "b", "c"]
+
+
+def test_environment_files_in_any_case(spark):
+    files = spark.createDataFrame([("p/APP.ENV", "OPENAI_API_KEY=x"), ("p/Settings.YAML", "ANTHROPIC_API_KEY: y"), ("p/readme.md", "OPENAI_API_KEY=x")], "file string, content string")
+    from quillspark.operators.inventory import provider_evidence
+
+    assert sorted((r.file, r.provider) for r in provider_evidence(files).collect()) == [("p/APP.ENV", "openai"), ("p/Settings.YAML", "anthropic")]

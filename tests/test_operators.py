@@ -80,3 +80,26 @@ def test_json_object(spark):
     rows = ['{"a": 1}', "```json\n{\"a\": 1}\n```", "see {\"a\": {\"b\": 2}} ok", "no", "[1]", "} {", None]
     got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "r string").select(X.json_object(F.col("r"))).collect()]
     assert got == ['{"a": 1}', '{"a": 1}', '{"a": {"b": 2}}', None, None, None, None]
+
+
+def test_impact_refuses_unknown_starts_and_cycles(spark):
+    edges = spark.createDataFrame([(1, 2, "a"), (2, 3, "a"), (3, 2, "a"), (4, 5, "a")], "src long, dst long, kind string")
+    one = lambda i: spark.createDataFrame([(i,)], "start long")
+    for bad, why in ((9, "not in the graph"), (1, "cycle")):
+        with pytest.raises(ValueError, match=why):
+            graph.downstream_impact(edges, one(bad))
+    assert [r.node for r in graph.downstream_impact(edges, one(4)).collect()] == [5]
+    assert graph.downstream_impact(edges, one(5)).count() == 0
+
+
+def test_impact_of_a_long_chain(spark):
+    """No limit of rings."""
+    depth = 12
+    edges = spark.createDataFrame([(i, i + 1, "a") for i in range(depth)], "src long, dst long, kind string")
+    got = graph.downstream_impact(edges, spark.createDataFrame([(0,)], "start long")).collect()
+    assert {r.node: r.distance for r in got} == {i: i for i in range(1, depth + 1)}
+
+
+def test_roles(spark):
+    df = spark.createDataFrame([("human",), ("AI",), ("function",), ("system",), (None,)], "r string")
+    assert [r[0] for r in df.select(X.role(F.col("r"))).collect()] == ["user", "assistant", "tool", "system", None]
