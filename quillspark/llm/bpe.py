@@ -79,16 +79,32 @@ class Contractor:
         self.raw: dict[str, bytes] = {}
         self.used: dict[str, int] = {}
         self.bytes, self.most, self.turn = 0, remembered_bytes, 0
-        # One thread, as Spark has a worker for each core; it never writes to a folder of its own.
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         merges = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
                     merges[left * BASE + right] = rank
-        self._table("merges", k=pa.array(list(merges), pa.int64()), m=pa.array(list(merges.values()), pa.int32()))
-        self._table("tokens", t=pa.array(list(self.token), pa.int32()), d=pa.array(map(str, self.token)), h=pa.array([k.hex() for k in self.token.values()]))
+        self.tables = {
+            "merges": {"k": pa.array(list(merges), pa.int64()), "m": pa.array(list(merges.values()), pa.int32())},
+            "tokens": {"t": pa.array(list(self.token), pa.int32()), "d": pa.array(map(str, self.token)), "h": pa.array([k.hex() for k in self.token.values()])},
+        }
+        self.con = None
+
+    def __enter__(self) -> "Contractor":
+        """Start the engine: one thread, as Spark has a worker for each core; it never writes to a folder of its own."""
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        for name, columns in self.tables.items():
+            self._table(name, **columns)
+        return self
+
+    def __exit__(self, *_) -> None:
+        """Stop the engine and forget all words: a worker that Spark keeps for other stages holds only the vocabulary."""
+        self.con.close()
+        self.con = None
+        for memory in (self.ids, self.raw, self.used):
+            memory.clear()
+        self.bytes = 0
 
     def _table(self, name: str, **columns: pa.Array) -> None:
         self.con.register("given", pa.table(columns))
@@ -219,7 +235,7 @@ def _chunks(costs: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 @functools.lru_cache(maxsize=1)
 def contractor(path: str, pattern: str) -> Contractor:
-    """One per Python worker, kept from task to task."""
+    """One vocabulary per Python worker, kept from task to task; its engine lives as long as a task."""
     return Contractor(path, pattern)
 
 
@@ -235,16 +251,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        engine = contractor(path, pattern)
-        for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = []
-            for text, (ids, raw) in zip(texts, engine.encode_all(texts)):
-                out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
-            cols = zip(*out) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
-            )
+        with contractor(path, pattern) as engine:
+            for batch in batches:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                out = []
+                for text, (ids, raw) in zip(texts, engine.encode_all(texts)):
+                    out.append((ids.count(",") + bool(ids), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(raw).hexdigest(), raw == text.encode()))
+                kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_())
+                cols = zip(*out) if out else [[]] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"]
+                )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")

@@ -105,10 +105,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     no other. Columns may have any names; an empty table gives an empty one.
     """
     index = DigestIndex(docs.sparkSession)
-    kept = index.add(docs, id_col, text_col).where("kept").select("digest", "keep_id").distinct()
+    kept = index.add(docs, id_col, text_col).where("kept").groupBy("digest", "keep_id").agg(F.count("*").alias("n"))
+    kept = materialise(kept, "kept")
     index.drop()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
-    held = whole.join(kept, (whole["digest"] == kept["digest"]) & whole["id"].eqNullSafe(kept["keep_id"]), "left_semi")
-    # Rows of one text and id meet in the join already; a text that repeats under other ids has left by then.
-    first = F.row_number().over(Window.partitionBy("digest").orderBy("id"))
-    return held.withColumn("n", first).where("n = 1").select("row.*")
+    held = lambda these: whole.join(these, (whole["digest"] == these["digest"]) & whole["id"].eqNullSafe(these["keep_id"]), "left_semi")
+    again = kept.where("n > 1")
+    if again.isEmpty():
+        return held(kept).select("row.*")
+    # Only rows that repeat are numbered; a text's copies under other ids have left by then.
+    first = held(again).withColumn("k", F.row_number().over(Window.partitionBy("digest").orderBy("id"))).where("k = 1")
+    return held(kept.where("n = 1")).select("row.*").unionByName(first.select("row.*"))

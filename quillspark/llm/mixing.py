@@ -164,17 +164,17 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     words are the mix's. Columns may have any names; an empty table gives an empty one.
     """
     size = word_count(F.col("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text", size.alias("size")).where("size > 0")
-    alike = ["doc_id", "source", "size"]
-    mix = mix_sources(docs, **options).groupBy(*alike).agg(F.count("*").alias("n"), F.sum("taken").alias("sum")).toDF("m_id", "m_source", "m_size", "n", "sum")
-    ordered = rows.withColumn("k", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (F.col("size") == F.col("m_size"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.struct("doc_id", "source", size.alias("size")).alias("alike")).where("alike.size > 0")
+    mix = mix_sources(docs, **options).groupBy(F.struct("doc_id", "source", "size").alias("alike")).agg(F.count("*").alias("n"), F.sum("taken").alias("sum"))
+    # One key of one type, in which nulls are equal: so the numbering and the join need one shuffle.
+    ordered = rows.withColumn("k", F.row_number().over(Window.partitionBy("alike").orderBy(F.xxhash64("row.text"))))
     # The group's words: whole repetitions of all its rows, then of the first ones, then a part of the next.
+    joined = ordered.join(mix, "alike").select("row", "k", "n", "sum", "alike.size")
     whole = F.floor(F.col("sum") / (F.col("n") * F.col("size")))
     extra = F.col("sum") - whole * F.col("n") * F.col("size") - (F.col("k") - 1) * F.col("size")
-    dealt = ordered.join(mix, same).withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra))).where("taken > 0")
-    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    lead = F.col("text").rlike(r"^[\x20\x09-\x0D]").cast("long")
+    dealt = joined.withColumn("taken", whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), extra))).where("taken > 0")
+    pieces = F.split("row.text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
+    lead = F.col("row.text").rlike(r"^[\x20\x09-\x0D]").cast("long")
     cut = F.array_join(F.slice(pieces, F.lit(1), (F.col("taken") % F.col("size") + lead).cast("int")), "")
     copies = F.expr("transform(sequence(1, cast(ceil(taken / size) as int)), k -> k * size <= taken)")
     out = dealt.withColumn("is_whole", F.explode(copies)).withColumn("cut", F.when(~F.col("is_whole"), cut))

@@ -33,9 +33,9 @@ ODD = ["", " ", "  ", "   a", "a   b", "a \n b", "\n\n x", "x\t \ty", "it's we'L
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([*"aAeé' \n\t\x1c  .1日!s", "the ", " of", "'ll"]), max_size=40).map("".join), min_size=1, max_size=8))
 def test_bpe_any_text(library, texts):
-    engine = bpe.contractor(PATH, public_tokenizers.PATTERN)
-    for t, (ids, raw) in zip(texts, engine.encode(texts)):
-        assert ids == ",".join(map(str, library.encode_ordinary(t))) and raw == t.encode()
+    with bpe.contractor(PATH, public_tokenizers.PATTERN) as engine:
+        for t, (ids, raw) in zip(texts, engine.encode(texts)):
+            assert ids == ",".join(map(str, library.encode_ordinary(t))) and raw == t.encode()
 
 
 def test_bpe_table(spark, library):
@@ -54,7 +54,7 @@ def test_bpe_table(spark, library):
 
 
 def test_bpe_memory_turns_over(library):
-    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 5 * bpe.ENTRY_BYTES)
+    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 5 * bpe.ENTRY_BYTES).__enter__()
     for t in ["one twoo three fourr five sixx seven", "five sixx eightt nine", "one twoo ten"] * 2:
         assert list(engine.encode([t]))[0][0] == ",".join(map(str, library.encode_ordinary(t)))
         assert engine.bytes <= engine.most and engine.ids.keys() == engine.raw.keys() == engine.used.keys()
@@ -68,7 +68,7 @@ def test_bpe_long_texts_and_many_queries(library, monkeypatch):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdeéß日 \n") for _ in range(rng.randint(1, 14)))
     texts = [" ".join(word() for _ in range(rng.choice([2, 10, 90]))) for _ in range(25)] + ["x" * 1200, "", " " * 700]
-    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 40 * bpe.ENTRY_BYTES)
+    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 40 * bpe.ENTRY_BYTES).__enter__()
     assert list(engine.encode_all(texts)) == [(",".join(map(str, library.encode_ordinary(t))), t.encode()) for t in texts]
     assert any(len(t) > 300 for t in texts)
 
