@@ -322,3 +322,23 @@ def test_keep_one_similar(spark):
     assert shared > fingers
     got = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, rows), "").collect()]
     assert sorted(x for x in got if x is not None) == [i for i in parent if root(i) == i] and got.count(None) == 1
+
+
+@pytest.mark.parametrize("small", [30, 2_000])
+def test_shard_trees(small):
+    """A shard's own trees, the second ones too, lose no link."""
+    rng = np.random.default_rng(small)
+    home = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    home &= np.uint64(0xFFFFFFFFFFFF00FF)  # few values in one quarter, so that its tree cannot split them
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (4, 300), dtype=np.uint64), axis=0)
+    everyone = np.unique(np.concatenate([home, home ^ flips, home[:40] ^ np.uint64(3)]))
+    for q in range(4):
+        a, b = simhash.link_shard(home.view(np.int64), everyone.view(np.int64), q, 4, small)
+        label = {r: r for r in everyone.view(np.int64).tolist()} | dict(zip(a.tolist(), b.tolist()))
+        near = lambda x, y: bin((x ^ y) & (2**64 - 1)).count("1") <= 4
+        part = lambda x: x >> 16 * q & 0xFFFF
+        for x in home.view(np.int64).tolist():
+            for y in everyone.view(np.int64).tolist():
+                # What this quarter's tree must find: pairs within a quarter of the radius there.
+                if near(x, y) and bin(part(x) ^ part(y)).count("1") <= 1:
+                    assert label[x] == label[y]

@@ -107,7 +107,7 @@ def test_toxicity(spark):
     hit = [r.predicted for r in got if r.toxic]
     false = [r.predicted for r in got if not r.toxic]
     print(len(hit), np.mean(hit), np.mean(false))
-    assert np.mean(false) < 0.01 and np.mean(hit) > 0.25
+    assert np.mean(false) < 0.01 and np.mean(hit) > 0.55
 
 
 def test_counterfactual_penalty():
