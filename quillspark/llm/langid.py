@@ -105,8 +105,8 @@ def fit_language_model(docs: DataFrame, learnable: Column, per_lang: int = SAMPL
     """Fit on the rows where ``learnable`` holds and ``lang`` is not null.
 
     Document frequencies come from all these rows: each task sends one row per bucket. The weights come
-    from at most ``per_lang`` rows of each language, of which every fifth is held back for the
-    temperature. Only these rows' features, not their texts, reach the driver.
+    from at most ``per_lang`` rows of each language (of rows that repeat an id one counts, that of the last
+    text by code point), of which every fifth is held back for the temperature. Only these rows' features, not their texts, reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.where(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -119,7 +119,8 @@ def fit_language_model(docs: DataFrame, learnable: Column, per_lang: int = SAMPL
 
     chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", per_lang, seed).select("doc_id").distinct()
     # At most per_lang ids for each language: small by construction.
-    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    # One text for each of them and language, so that rows which repeat an id do not add to it.
+    sample = rows.join(F.broadcast(chosen), "doc_id", "left_semi").groupBy("doc_id", "lang").agg(F.max("text").alias("text")).select("lang", "text")
     data = sorted((r["lang"], bytes(r["at"]), bytes(r["x"])) for r in sample.mapInArrow(_features(idf), "lang string, at binary, x binary").collect())
     langs = sorted({d[0] for d in data})
     number = {lang: k for k, lang in enumerate(langs)}

@@ -33,7 +33,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, bits: i
 
     ``vectors`` and ``queries`` are ``(vec_id, embedding)``. Ties in distance go to the smaller id.
     Rows with a null id, a null vector or another number of dimensions have no code and are skipped;
-    repeated rows count once.
+    repeated rows count once, and an id with several codes is an entry under each. A null component gives
+    the bit 0. Other columns are ignored; an empty table gives an empty result.
 
     Codes are cut into m segments. Step r looks up, in each segment's index, the values r bits away
     from the query's. A code not met up to step r is over r bits away in every segment, so its

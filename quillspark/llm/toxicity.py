@@ -116,6 +116,9 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN, seed: int = 11) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows; null labels and ids are no labels.
 
+    An id that several label rows name is toxic if any says so; of several texts of an id the last by code point
+    counts.
+
     Only the labels are sampled over all; the chosen ids, at most ``toxic + clean``, are broadcast to
     pick their texts, and the distinct words of those texts go to the driver.
     """
@@ -125,7 +128,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, toxic: i
     y = {r["doc_id"]: r["toxic"] for r in chosen.collect()}
     # At most `toxic + clean` ids: small by construction.
     ids = F.broadcast(docs.sparkSession.createDataFrame([(int(i),) for i in y], "doc_id long"))
-    found = docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").cast("long"), "text").mapInArrow(_word_rows, "doc_id long, words string").collect()
+    # One text an id, so that rows which repeat an id do not add to what the driver gets.
+    texts = docs.join(ids, "doc_id", "left_semi").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("text").alias("text"))
+    found = texts.mapInArrow(_word_rows, "doc_id long, words string").collect()
     rows = sorted((r["doc_id"], r["words"]) for r in found)
     return train([(set(w.split(" ")) - {""}, y[i]) for i, w in rows])
 
@@ -133,7 +138,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learnable: Column, toxic: i
 def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """``keep`` columns with ``score`` and ``predicted`` for every row, from the whole text alone.
 
-    A null text scores as an empty one: the score of no words at all.
+    A null text scores as an empty one: the score of no words at all. Texts of any length are read whole. Equal
+    texts have equal scores; a score of ``threshold`` itself is predicted 1. Rows stand for themselves, repeated
+    ones and those of null ids too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -149,6 +156,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, keep: tuple[str, ...]
 
 
 def detect_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``: fitted outside the held-out fold, applied to all rows."""
+    """``(doc_id, held_out, score, predicted)``: fitted outside the held-out fold, applied to all rows.
+
+    Without any label every score is that of the bias alone, near 0. Other columns of both tables, whatever
+    their names, are ignored; an empty table gives an empty result.
+    """
     model = fit_toxicity(docs, labels, ~held_out())
     return score_toxicity(docs.select("doc_id", "text", held_out().alias("held_out")), model, ("doc_id", "held_out"))

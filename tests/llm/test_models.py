@@ -195,6 +195,8 @@ def test_top_k(spark):
     vectors[50:120] = vectors[0]
     rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
     rows += [(500, None, 1), (None, vectors[1].tolist(), 1), (501, [1.0], 1), (0, vectors[0].tolist(), 1)]
+    vectors[399, :3] = -1
+    rows[399] = (399, [None, None, None, *vectors[399, 3:].tolist()], 1)  # null components have the bit 0
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     got = topk.top_k(df, df.where("vec_id % 50 = 0"), 40, k=5, bits=8).collect()
     codes = vectors > 0
@@ -204,3 +206,15 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df, 40).count() == 0
     few = topk.top_k(df.where("vec_id < 3"), df.where("vec_id = 1"), 40, k=5, bits=8).collect()
     assert [r.rank for r in sorted(few, key=lambda r: r.rank)] == [1, 2]
+
+
+def test_models_with_repeated_ids_and_ties(spark):
+    """Rows that repeat an id add nothing to the sample, equal texts have equal results, and reruns agree."""
+    rows = [(i, f"the cat w{i % 7} and", "en", i % 2) for i in range(40)] + [(i, f"der hund w{i % 7} und", "de", i % 2) for i in range(40, 80)]
+    more = rows + [rows[0]] * 5 + [rows[50]] * 3 + [(None, "the cat", "en", 0)]
+    schema = "doc_id long, text string, lang string, lang_pred int"
+    plain, again = (spark.createDataFrame(r, schema).repartition(3) for r in (rows, more))
+    for make in (lambda d: langid.identify(d), lambda d: toxicity.detect_toxicity(d, spark.createDataFrame([(i, y) for i, _, _, y in rows] * 2, "doc_id long, toxic int"))):
+        once, twice = ({(r.doc_id, *[str(x) for x in r][2:]) for r in make(d).collect() if r.doc_id is not None} for d in (plain, again))
+        assert once == twice and len(once) == len(rows)
+        assert make(again).count() == len(more)
