@@ -16,11 +16,13 @@ def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one of this process only where it is unset.
 
     The fallback is for tests and single machines. A cluster must set the configuration, as its
-    executors do not see the driver's folders.
+    executors do not see the driver's folders; there it is an error to leave it unset.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         path = tempfile.mkdtemp(prefix="spark-quill-")
