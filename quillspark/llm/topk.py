@@ -63,18 +63,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, bits: i
         )
         # Each step has many times more probes than queries, which size estimates do not see.
         met = probes.hint("merge").join(index, ["seg", "value"]).select("query_id", "code", "n", _distance("q", "code").alias("distance")).distinct()
+        whole = met if found is None else found.join(open_.select("query_id"), "query_id", "left_semi").unionByName(met).distinct()
+        met = materialise(whole, "met")
+        # Ids at each distance of a query: at most 65 rows of it are summed up, however many codes it met.
+        at = met.groupBy("query_id", "distance").agg(F.sum("n").alias("ids"))
+        before = F.coalesce(F.sum("ids").over(Window.partitionBy("query_id").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        near = materialise(at.withColumn("_before", before).where(F.col("_before") <= k).drop("_before"), "distances")
         # Of the codes met, those beyond the k + 1 nearest ids cannot be in the answer.
-        both = met if found is None else found.join(open_.select("query_id"), "query_id", "left_semi").unionByName(met).distinct()
-        both = materialise(both, "met")
-        # Ids at each distance of a query: at most 64 rows of it are ranked, however many codes it met.
-        at = both.groupBy("query_id", "distance").agg(F.sum("n").alias("_at"))
-        before = F.coalesce(F.sum("_at").over(Window.partitionBy("query_id").orderBy("distance").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        cut = materialise(at.withColumn("_before", before).where(F.col("_before") <= k).select("query_id", "distance"), "cut")
-        found = materialise(both.join(cut, ["query_id", "distance"], "left_semi").select("query_id", "code", "n", "distance"), "found")
+        found = met.join(near.select("query_id", "distance"), ["query_id", "distance"], "left_semi").select(*met.columns)
         # Counting the query itself, k + 1 verified ids below the bound prove that k others are.
-        proved = (
-            found.where(F.col("distance") < m * (r + 1)).groupBy("query_id").agg(F.sum("n").alias("_n")).where(F.col("_n") >= k + 1).select("query_id")
-        )
+        proved = near.where(F.col("distance") < m * (r + 1)).groupBy("query_id").agg(F.sum("ids").alias("ids")).where(F.col("ids") >= k + 1).select("query_id")
         ready = found.join(proved, "query_id", "left_semi") if r < bits else found
         done = ready if done is None else done.unionByName(ready)
         if r == bits:
