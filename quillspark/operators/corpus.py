@@ -302,6 +302,11 @@ def corpus_edges(facts: Facts, sites: DataFrame) -> DataFrame:
     return dedupe_edges(I.all_edges(*[d(facts, sites).select(*EDGE) for d in DETECTORS]))
 
 
+def warnings(facts: Facts) -> DataFrame:
+    """``(file, name, text)`` of files that could not be read as sources."""
+    return facts.of("warning").select("file", "name", "text")
+
+
 def scan_corpus(files: DataFrame) -> dict[str, DataFrame]:
     """The whole inventory of ``(file, content)``: sites, edges, pipelines, evidence and warnings."""
     facts = Facts(files)
@@ -313,5 +318,5 @@ def scan_corpus(files: DataFrame) -> dict[str, DataFrame]:
         "edges": edges,
         "pipelines": build_pipelines(edges.select("src", "dst"), sites),
         "evidence": I.provider_evidence(files),
-        "warnings": facts.of("warning").select("file", "name", "text"),
+        "warnings": warnings(facts),
     }

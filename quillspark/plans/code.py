@@ -146,4 +146,4 @@ register(
     "d7_corpus_edges",
     " union all ".join([_EDGE.format(4, 5, "variable", "high", 0), _EDGE.format(3, 5, "function", "high", 5), _EDGE.format(1, 1, "lc_pipe", "high", 2), _EDGE.format(3, 5, "query_engine", "low", 5), _CHAIN, _CROSS]),
 )(lambda fx: _lines(_with_sites(corpus.corpus_edges)(fx)))
-register("d7_warnings", "select file, 'W001-unparseable' as name from fx_code_files where shape = 3")(lambda fx: corpus.scan_corpus(fx.code_files)["warnings"].select("file", "name"))
+register("d7_warnings", "select file, 'W001-unparseable' as name from fx_code_files where shape = 3")(lambda fx: corpus.warnings(_facts(fx)).select("file", "name"))

@@ -160,3 +160,16 @@ def test_environment_files_in_any_case(spark):
     from quillspark.operators.inventory import provider_evidence
 
     assert sorted((r.file, r.provider) for r in provider_evidence(files).collect()) == [("p/APP.ENV", "openai"), ("p/Settings.YAML", "anthropic")]
+
+
+def test_scan_of_a_corpus(spark):
+    """D7 as a whole: sites, edges, pipelines, evidence and warnings of a few files."""
+    chain = 'import openai\nr = client.chat.completions.create(messages=[{"role": "human", "content": "Hi"}])\nclient.chat.completions.create(messages=[{"role": "user", "content": r}])\n'
+    files = spark.createDataFrame([("p/a.py", chain), ("p/b.py", "def broken(:"), ("p/.env", "OPENAI_API_KEY=x")], "file string, content string")
+    got = {k: v.collect() for k, v in corpus.scan_corpus(files.where("file not like '%.env'")).items()}
+    assert [(r.line, r.provider) for r in sorted(got["sites"], key=lambda r: r.line)] == [(2, "openai"), (3, "openai")]
+    assert [(r.kind, r.confidence) for r in got["edges"]] == [("variable", "high")]
+    (pipe,) = got["pipelines"]
+    ids = sorted(r.id for r in got["sites"])
+    assert pipe.nodes.split(",") == ids and (pipe.entries, pipe.exits) == (got["edges"][0].src, got["edges"][0].dst) and pipe.name.endswith("_pipeline") and len(pipe.pipeline_id) == 12
+    assert [r.file for r in got["warnings"]] == ["p/b.py"] and not got["evidence"]
