@@ -132,7 +132,8 @@ def dedup_runs(docs: DataFrame) -> DataFrame:
 
 def _dedup(docs: DataFrame, runs: Callable[[list[str]], Iterable[tuple[int, int, int]]]) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long"), "text")
-    spans = base.where("doc_id is not null").mapInArrow(_spans(runs), "doc_id long, start int, n int, h1 long, h2 long")
+    # Written once, as it is read twice and costs most: some 20 bytes a sentence.
+    spans = materialise(base.where("doc_id is not null").mapInArrow(_spans(runs), "doc_id long, start int, n int, h1 long, h2 long"), "runs")
     # Written first, so that the semi-join's stage holds no grouping and a frequent span's rows can be split.
     again = materialise(spans.groupBy("h1").count().where("count > 1").select("h1"), "again")
     some = materialise(spans.join(again, "h1", "left_semi"), "spans")
