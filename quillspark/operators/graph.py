@@ -26,7 +26,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
     clean = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
     cur, path = materialise_at(clean.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     first, first_path = cur, path
-    stamp = None
+    stamp, size = None, cur.count()
     for number in itertools.count(1):
         if max_rounds is not None and number > max_rounds:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -41,7 +41,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds:
         # Small star: smaller neighbours of u, and u itself, go to the smallest of them.
         joined = large.join(low2, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        nxt, nxt_path = materialise_at(small.where("u <> v").distinct(), "stars")
+        nxt, nxt_path = materialise_at(small.where("u <> v").distinct(), "stars", size)
         row = nxt.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
         if path != first_path:
             remove(spark, path)

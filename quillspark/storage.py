@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Rows of small columns that are worth a file, and so a task, of their own.
+ROWS_A_FILE = 50_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,18 +38,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def files_for(rows: int) -> int:
+    """In how many files, tasks or buckets about so many rows are kept."""
+    return max(1, -(-rows // ROWS_A_FILE))
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts lineage: what follows reads replicated files, so a lost executor costs only its own
-    tasks. Writing columns is also smaller than an RDD checkpoint, which holds serialised rows.
+    tasks. Writing columns is also smaller than an RDD checkpoint, which holds serialised rows. A caller that
+    knows about how many ``rows`` there are, of ids and hashes, says so: the last stage then has a task and a
+    file for each ``ROWS_A_FILE`` of them, instead of as many small files as shuffle partitions.
     """
-    return materialise_at(df, name)[0]
+    return materialise_at(df, name, rows)[0]
 
 
-def materialise_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def materialise_at(df: DataFrame, name: str, rows: int | None = None) -> tuple[DataFrame, str]:
     """As :func:`materialise`, with the path, for a caller that removes the table once it is used up."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(files_for(rows))
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
