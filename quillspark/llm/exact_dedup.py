@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.storage import materialise
+from quillspark.storage import files_for, materialise
 
 
 def text_digest(text: Column) -> Column:
@@ -67,9 +67,11 @@ class DigestIndex:
         rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_digest(F.col(text_col)).alias("digest"))
         groups = rows.groupBy("digest").agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size"))
         # Written first: else the joins below would move under the grouping and shuffle every row.
-        new, old = self.split(materialise(groups, "digests"))
-        fresh = materialise(new, "fresh")
-        held = fresh.unionByName(materialise(old.select(*fresh.columns), "known"))
+        groups = materialise(groups, "digests")
+        n = groups.count()
+        new, old = self.split(groups)
+        fresh = materialise(new, "fresh", n)
+        held = fresh.unionByName(materialise(old.select(*fresh.columns), "known", n))
         self._write(fresh, self.name)
         self.spark.catalog.refreshTable(self.name)
         # ``held`` is as large as the delivery. Both sides are shuffled here, so a digest that many rows
@@ -104,9 +106,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     (same id, same text) one stays. A null text equals the empty one; a null id stays only if its text has
     no other. Columns may have any names; an empty table gives an empty one.
     """
-    index = DigestIndex(docs.sparkSession)
+    n = docs.count()
+    index = DigestIndex(docs.sparkSession, buckets=min(files_for(n), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     kept = index.add(docs, id_col, text_col).where("kept").groupBy("digest", "keep_id").agg(F.count("*").alias("n"))
-    kept = materialise(kept, "kept")
+    kept = materialise(kept, "kept", n)
     index.drop()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text_digest(F.col(text_col)).alias("digest"))
     held = lambda these: whole.join(these, (whole["digest"] == these["digest"]) & whole["id"].eqNullSafe(these["keep_id"]), "left_semi")

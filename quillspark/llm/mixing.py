@@ -62,7 +62,7 @@ def water_fill(weighted: DataFrame, share: float, max_epochs: float) -> DataFram
     clamps those that would pass their cap; it ends when none does. A round sends one row of sums to
     the driver; sources stay distributed. If every source is clamped the rest cannot be dealt.
     """
-    sources = materialise(weighted.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs))), "weights")
+    sources = materialise(weighted.withColumn("_cap", F.col("source_size") * F.lit(float(max_epochs))), "weights", weighted.count())
     total = sources.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0] * share
     # A source is clamped when the level, the share of a unit of weight, reaches its cap a weight, so
     # the clamped ones are those up to a bound; the bound grows until nothing changes.
@@ -151,7 +151,7 @@ def mix_sources(
     """
     sized = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = water_fill(cyclic_weights(source_sizes(sized), cycle), share, max_epochs).select("source", "source_size", "target")
-    return sample_repetitions(sized, materialise(targets, "targets"), seed)
+    return sample_repetitions(sized, materialise(targets, "targets", targets.count()), seed)
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:

@@ -242,10 +242,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
     return cells.groupBy("shard", "i", "j").applyInPandas(link, "a long, b long")
 
 
-def _points(docs: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, fp)`` of all rows, and ``(fp, least, size)`` of distinct fingerprints; both written."""
-    marked = materialise(fingerprints(docs, shingle), "fingerprints")
-    return marked, materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "points")
+def _points(marked: DataFrame) -> DataFrame:
+    """``(fp, least, size)`` of the distinct fingerprints of the written table ``(doc_id, fp)``; written too."""
+    return materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")), "points", marked.count())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -258,7 +257,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component of null ids only has a null ``component_id``. Repeated rows count each. Other columns,
     whatever their names, are ignored; an empty table gives an empty result.
     """
-    marked, points = _points(docs, shingle)
+    marked = materialise(fingerprints(docs, shingle), "fingerprints")
+    points = _points(marked)
     linked = components(near_links(points.select("fp"), radius), "a", "b")
     named = points.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("group", F.coalesce("component", "fp"))
     groups = named.groupBy("group").agg(F.min("least").alias("component_id"), F.sum("size").alias("group_size"))
@@ -266,9 +266,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return marked.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size")
 
 
-def fingerprint_links(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """Links ``(a, b)`` of document ids that connect what :func:`near_duplicates` puts into one component."""
-    marked, points = _points(docs.where("doc_id is not null"), shingle)
+def fingerprint_links(marked: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Links ``(a, b)`` of document ids that connect what :func:`near_duplicates` puts into one component.
+
+    ``marked`` is the written table ``(doc_id, fp)``, without null ids.
+    """
+    points = _points(marked)
     equal = marked.join(points, "fp").where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
     first = points.select(F.col("fp").alias("a"), F.col("least").alias("_a"))
     second = points.select(F.col("fp").alias("b"), F.col("least").alias("_b"))
@@ -280,7 +283,7 @@ def keep_one_per_group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RA
 
     Rows that share an id are one document: they stay or go together.
     """
-    return _without(docs, fingerprint_links(docs, shingle, radius))
+    return _without(docs, fingerprint_links(materialise(fingerprints(docs.where("doc_id is not null"), shingle), "fingerprints"), radius))
 
 
 def _without(docs: DataFrame, links: DataFrame) -> DataFrame:
@@ -333,23 +336,25 @@ class MinHashes:
         return (keys ^ (keys >> np.uint64(31)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _banded(shingle: int):
+def _marks(shingle: int, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = MinHashes()
+        hashes, none = MinHashes(), np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids, sizes, keys = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if len(h := grams(text, shingle)):
-                    ids.append(i)
-                    sizes.append(len(h))
-                    keys.append(hashes.bands(h))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n", "bands"]
-            )
+            texts = batch.column(1).to_pylist()
+            sets = [grams(t, words) for t in texts]
+            fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
+            cols = [pa.array(fps, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([hashes.bands(h) if len(h) else none for h in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "n", "bands"])
 
     return rows
 
 
+def marks(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
+    """``(doc_id, fp, n, bands)`` of the rows with an id: fingerprint, number of distinct ``words``-word shingles, MinHash bands."""
+    base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
+    return base.mapInArrow(_marks(shingle, words), "doc_id long, fp long, n int, bands array<long>")
+
+
 def _sets(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,43 +364,49 @@ def _sets(shingle: int):
     return rows
 
 
-def similar_links(docs: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` of documents whose word shingles have a Jaccard similarity of ``similarity`` at least.
 
-    Documents that share a band of MinHashes form a bucket. A round holds every bucket's documents against its
-    leaders, by their shingles; leaders and what is linked to one leave, and the rest go on with four times as
-    many leaders, until no bucket has two documents. So near copies of one document cost one comparison each,
-    no bucket is collected, and the rounds grow with the logarithm of the largest bucket of unlike documents.
-    Leaders are those of least seeded hash, another order in each bucket. Links are always true; one is missed
-    if the pair shares no bucket, or if in each that it shares both are linked to different leaders.
+    ``banded`` is the written table ``(doc_id, n, bands)`` of :func:`marks`. Documents that share a band of
+    MinHashes form a bucket. A round holds every bucket's documents against its leaders, by their shingles;
+    leaders and what is linked to one leave, and the rest go on with four times as many leaders, until no
+    bucket has two documents. So near copies of one document cost one comparison each, no bucket is collected,
+    and the rounds grow with the logarithm of the largest bucket of unlike documents. Leaders are those of
+    least seeded hash, another order in each bucket. Links are always true; one is missed if the pair shares no
+    bucket, or if in each that it shares both are linked to different leaders.
 
     Rows of null ids and texts without words have no links; rows that share an id count as one document.
     """
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    banded = materialise(base.mapInArrow(_banded(shingle), "doc_id long, n int, bands array<long>"), "bands")
-    rows = banded.select("doc_id", "n", F.explode("bands").alias("band"))
-    # Written first, so that the semi-join's stage holds no grouping and a frequent band's rows can be split.
-    several = lambda df: materialise(df.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band"), "several")
-    left = materialise(rows.join(several(rows), "band", "left_semi"), "buckets")
-    among = left.select("doc_id").distinct()
-    sets = materialise(base.join(among, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>"), "grams")
+    rows, size = banded.select("doc_id", "n", F.explode("bands").alias("band")), BANDS * banded.count()
+
+    def several(df: DataFrame, size: int) -> DataFrame:
+        # Written, so that the semi-join's stage holds no grouping and a frequent band's rows can be split.
+        bands = df.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band")
+        return materialise(df.join(materialise(bands, "several", size), "band", "left_semi"), "buckets", size)
+
+    left = several(rows, size)
+    of_left = lambda df: df.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = materialise(of_left(base).mapInArrow(_sets(shingle), "doc_id long, grams array<long>"), "grams")
     links, leaders = [], 1
-    while not left.isEmpty():
+    while size := left.count():
         order = F.xxhash64("band", "doc_id")
         heads = left.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n")).alias("head"))
         led = heads.select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"))
         likely = left.join(led, "band").where("doc_id <> a").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        pairs = materialise(likely.select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+        pairs = materialise(likely.select("a", F.col("doc_id").alias("b")).distinct(), "pairs", size)
         shared = F.size(F.array_intersect("_a", "_b"))
         both = pairs.join(sets.toDF("b", "_b"), "b").join(sets.toDF("a", "_a"), "a")
         near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b"), "near")
         links.append(near)
         heads_only = led.select("band", F.col("a").alias("doc_id"))
         linked = left.join(led, "band").join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"]).select("band", "doc_id")
-        rest = materialise(left.join(heads_only.unionByName(linked).distinct(), ["band", "doc_id"], "left_anti"), "rest")
-        left = materialise(rest.join(several(rest), "band", "left_semi"), "buckets")
+        rest = materialise(left.join(heads_only.unionByName(linked).distinct(), ["band", "doc_id"], "left_anti"), "rest", size)
+        left = several(rest, size)
         leaders *= MORE_LEADERS
+        # Most documents leave in the first round, so later rounds move few shingles.
+        sets = materialise(of_left(sets), "grams")
     out = spark.createDataFrame([], "a long, b long")
     for near in links:
         out = out.unionByName(near)
@@ -409,4 +420,5 @@ def keep_one_similar(docs: DataFrame) -> DataFrame:
     are all alike (fingerprint zero). Rows of null ids stay. Rows that share an id are one document: they stay
     or go together. All columns are returned, whatever their names; an empty table gives an empty one.
     """
-    return _without(docs, fingerprint_links(docs).unionByName(similar_links(docs)))
+    marked = materialise(marks(docs), "marks")
+    return _without(docs, fingerprint_links(marked.select("doc_id", "fp")).unionByName(similar_links(docs, marked)))
