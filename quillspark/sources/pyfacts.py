@@ -28,6 +28,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Fact rows that leave a worker together; one file's rows are never divided.
+ROWS = 5_000
 COLUMNS = "file string, fact string, id string, parent string, pos int, line int, depth int, scope string, name string, value string, items array<string>, text string"
 _NAMES = [c.split()[0] for c in COLUMNS.split(", ")]
 _BLOCKS = (ast.If, ast.For, ast.While, ast.Try, ast.With, ast.AsyncFor, ast.AsyncWith)
@@ -197,10 +199,19 @@ def extract_facts(files: DataFrame) -> DataFrame:
     """K1: fact rows of ``(file, content)``; write them once, partitioned by ``fact``, before applying rules."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
         for batch in batches:
             for file, content in zip(batch["file"], batch["content"], strict=True):
-                rows = file_facts(file, content)
-                if rows:
-                    yield pd.DataFrame(rows, columns=_NAMES).astype({"pos": "Int32", "line": "Int32", "depth": "Int32"})
+                held += file_facts(file, content)
+                if len(held) >= ROWS:
+                    yield _frame(held)
+                    held = []
+        if held:
+            yield _frame(held)
 
-    return files.select("file", "content").mapInPandas(run, COLUMNS)
+    # Dealt anew: parsing costs far more than moving a file, and one large table file may hold many sources.
+    return files.select("file", "content").repartition("file").mapInPandas(run, COLUMNS)
+
+
+def _frame(rows: list[dict]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_NAMES).astype({"pos": "Int32", "line": "Int32", "depth": "Int32"})
