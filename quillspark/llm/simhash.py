@@ -370,11 +370,11 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
     ``banded`` is the written table ``(doc_id, n, bands)`` of :func:`marks`. Documents that share a band of
     MinHashes form a bucket. A round holds every bucket's documents against its leaders, by their shingles;
     leaders and what is linked to one leave, and the rest go on with four times as many leaders, until no
-    bucket has two documents. So near copies of one document cost few comparisons each, no bucket is collected,
-    and the rounds grow with the logarithm of the largest bucket of unlike documents. Leaders are those of
-    least seeded hash, in one order for all buckets of a round, so that the many buckets of a group have few
-    leaders between them. Links are always true; one is missed if the pair shares no bucket, or if in each that
-    it shares both are linked to different leaders.
+    bucket has two documents. So a document of a group of near copies meets at most a leader a band, however
+    large the group, no bucket is collected, and the rounds grow with the logarithm of the largest bucket of
+    unlike documents. Leaders are those of least seeded hash, in another order in each bucket, so a pair is seen
+    from many sides. Links are always true; one is missed if the pair shares no bucket, or if in each that it
+    shares both are linked to different leaders.
 
     Rows of null ids and texts without words have no links; rows that share an id count as one document.
     """
@@ -392,7 +392,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
     sets = materialise(of_left(base).mapInArrow(_sets(shingle), "doc_id long, grams array<long>"), "grams")
     links, leaders = [], 1
     while size := left.count():
-        order = F.xxhash64(F.lit(leaders), "doc_id")
+        order = F.xxhash64("band", "doc_id")
         heads = left.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n")).alias("head"))
         led = heads.select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"))
         likely = left.join(led, "band").where("doc_id <> a").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
