@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, exact_dedup, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
+from quillspark.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
 
 DIMS = 64
 
@@ -61,6 +61,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("exact")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_array,
             op9_exact_dedup,
             op10_byte_bpe,
+            op13_hard_negatives,
         )
     }
 
@@ -148,6 +154,26 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+OP13_SQL = """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, v.vec_id, a.label = v.label as own, cast(list_inner_product(a.e, v.e) as bigint) as score
+  from v a, v where a.vec_id % 50 = 0 and v.vec_id <> a.vec_id),
+p as (
+  select anchor_id, vec_id as positive_id, score as positive_score from (
+    select *, row_number() over (partition by anchor_id order by score desc, vec_id) as k from s where own) t
+  where k <= 5)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from (
+  select p.*, s.vec_id as negative_id, s.score as negative_score,
+    row_number() over (partition by p.anchor_id, positive_id order by s.score desc, s.vec_id) as rank
+  from p join s on s.anchor_id = p.anchor_id and not s.own and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score) t
+where rank <= 3
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op13_hard_negatives": OP13_SQL}
