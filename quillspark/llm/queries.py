@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
+from quillspark.llm import bpe, decontaminate, exact_dedup, hard_negatives, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
 
 DIMS = 64
 
@@ -61,6 +61,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("exact")
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine_hard_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 50 == 0)
@@ -80,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_array,
             op9_exact_dedup,
             op10_byte_bpe,
+            op12_decontaminate,
             op13_hard_negatives,
         )
     }
@@ -154,6 +163,26 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+OP12_SQL = r"""
+with b as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark where text is not null),
+i as (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as at from b where len(w) > 0),
+k as (select distinct item_id, n, array_to_string(w[at:at + n - 1], ' ') as s from i),
+d as (
+  select doc_id, case when text is null then [] else regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') end as w
+  from documents),
+p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as at from d, (select distinct n from k) l),
+h as (select distinct doc_id, n, at, item_id from (select doc_id, n, at, array_to_string(w[at:at + n - 1], ' ') as s from p) x join k using (n, s)),
+c as (select doc_id, count(distinct at + j) as n_hit from (select doc_id, at, unnest(range(0, n)) as j from h) t group by doc_id),
+o as (
+  select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) t
+  group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 as contaminated
+from d left join c on c.doc_id = d.doc_id left join o on o.doc_id = d.doc_id
+"""
+
 OP13_SQL = """
 with v as (
   select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
@@ -176,4 +205,4 @@ where rank <= 3
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op12_decontaminate": OP12_SQL, "op13_hard_negatives": OP13_SQL}
