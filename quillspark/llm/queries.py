@@ -167,14 +167,14 @@ OP12_SQL = r"""
 with b as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
   from benchmark where text is not null),
-i as (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as at from b where len(w) > 0),
-k as (select distinct item_id, n, array_to_string(w[at:at + n - 1], ' ') as s from i),
+i as (select item_id, w, least(10, len(w)) as n, unnest(range(1, len(w) - least(10, len(w)) + 2)) as pos from b where len(w) > 0),
+k as (select distinct item_id, n, array_to_string(w[pos:pos + n - 1], ' ') as s from i),
 d as (
   select doc_id, case when text is null then [] else regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') end as w
   from documents),
-p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as at from d, (select distinct n from k) l),
-h as (select distinct doc_id, n, at, item_id from (select doc_id, n, at, array_to_string(w[at:at + n - 1], ' ') as s from p) x join k using (n, s)),
-c as (select doc_id, count(distinct at + j) as n_hit from (select doc_id, at, unnest(range(0, n)) as j from h) t group by doc_id),
+p as (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as pos from d, (select distinct n from k) l),
+h as (select distinct doc_id, n, pos, item_id from (select doc_id, n, pos, array_to_string(w[pos:pos + n - 1], ' ') as s from p) x join k using (n, s)),
+c as (select doc_id, count(distinct pos + j) as n_hit from (select doc_id, pos, unnest(range(0, n)) as j from h) t group by doc_id),
 o as (
   select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from h) t
   group by doc_id)
