@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import bpe, decontaminate, exact_dedup, hard_negatives, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
+from quillspark.llm import bpe, decontaminate, divergence, exact_dedup, hard_negatives, langid, line_dedup, mixing, sentence_dedup, simhash, suffix_dedup, topk, toxicity
 
 DIMS = 64
 
@@ -61,6 +61,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN).drop("exact")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     items = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_suffix_array,
             op9_exact_dedup,
             op10_byte_bpe,
+            op11_source_divergence,
             op12_decontaminate,
             op13_hard_negatives,
         )
@@ -163,6 +168,38 @@ select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (part
 from d
 """
 
+OP11_SQL = r"""
+with d as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents),
+g as (select distinct lang, source from d),
+kept as (select lang, term from (select lang, unnest(list_distinct(w)) as term from d) t group by lang, term having count(*) >= 30),
+c as (select t.lang, t.source, t.term, count(*) as n from (select lang, source, unnest(w) as term from d) t join kept using (lang, term) group by all),
+v as (select lang, count(*) as v from kept group by lang),
+n as (select lang, source, sum(n) as total from c group by lang, source),
+p as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n,
+    1 + 1000000000::hugeint * (coalesce(c.n, 0) + 5) // (coalesce(n.total, 0) + 5 * v.v) as p
+  from g join kept k on k.lang = g.lang join v on v.lang = g.lang
+  left join c on c.lang = g.lang and c.source = g.source and c.term = k.term left join n on n.lang = g.lang and n.source = g.source),
+q as (
+  select c.lang, term, 1 + 1000000000::hugeint * (sum(n) + 5) // (t.total + 5 * v.v) as q
+  from c join v on v.lang = c.lang join (select lang, sum(n) as total from c group by lang) t on t.lang = c.lang
+  group by c.lang, term, t.total, v.v),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(x.value, 0) as value
+  from g a join g b on a.lang = b.lang and a.source <> b.source
+  left join (select s.lang, s.source, r.source as item, sum(abs(s.p - r.p)) as value from p s join p r on r.lang = s.lang and r.term = s.term and r.source <> s.source
+             group by all) x
+    on x.lang = a.lang and x.source = a.source and x.item = b.source),
+terms as (select p.lang, p.source, p.term as item, p.p - q.q as value from p join q on q.lang = p.lang and q.term = p.term where p.n > 0 and p.p > q.q)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank from (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all select lang, source, 'term', item, value, row_number() over (partition by lang, source order by value desc, item) from terms) t
+where part = 'pair' or rank <= 50
+"""
+
 OP12_SQL = r"""
 with b as (
   select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
@@ -205,4 +242,4 @@ where rank <= 3
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op12_decontaminate": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+    return {"op5_line_windows": OP5_SQL, "op6_top_k": OP6_SQL, "op7_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL, "op11_source_divergence": OP11_SQL, "op12_decontaminate": OP12_SQL, "op13_hard_negatives": OP13_SQL}
