@@ -85,12 +85,12 @@ select concat('p', c_custkey % 50, '/f', c_custkey, '.py') as file, c_custkey as
   when 0 then concat('import openai', chr(10), 'SYSTEM_PROMPT = "Be kind ', c_custkey, '"', chr(10), 'def ask(q: str, n=1):', chr(10), '    r = client.chat.completions.create(model="m", messages=[{"role": "system", "content": "Hi"}, {"role": "user", "content": q}])', chr(10),
     '    return self.llm.invoke(prompt="next", context=r)', chr(10))
   when 1 then concat('import anthropic', chr(10), 'TONE = "calm ', c_custkey, '"', chr(10), 'def build_x_messages(q):', chr(10), '    return [{"role": "user", "content": TONE}]', chr(10), 'ms = build_x_messages(1)', chr(10), 'out = client.messages.create(system="Sys", messages=ms)', chr(10))
-  when 2 then concat('a = llm.invoke(prompt="a") | x | llm.invoke(prompt="b")', chr(10), 'y = client.messages.create(messages=[1])', chr(10))
+  when 2 then concat('a = llm.invoke(prompt="a") |', case when c_custkey % 2 = 0 then ' x |' else '' end, ' llm.invoke(prompt="b")', chr(10), 'y = client.messages.create(messages=[1])', chr(10))
   when 3 then concat('def broken(:', chr(10), c_custkey)
   when 4 then concat('data = {"input": "v', c_custkey, '", "n": "2"}', chr(10), 'other = {"zzz": 1}', chr(10))
   when 5 then concat('from llama_index.core import X', chr(10), 'def f():', chr(10), '    return llm.chat(messages=[{"role": "user", "content": "1"}])', chr(10), 'def g(v):', chr(10), '    z = llm.chat(messages=[{"role": "user", "content": "2"}])', chr(10), '    return z', chr(10),
     'e = idx.as_query_engine()', chr(10), 'g(f())', chr(10))
-  else concat('class C', c_custkey, ':', chr(10), '    def __init__(self, k: int):', chr(10), '        self.a = C', c_custkey, '()', chr(10), '        self.b = C', case when c_custkey % 14 = 6 then c_custkey + 7 else c_custkey end, '()', chr(10),
+  else concat('class C', c_custkey, ':', chr(10), '    def __init__(self, k: int):', chr(10), '        self.a = C', c_custkey, '()', chr(10), '        self.b = C', c_custkey + case when c_custkey % 14 = 6 then 350 else 7 end, '()', chr(10),
     '    def p(self):', chr(10), '        return self.llm.run(prompt="p")', chr(10), '    def q(self):', chr(10), '        return self.llm.run(prompt="q")', chr(10), '    def r(self):', chr(10), '        return self.llm.run(prompt="r")', chr(10),
     '    def go(self):', chr(10), '        self.p()', chr(10), '        if 1:', chr(10), '            self.q()', chr(10), '        self.r()', chr(10),
     '    def both(self):', chr(10), '        self.a.p()', chr(10), '        self.b.p()', chr(10)) end as content
@@ -103,6 +103,31 @@ select concat('p', s_suppkey % 20, '/h', s_suppkey, '.py') as file, s_suppkey as
   when 3 then concat('def build_y_messages(q):', chr(10), '    a = b', chr(10), '    b = a', chr(10), '    return [{"role": "user", "content": a}]', chr(10))
   else concat('def _head(q):', chr(10), '    t = f"{q} twice"', chr(10), '    return {"role": "system", "content": t}', chr(10), 'async def build_y_messages(q):', chr(10), '    s = "Early"', chr(10), '    s = "Late ', s_suppkey, '"', chr(10), '    u = s', chr(10), '    return [_head(q), {"role": "user", "content": u}]', chr(10)) end as content
 from supplier""",
+    "fx_expr_files": r"""
+select concat('p', s_suppkey % 20, '/e', s_suppkey, '.py') as file, s_suppkey as file_id, s_suppkey % 9 as shape, s_name as head, concat(' call ', s_suppkey) as tail, case s_suppkey % 9
+  when 0 then concat('X_PROMPT = "', s_name, '" + who + " call ', s_suppkey, '"', chr(10))
+  when 1 then concat('X_PROMPT = dedent("', s_name, '").strip()', chr(10))
+  when 2 then concat('X_PROMPT = textwrap.dedent(f"', s_name, '{user.name}{f(1)}" + " call ', s_suppkey, '")', chr(10))
+  when 3 then concat('X_PROMPT = "', s_name, '{name} call ', s_suppkey, '".format(name=1).rstrip()', chr(10))
+  when 4 then concat('X_PROMPT = "', s_name, '" + (" call ', s_suppkey, '" + dedent(y) + z + z).strip() + ""', chr(10))
+  when 5 then concat('out = client.messages.create(model="m', s_suppkey, '", temperature=-0.5, max_output_tokens=', s_suppkey, ', response_format={"type": "json_object"}, stop="x", foo=[1, 2], top_p=True, ', chr(10),
+    '  system=[{"type": "text", "text": "', s_name, '"}, {"type": "image"}, {"type": "text", "text": "t" + tail}], messages=[{"role": "user", "content": (" call ', s_suppkey, '" + q).strip()}])', chr(10))
+  when 6 then concat('X_PROMPT = "', s_name, '{{ user }}"', chr(10))
+  when 7 then concat('def build_e_messages(q):', chr(10), '    t = "', s_name, '" + q', chr(10), '    return [{"role": "user", "content": t}]', chr(10))
+  else concat('X_PROMPT = dedent("', s_name, '", "b")', chr(10), 'Y_PROMPT = dedent("', s_name, '".strip() + "")', chr(10)) end as content
+from supplier""",
+    "fx_symbol_files": r"""
+select concat('s', s_suppkey, '/', case f when 0 then 'app/agents/planner.py' when 1 then 'app/agents/engine.py' when 2 then 'app/agents/__init__.py' when 3 then 'app/runner.py' when 4 then 'aaa.py' when 5 then 'prompts.py' else 'use.py' end) as file,
+  s_suppkey as project, s_suppkey % 4 as shape, f as part, case f
+  when 0 then concat('class Planner:', chr(10), '    def plan(self):', chr(10), '        return self.llm.complete(prompt="plan")', chr(10))
+  when 1 then concat('class ', case when s_suppkey % 4 = 1 then 'Other' else 'Engine' end, ':', chr(10), '    def run(self):', chr(10), '        return self.llm.complete(prompt="run")', chr(10))
+  when 2 then concat('from .planner import Planner as Lead', chr(10))
+  when 3 then concat(case s_suppkey % 4 when 3 then '' when 2 then concat('from app.agents import Lead as MyPlanner', chr(10), 'from .agents.engine import Engine', chr(10)) else concat('from app.agents.planner import Planner as MyPlanner', chr(10), 'from app.agents.engine import Engine', chr(10)) end,
+    'class Runner:', chr(10), '    def __init__(self):', chr(10), '        self.a = ', case s_suppkey % 4 when 3 then 'Planner' else 'MyPlanner' end, '()', chr(10), '        self.b: Engine = Engine()', chr(10), '    def go(self):', chr(10), '        self.a.plan()', chr(10), '        self.b.run()', chr(10))
+  when 4 then concat('class ', case when s_suppkey % 4 = 3 then 'Nothing' else 'Planner' end, ':', chr(10), '    pass', chr(10))
+  when 5 then concat('def build_', case when s_suppkey % 4 = 1 then 'o' else 'n' end, '_messages(q):', chr(10), '    return [{"role": "user", "content": "hi"}]', chr(10))
+  else concat(case s_suppkey % 4 when 3 then '' else concat('from prompts import build_n_messages as make', chr(10)) end, 'ms = ', case s_suppkey % 4 when 3 then 'build_n_messages' else 'make' end, '(1)', chr(10), 'out = llm.chat(messages=ms)', chr(10)) end as content
+from supplier cross join (select p_partkey - 1 as f from part where p_partkey <= 7) k""",
     "fx_json_files": """
 select concat('p', s_suppkey % 20, '/tests/d', s_suppkey, '.json') as file, s_suppkey as file_id, s_suppkey % 4 as shape, case s_suppkey % 4
   when 0 then concat('[{"question": "q', s_suppkey, '", "n": 2}, {"zzz": 1}, 5]') when 1 then concat(' {"input": {"a": 1}, "id": ', s_suppkey, '}') when 2 then 'no json {' else '"text"' end as content

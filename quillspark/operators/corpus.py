@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 from quillspark.functions import text as X
 from quillspark.operators import inventory as I
 from quillspark.operators.cases import case_id, site_id
+from quillspark.operators.expressions import RESOLVED, fold_expressions, with_folded
 from quillspark.operators.graph import build_pipelines
 from quillspark.operators.select import dedupe_edges, file_anchor
+from quillspark.operators.symbols import resolve_symbols
 from quillspark.sources.pyfacts import extract_facts
 from quillspark.storage import materialise, new_path
 
@@ -32,7 +34,10 @@ EDGE = ["src", "dst", "kind", "confidence", "detector"]
 
 
 class Facts:
-    """Fact rows of a corpus, written once to the shared folder with one partition a kind."""
+    """Fact rows of a corpus, written once to the shared folder with one partition a kind.
+
+    Messages and assignments are written a second time, with the texts of their expressions.
+    """
 
     def __init__(self, files: DataFrame):
         spark, path = files.sparkSession, new_path(files.sparkSession, "facts")
@@ -40,10 +45,15 @@ class Facts:
         rows.write.partitionBy("fact").parquet(path)
         self.spark, self.path = spark, path
         self._all = spark.read.schema(rows.schema).parquet(path)
+        folded = materialise(fold_expressions(self.of("expr")), "texts")
+        self._folded = {fact: materialise(with_folded(self._raw(fact), folded), fact) for fact in ("message", "assign")}
 
-    def of(self, fact: str) -> DataFrame:
+    def _raw(self, fact: str) -> DataFrame:
         return self._all.where(F.col("fact") == fact).drop("fact")
 
+    def of(self, fact: str) -> DataFrame:
+        return self.__dict__.get("_folded", {}).get(fact, self._raw(fact))
+
 
 def _packages(facts: Facts) -> DataFrame:
     top = F.substring_index("value", ".", 1)
@@ -82,7 +92,7 @@ def match_templates(facts: Facts) -> DataFrame:
     """K4: functions that build messages, and constants of a module that hold a prompt."""
     built = facts.of("scope").where((F.col("value") == "function") & I.is_builder(F.substring_index("name", ".", -1)))
     builders = built.select("file", F.concat_ws(":", "file", "name").alias("id"), "line", F.col("name").alias("scope"), "name", F.lit("builder").alias("origin"))
-    held = facts.of("assign").where("scope = '' and value in ('literal', 'fstring')").where(I.is_prompt_constant(F.col("name")))
+    held = facts.of("assign").where("scope = ''").where(F.col("value").isin(*RESOLVED) & I.is_prompt_constant(F.col("name")))
     constants = held.select("file", F.concat_ws(":", "file", "name").alias("id"), "line", "scope", "name", F.lit("constant").alias("origin"))
     return builders.unionByName(constants)
 
@@ -102,6 +112,26 @@ def site_messages(facts: Facts, templates: DataFrame) -> DataFrame:
     return own.unionByName(built.select(*own.columns)).unionByName(constants.select(*own.columns))
 
 
+def call_parameters(facts: Facts) -> DataFrame:
+    """K1: ``(id, model, temperature, max_tokens, top_p, response_format, extra)`` of calls with messages.
+
+    Only plain values count; ``extra`` holds the code of other keywords, and of ``max_output_tokens`` besides its
+    value. The texts themselves are no parameters.
+    """
+    of = lambda value, *names: F.max_by(F.when(F.col("name").isin(*names), value), F.when(F.col("name").isin(*names), F.col("pos")))
+    held = F.get("items", F.lit(0))
+    number = F.when(F.col("value").isin("int", "float", "negative"), F.col("text").try_cast("double"))
+    other = ~F.col("name").isin("model", "temperature", "max_tokens", "top_p", "response_format", "messages", "system", "input", "prompt")
+    return facts.of("param").groupBy(F.col("parent").alias("id")).agg(
+        of(F.when(F.col("value") == "str", held), "model").alias("model"),
+        of(number, "temperature").alias("temperature"),
+        of(F.when(F.col("value") == "int", F.col("text").try_cast("long")), "max_tokens", "max_output_tokens").alias("max_tokens"),
+        of(number, "top_p").alias("top_p"),
+        of(F.when(F.col("value").isin("str", "dict"), held), "response_format").alias("response_format"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(other, F.struct("name", "text"))))).alias("extra"),
+    )
+
+
 def resolve_names(messages: DataFrame, facts: Facts, hops: int = 4) -> DataFrame:
     """K6: unresolved messages that name a local or module variable, with its text, over at most ``hops`` names.
 
@@ -120,13 +150,13 @@ def resolve_names(messages: DataFrame, facts: Facts, hops: int = 4) -> DataFrame
         *[F.when(F.col("_m").isNotNull(), F.col(f"_m.{c}")).otherwise(F.col(c)).alias(c) for c in ("role", "kind", "text")],
     )
     # Of the latest assignment of each name; one row a name of each scope.
-    last = facts.of("assign").where("value in ('literal', 'fstring', 'name')").groupBy("file", "scope", "name").agg(F.max_by(F.struct("value", "text"), "line").alias("_b"))
+    last = facts.of("assign").where(F.col("value").isin(*RESOLVED, "name")).groupBy("file", "scope", "name").agg(F.max_by(F.struct("value", "text"), "line").alias("_b"))
     out = messages.withColumn("_name", F.when(F.col("kind") == "unresolved", F.col("text")))
     for _ in range(hops):
         local = last.select("file", "scope", F.col("name").alias("_name"), F.col("_b").alias("_l"))
         module = last.where("scope = ''").select("file", F.col("name").alias("_name"), F.col("_b").alias("_m"))
         found = out.join(local, ["file", "scope", "_name"], "left").join(module, ["file", "_name"], "left").withColumn("_f", F.coalesce("_l", "_m"))
-        ends = F.col("_f.value").isin("literal", "fstring")
+        ends = F.col("_f.value").isin(*RESOLVED)
         out = found.select(
             "id", "file", "scope", "pos", "role",
             F.when(ends, F.col("_f.value")).otherwise(F.col("kind")).alias("kind"),
@@ -137,13 +167,20 @@ def resolve_names(messages: DataFrame, facts: Facts, hops: int = 4) -> DataFrame
 
 
 def link_wrappers(facts: Facts, wrappers: DataFrame, templates: DataFrame) -> DataFrame:
-    """K7: ``(id, builder)``: calls whose message list was made by a builder, through the variable they pass."""
+    """K7: ``(id, builder)``: calls whose message list was made by a builder, through the variable they pass.
+
+    The builder is what its name stands for in the call's file: an import, over its alias, or a definition of the
+    same project (:func:`symbols.resolve_symbols`).
+    """
     passed = facts.of("use").select("file", "scope", "name", F.col("line").alias("at"), F.col("parent").alias("use_id"))
     uses = passed.join(wrappers.select(F.col("id").alias("use_id")), "use_id", "left_semi")
     sets = facts.of("assign").select("file", "scope", "name", F.col("line").alias("at"), F.when(F.col("value") == "call", F.substring_index("text", ".", -1)).otherwise("").alias("value"))
-    bound = I.last_binding(uses, sets).where("bound is not null")
-    builders = templates.where("origin = 'builder'").groupBy(F.substring_index("name", ".", -1).alias("bound")).agg(F.min("id").alias("builder"))
-    return bound.join(builders, "bound").groupBy(F.col("use_id").alias("id")).agg(F.min("builder").alias("builder"))
+    bound = I.last_binding(uses, sets).where("bound <> ''").select("use_id", "file", F.col("bound").alias("name"))
+    built = templates.where("origin = 'builder'").select("file", F.substring_index("name", ".", -1).alias("name"), "id")
+    meant = resolve_symbols(bound, built, facts.of("import"))
+    builders = built.groupBy(F.col("file").alias("at"), F.col("name").alias("of")).agg(F.min("id").alias("builder"))
+    linked = bound.join(meant, ["file", "name"]).join(builders, ["at", "of"])
+    return linked.groupBy(F.col("use_id").alias("id")).agg(F.min("builder").alias("builder"))
 
 
 def prompt_sites(facts: Facts) -> DataFrame:
@@ -254,9 +291,11 @@ def function_edges(facts: Facts, sites: DataFrame) -> DataFrame:
 
 
 def pipe_edges(facts: Facts, sites: DataFrame) -> DataFrame:
-    """D3: consecutive sites among the operands of ``a | b | c``."""
+    """D3: sites that are operands side by side in ``a | b | c``; what lies between two of them parts them."""
     steps = facts.of("pipe").join(sites.select(F.col("id").alias("parent")), "parent", "left_semi")
-    return _edges(I.chain_edges(steps.select(F.col("id").alias("group_id"), "pos", F.col("parent").alias("site"))), "lc_pipe", F.lit("high"), 3)
+    after = F.lead(F.struct("pos", "parent")).over(Window.partitionBy("id").orderBy("pos"))
+    beside = steps.withColumn("_next", after).where("_next.pos = pos + 1 and _next.parent <> parent")
+    return _edges(beside.select(F.col("parent").alias("src"), F.col("_next.parent").alias("dst")).distinct(), "lc_pipe", F.lit("high"), 3)
 
 
 def engine_edges(facts: Facts, sites: DataFrame) -> DataFrame:
@@ -281,16 +320,20 @@ def method_chain_edges(facts: Facts, sites: DataFrame, least: int = 3) -> DataFr
 
 
 def cross_file_edges(facts: Facts, sites: DataFrame) -> DataFrame:
-    """A method that calls two or more objects held in ``self`` chains the first sites of their classes' files."""
-    cls = F.regexp_extract("scope", r"^(.*)\.[^.]+$", 1)
-    held = facts.of("assign").where("name rlike '^self[.][^.]+$' and value = 'call'").groupBy("file", cls.alias("cls"), "name").agg(F.max_by(F.substring_index("text", ".", -1), "line").alias("_class"))
-    where = facts.of("scope").where("value = 'class'").groupBy(F.substring_index("name", ".", -1).alias("_class")).agg(F.min("file").alias("_at"))
+    """A method that calls two or more objects held in ``self`` chains the first sites of their classes' files.
+
+    What ``__init__`` sets counts, the last class that the project has. A class is what its name stands for in the
+    file (:func:`symbols.resolve_symbols`); files without a site are passed over.
+    """
+    owner = F.regexp_extract("scope", r"^(.*)\.[^.]+$", 1)
+    made = facts.of("assign").where("name rlike '^self[.][^.]+$' and value = 'call' and scope like '%.__init__' and depth = 0")
+    held = made.select("file", owner.alias("cls"), F.col("name").alias("attr"), F.substring_index("text", ".", -1).alias("name"), "line")
+    classes = facts.of("scope").where("value = 'class'").select("file", F.substring_index("name", ".", -1).alias("name"))
+    where = held.join(resolve_symbols(held, classes, facts.of("import")), ["file", "name"]).groupBy("file", "cls", "attr").agg(F.max_by("at", "line").alias("_at"))
     anchors = file_anchor(sites.select("file", "line", "id")).select(F.col("file").alias("_at"), F.col("anchor").alias("site"))
-    receivers = held.join(where, "_class").join(anchors, "_at").select("file", "cls", "name", "site")
-    calls = facts.of("call").where("value rlike '^self[.][^.]+[.][^.]+$'").select("file", "scope", "line", cls.alias("cls"), F.regexp_extract("value", r"^(.*)\.[^.]+$", 1).alias("name"))
-    steps = calls.join(receivers, ["file", "cls", "name"])
-    wide = steps.groupBy("file", "scope").agg(F.countDistinct("name").alias("_n")).where("_n >= 2")
-    found = steps.join(wide, ["file", "scope"]).select(F.struct("file", "scope").alias("group_id"), F.col("line").alias("pos"), "site")
+    receivers = where.join(anchors, "_at").select("file", "cls", F.col("attr").alias("name"), "site")
+    calls = facts.of("call").where("value rlike '^self[.][^.]+[.][^.]+$'").select("file", "scope", "line", owner.alias("cls"), F.regexp_extract("value", r"^(.*)\.[^.]+$", 1).alias("name"))
+    found = calls.join(receivers, ["file", "cls", "name"]).select(F.struct("file", "scope").alias("group_id"), F.col("line").alias("pos"), "site")
     return _edges(I.chain_edges(found), "cross_file", F.lit("medium"), 6)
 
 

@@ -94,13 +94,44 @@ register(
 )(lambda fx: _upgraded(corpus.Facts(fx.helper_files)))
 
 
-def _linked(fx):
-    facts, sites = _facts(fx), _sites(fx)
-    # A builder's name is looked up corpus-wide, so the file of the first one stands for all.
+def _links(facts, sites):
     return corpus.link_wrappers(facts, sites, corpus.match_templates(facts)).select(F.split("id", ":")[0].alias("file"), "builder")
 
 
-register("k7_link_wrappers", "select file, (select min(file || ':build_x_messages') from fx_code_files where shape = 1) as builder from fx_code_files where shape = 1")(_linked)
+register("k7_link_wrappers", "select file, file || ':build_x_messages' as builder from fx_code_files where shape = 1")(lambda fx: _links(_facts(fx), _sites(fx)))
+register("k7_imported_builders", "select file, 's' || project || '/prompts.py:build_n_messages' as builder from fx_symbol_files where part = 6 and shape <> 1")(
+    lambda fx: (lambda f: _links(f, corpus.prompt_sites(f)))(corpus.Facts(fx.symbol_files))
+)
+
+
+def _expression_texts(fx):
+    facts = corpus.Facts(fx.expr_files)
+    held = facts.of("assign").where("name like '%_PROMPT'").select("file", "name", F.col("value").alias("kind"), "text", F.array_join("items", ",").alias("vars"))
+    said = facts.of("message").where("pos <> 0 and items is not null")
+    return held.unionByName(said.select("file", F.concat(F.lit("message "), "pos").alias("name"), F.col("value").alias("kind"), "text", F.array_join("items", ",").alias("vars")))
+
+
+register(
+    "k1_expression_texts",
+    """select file, 'X_PROMPT' as name, case shape when 1 then 'literal' when 3 then 'fstring' when 6 then 'jinja2' when 8 then 'call' else 'concat' end as kind,
+         case shape when 0 then head || '{who}' || tail when 1 then head when 2 then head || '{user.name}{<expr>}' || tail when 3 then head || '{name}' || tail
+           when 4 then head || tail || '{<expr>}{z}{z}{<expr>}' when 6 then head || '{{ user }}' else 'dedent' end as text,
+         case shape when 0 then 'who' when 1 then '' when 2 then 'user.name' when 3 then 'name' when 4 then 'z' end as vars
+       from fx_expr_files where shape not in (5, 7)
+       union all select file, 'Y_PROMPT', 'concat', head || '{<expr>}', '' from fx_expr_files where shape = 8
+       union all select file, 'message -1', 'fstring', head || chr(10) || chr(10) || '<image>' || chr(10) || chr(10) || 't{tail}', 'tail' from fx_expr_files where shape = 5
+       union all select file, 'message 1', 'concat', tail || '{q}', 'q' from fx_expr_files where shape = 5""",
+)(_expression_texts)
+register("k6_upgraded_expressions", "select file, 'user' as role, 'concat' as kind, head || '{q}' as text from fx_expr_files where shape = 7")(lambda fx: _upgraded(corpus.Facts(fx.expr_files)).drop("pos"))
+register(
+    "k1_call_parameters",
+    """select file, 'm' || file_id as model, -0.5::double as temperature, cast(file_id as bigint) as max_tokens, cast(null as double) as top_p, 'json_object' as response_format,
+         'foo=[1, 2];max_output_tokens=' || file_id || ';stop=' || chr(39) || 'x' || chr(39) as extra from fx_expr_files where shape = 5""",
+)(
+    lambda fx: corpus.call_parameters(corpus.Facts(fx.expr_files))
+    .where("model is not null")
+    .select(F.split("id", ":")[0].alias("file"), "model", "temperature", "max_tokens", "top_p", "response_format", F.array_join(F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("extra"))
+)
 register(
     "k9_input_shapes",
     """select file, l.line, l.f as function, l.args, l.doc from fx_code_files join (values (0, 2, null, null, null), (0, 4, 'ask', 'q: str,n', ''), (0, 5, 'ask', 'q: str,n', ''), (1, 3, 'build_x_messages', 'q', ''), (1, 6, null, null, null),
@@ -136,14 +167,21 @@ register(
 _EDGE = "select file, {0} as src_line, {1} as dst_line, '{2}' as kind, '{3}' as confidence from fx_code_files where shape = {4}"
 register("d1_variable_edges", _EDGE.format(4, 5, "variable", "high", 0))(lambda fx: _lines(_with_sites(corpus.variable_edges)(fx)))
 register("d2_function_edges", _EDGE.format(3, 5, "function", "high", 5))(lambda fx: _lines(_with_sites(corpus.function_edges)(fx)))
-register("d3_pipe_edges", _EDGE.format(1, 1, "lc_pipe", "high", 2))(lambda fx: _lines(_with_sites(corpus.pipe_edges)(fx)))
+_PIPE = f"{_EDGE.format(1, 1, 'lc_pipe', 'high', 2)} and file_id % 2 = 1"  # the others have an unknown operand between
+register("d3_pipe_edges", _PIPE)(lambda fx: _lines(_with_sites(corpus.pipe_edges)(fx)))
 register("d4_engine_edges", _EDGE.format(3, 5, "query_engine", "low", 5))(lambda fx: _lines(_with_sites(corpus.engine_edges)(fx)))
 _CHAIN = f"{_EDGE.format(6, 8, 'method_chain', 'low', 6)} union all {_EDGE.format(8, 10, 'method_chain', 'low', 6)}"
 register("d5_method_chain_edges", _CHAIN)(lambda fx: _lines(_with_sites(corpus.method_chain_edges)(fx)))
-_CROSS = "select file, 6 as src_line, 6 as dst_line, 'cross_file' as kind, 'medium' as confidence from fx_code_files where file_id % 14 = 6 and shape = 6 and file_id + 7 <= (select max(file_id) from fx_code_files)"
+_CROSS = "select file, 6 as src_line, 6 as dst_line, 'cross_file' as kind, 'medium' as confidence from fx_code_files where file_id % 14 = 6 and file_id + 350 <= (select max(file_id) from fx_code_files)"
 register("d6_cross_file_edges", _CROSS)(lambda fx: _lines(_with_sites(corpus.cross_file_edges)(fx)))
+register(
+    "d6_imported_classes",
+    "select 's' || project || '/app/agents/planner.py:3' as src, 's' || project || '/app/agents/engine.py:3' as dst from fx_symbol_files where part = 3 and shape <> 1",
+)(
+    lambda fx: (lambda f: corpus.cross_file_edges(f, corpus.prompt_sites(f)).select(*[F.array_join(F.slice(F.split(c, ":"), 1, 2), ":").alias(c) for c in ("src", "dst")]))(corpus.Facts(fx.symbol_files))
+)
 register(
     "d7_corpus_edges",
-    " union all ".join([_EDGE.format(4, 5, "variable", "high", 0), _EDGE.format(3, 5, "function", "high", 5), _EDGE.format(1, 1, "lc_pipe", "high", 2), _EDGE.format(3, 5, "query_engine", "low", 5), _CHAIN, _CROSS]),
+    " union all ".join([_EDGE.format(4, 5, "variable", "high", 0), _EDGE.format(3, 5, "function", "high", 5), _PIPE, _EDGE.format(3, 5, "query_engine", "low", 5), _CHAIN, _CROSS]),
 )(lambda fx: _lines(_with_sites(corpus.corpus_edges)(fx)))
 register("d7_warnings", "select file, 'W001-unparseable' as name from fx_code_files where shape = 3")(lambda fx: corpus.warnings(_facts(fx)).select("file", "name"))
