@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
+from quillspark.operators import contraction
 from quillspark.operators.cases import pipeline_id
 from quillspark.storage import materialise_at, remove
 
@@ -118,73 +119,21 @@ def downstream_impact(edges: DataFrame, starts: DataFrame) -> DataFrame:
     return reached.where("distance > 0").select("start", "node", "distance", F.array_join("kinds", ",").alias("kinds"))
 
 
-#: Live edges that the driver peels by itself, which ends deep graphs without a job a level.
-LOCAL_EDGES = 100_000
-
-
-def _peel(edges: list[tuple[int, int]], nodes: list[int], level: int) -> list[tuple[int, int | None]]:
-    """Levels of ``nodes`` under ``edges`` between them, the first being ``level``."""
-    ahead: dict[int, int] = dict.fromkeys(nodes, 0)
-    after: dict[int, list[int]] = {}
-    for src, dst in edges:
-        ahead[dst] += 1
-        after.setdefault(src, []).append(dst)
-    out: dict[int, int | None] = dict.fromkeys(nodes)
-    free = [n for n in nodes if not ahead[n]]
-    while free:
-        freed = []
-        for n in free:
-            out[n] = level
-            for dst in after.get(n, ()):
-                ahead[dst] -= 1
-                if not ahead[dst]:
-                    freed.append(dst)
-        free, level = freed, level + 1
-    return list(out.items())
-
-
 def topo_levels(edges: DataFrame) -> DataFrame:
     """``(node, level)``: 0 without predecessors, else one more than the highest of them.
 
-    Nodes on or behind a cycle have a null level. Each round peels the nodes without live edges in, until none
-    is peeled; once (or if from the start) at most ``LOCAL_EDGES`` edges are live, the driver does the rest.
+    Nodes on or behind a cycle have a null level. See :func:`contraction.levels`: chains and trees are followed by
+    pointer jumping, so rounds do not follow the depth of a graph.
     """
-    spark = edges.sparkSession
-    live, path = materialise_at(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "live")
-    left, left_path = materialise_at(live.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "left")
-    done: list[str] = []
-    level = 0
-    while True:
-        if live.count() <= LOCAL_EDGES:
-            few = live.collect()
-            ends = sorted({n for e in few for n in (e["src"], e["dst"])})
-            rest = spark.createDataFrame(_peel([(e["src"], e["dst"]) for e in few], ends, level), "node long, level int")
-            # Nodes whose edges have all been peeled are the next level.
-            rest = rest.unionByName(left.join(rest.select("node"), "node", "left_anti").select("node", F.lit(level).alias("level")))
-            break
-        peeled = left.join(live.select(F.col("dst").alias("node")), "node", "left_anti")
-        peel, at = materialise_at(peeled.select("node", F.lit(level).alias("level")), "level")
-        if peel.isEmpty():
-            remove(spark, at)
-            rest = left.select("node", F.lit(None).cast("int").alias("level"))
-            break
-        done.append(at)
-        level += 1
-        names = peel.select("node")
-        old, old_left = path, left_path
-        live, path = materialise_at(live.join(names.withColumnRenamed("node", "src"), "src", "left_anti"), "live")
-        left, left_path = materialise_at(left.join(names, "node", "left_anti"), "left")
-        remove(spark, old), remove(spark, old_left)
-    return spark.read.schema("node long, level int").parquet(*done).unionByName(rest) if done else rest
+    return contraction.levels(edges)
 
 
 def reachable_cycles(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """``(start, cyclic)``: whether a cycle can be reached from each start.
 
-    Peeling the nodes without edges out, round by round, leaves the nodes that reach a cycle.
+    See :func:`contraction.leading_to_cycles`: trimming by pointer jumping, then colouring forwards and backwards.
     """
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    stuck = topo_levels(back).where("level is null").select(F.col("node").alias("start"), F.lit(True).alias("_c"))
+    stuck = contraction.leading_to_cycles(edges).select(F.col("node").alias("start"), F.lit(True).alias("_c"))
     return starts.join(stuck, "start", "left").select("start", F.coalesce("_c", F.lit(False)).alias("cyclic"))
 
 
