@@ -115,6 +115,12 @@ select concat('p', s_suppkey % 20, '/e', s_suppkey, '.py') as file, s_suppkey as
   when 6 then concat('X_PROMPT = "', s_name, '{{ user }}"', chr(10))
   when 7 then concat('def build_e_messages(q):', chr(10), '    t = "', s_name, '" + q', chr(10), '    return [{"role": "user", "content": t}]', chr(10))
   else concat('X_PROMPT = dedent("', s_name, '", "b")', chr(10), 'Y_PROMPT = dedent("', s_name, '".strip() + "")', chr(10)) end as content
+from supplier""",
+    "fx_tree_files": """
+select concat('r', s_suppkey % 3) as project, s_suppkey as file_id, s_suppkey % 9 as shape,
+  case s_suppkey % 9 when 0 then concat('src/a', s_suppkey, '.py') when 1 then concat('e', s_suppkey, '/.env') when 2 then concat('src/tests/t', s_suppkey, '.py') when 3 then concat('p/.svn/x', s_suppkey, '.py') when 4 then concat('deep/er', s_suppkey, '/Config.yaml')
+    when 5 then concat('notes', s_suppkey, '.txt') when 6 then concat('app/prod', s_suppkey, '.ENV') when 7 then concat('.hidden/h', s_suppkey, '.py') else concat('env/v', s_suppkey, '.py') end as file,
+  concat('# ', s_name, chr(10), s_nationkey) as content
 from supplier""",
     "fx_symbol_files": r"""
 select concat('s', s_suppkey, '/', case f when 0 then 'app/agents/planner.py' when 1 then 'app/agents/engine.py' when 2 then 'app/agents/__init__.py' when 3 then 'app/runner.py' when 4 then 'aaa.py' when 5 then 'prompts.py' else 'use.py' end) as file,

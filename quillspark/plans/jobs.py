@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import inference, judging
 from quillspark.plans.registry import register
-from quillspark.sources import tables
+from quillspark.sources import tables, tree
 from quillspark.storage import new_path
 from quillspark.streaming import jobs
 
@@ -57,6 +57,16 @@ def _snapshots(fx):
 
 
 register("s5_read_snapshot", "select id, name from fx_prompts where id % 2 = 0")(_snapshots)
+def _landed(fx):
+    root = new_path(fx.spark, "tree")
+    tree.write_tree(fx.tree_files.select(F.concat_ws("/", "project", "file").alias("file"), "content"), root)
+    return tree.load_corpus(fx.spark, [f"{root}/r{k}" for k in range(3)]).withColumn("project", F.substring_index("project", "/", -1))
+
+
+register(
+    "s6_load_corpus",
+    "select project, file, case shape when 4 then 'config' when 1 then 'env' when 6 then 'env' else 'python' end as kind, content from fx_tree_files where shape in (0, 1, 4, 6, 7)",
+)(_landed)
 register(
     "s7_scan_to_json",
     """select project, '{"project":' || project || ',"prompts":[' || string_agg('{"id":' || id || ',"name":"' || name || '"}', ',' order by id) || ']}' as document from fx_prompts group by 1""",
@@ -80,15 +90,25 @@ def _events(fx):
     return jobs.follow(fx.spark, f"{fx.sf_dir}/events.parquet")
 
 
+def _closed(fx, log, name):
+    """``log`` (with a time ``at``) written as an event log with an entry long after all others, so that every session of it is over."""
+    path = new_path(fx.spark, name)
+    ends = log.agg(F.max("at").alias("at")).select(*[(F.col("at") + F.expr("interval 1000 days") if c == "at" else F.lit(None).cast(t)).alias(c) for c, t in log.dtypes])
+    log.unionByName(ends).write.parquet(path)
+    return jobs.follow(fx.spark, path)
+
+
 _STATE = "case event_type when 'signup' then 'running' when 'purchase' then 'done' when 'error' then 'failed' end"
 register(
     "t1_stream_run_state",
-    f"""select user_id as run_id, arg_max(status, (ts, status)) as status, case when arg_max(status, (ts, status)) in ('done', 'failed') then max(ts) end as finished_at from (
-         select user_id, ts, {_STATE} as status from events) t where status is not null group by 1""",
+    f"""with e as (select user_id as run_id, ts, {_STATE} as status from events where {_STATE} is not null),
+         b as (select *, case when ts - lag(ts) over (partition by run_id order by ts) < interval 1 day then 0 else 1 end as new from e),
+         s as (select *, sum(new) over (partition by run_id order by ts rows unbounded preceding) as k from b)
+       select run_id, min(ts) as started_at, arg_max(status, (ts, status)) as status, case when arg_max(status, (ts, status)) in ('done', 'failed') then max(ts) end as finished_at from s group by run_id, k""",
 )(
-    lambda fx: jobs.update_all(
-        jobs.stream_run_state(_events(fx).select(F.col("user_id").alias("run_id"), F.col("ts").alias("at"), F.expr(_STATE).alias("status")).where("status is not null")), ["run_id"], "run-state"
-    ).withColumn("finished_at", F.col("finished_at").cast("timestamp_ntz"))
+    lambda fx: jobs.append_all(
+        jobs.stream_run_state(_closed(fx, fx.events.select(F.col("user_id").alias("run_id"), F.col("ts").cast("timestamp").alias("at"), F.expr(_STATE).alias("status")).where("status is not null"), "states"), "1 day"), "run-state"
+    ).select("run_id", "status", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "finished_at")])
 )
 register(
     "t2_stream_score_windows",
@@ -113,18 +133,23 @@ _CONVERGE = """with i as (select o_orderkey, concat(o_custkey, '-', year(o_order
 def _rounds_stream(fx):
     """The revision rounds, written as an event log and followed."""
     path = new_path(fx.spark, "rounds")
-    fx.iterations.select("session_id", "round", F.col("weighted_score").cast("double").alias("weighted_score")).write.parquet(path)
+    fx.iterations.select("session_id", "round", F.col("weighted_score").cast("double").alias("weighted_score"), F.col("started_at").cast("timestamp").alias("at")).write.parquet(path)
     return jobs.follow(fx.spark, path)
 
 
 register("t4_stream_convergence", _CONVERGE)(lambda fx: jobs.append_all(jobs.stream_convergence(_rounds_stream(fx)), "convergence"))
-register("t5_stream_budget", "select o_custkey as target_id, round(sum(o_totalprice), 2) as cost_usd from orders group by 1 having sum(o_totalprice) > 1000000")(
-    lambda fx: jobs.update_all(
+register(
+    "t5_stream_budget",
+    """with b as (select *, case when o_orderdate - lag(o_orderdate) over (partition by o_custkey order by o_orderdate) <= interval 200 days then 0 else 1 end as new from orders),
+         s as (select *, sum(new) over (partition by o_custkey order by o_orderdate rows unbounded preceding) as k from b)
+       select o_custkey as target_id, min(o_orderdate) as started_at, max(o_orderdate) + interval 200 days as ended_at, round(sum(o_totalprice), 2) as cost_usd from s group by o_custkey, k having sum(o_totalprice) > 1000000""",
+)(
+    lambda fx: jobs.append_all(
         jobs.stream_budget(
-            jobs.follow(fx.spark, f"{fx.sf_dir}/orders.parquet").select(F.col("o_custkey").alias("target_id"), F.col("o_totalprice").alias("cost_usd")), "target_id", 1e6
+            _closed(fx, fx.orders.select(F.col("o_custkey").alias("target_id"), F.col("o_orderdate").cast("timestamp").alias("at"), F.col("o_totalprice").alias("cost_usd")), "costs"), "target_id", 1e6, "200 days"
         ),
-        ["target_id"], "budget",
-    ).withColumn("cost_usd", F.round("cost_usd", 2))
+        "budget",
+    ).select("target_id", F.round("cost_usd", 2).alias("cost_usd"), *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("started_at", "ended_at")])
 )
 
 
@@ -132,7 +157,7 @@ def _merged_stream(fx):
     stamp = F.lit("2024-01-01 00:00:00").cast("timestamp")
     stored = fx.prompts.where("id % 3 <> 0").select("id", "name", stamp.alias("first_seen_at"), stamp.alias("last_seen_at"))
     new = jobs.follow(fx.spark, f"{fx.sf_dir}/customer.parquet").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("id"), F.concat(F.lit("NEW_"), F.col("c_custkey").cast("string")).alias("name"))
-    return jobs.stream_merge_snapshot(new, stored, "2024-02-02 00:00:00", "merge")
+    return jobs.stream_merge_snapshot(new, stored, "2024-02-02 00:00:00", new_path(fx.spark, "merge"))
 
 
 register(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +11,6 @@ from quillspark.storage import exists
 
 OUTPUT = "case_index bigint, text string, error string, input_tokens bigint, output_tokens bigint"
 CASE = "id string, prompt_site_id string, inputs map<string,string>, expected string, tags array<string>, source string, notes string"
-#: Folders of a source tree that hold no sources of its own.
-IGNORED = (".git", ".hg", ".venv", "venv", "node_modules", "__pycache__", "build", "dist", ".tox", ".mypy_cache", "site-packages")
 #: The stored tables and their schemas; keys are checked by ``integrity.key_violations``.
 SCHEMAS = {
     "prompts": "id string, name string, provider string, file string, line int, purpose string, confidence string, payload string, first_seen_at timestamp, last_seen_at timestamp",
@@ -75,30 +72,6 @@ def read_snapshot(spark: SparkSession, path: str, scan_id: str) -> DataFrame:
     return spark.read.parquet(f"{path}/scan_id={scan_id}")
 
 
-def load_corpus(spark: SparkSession, roots: Sequence[str], ignore_dirs: Sequence[str] = IGNORED) -> DataFrame:
-    """``(project, file, kind, content)`` of all files under project roots, without ignored folders.
-
-    ``kind`` is ``python``, ``env`` or ``config``; other files are not read. Bytes that are no UTF-8 are
-    replaced. Spark's readers skip names that start with a dot or an underscore, so a plain ``.env`` has to be
-    landed under another name, such as ``app.env``.
-    """
-    whole = None
-    for root in roots:
-        base = root.rstrip("/")
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-        rel = F.substring_index("path", f"{base.split(':', 1)[-1].lstrip('/')}/", -1)
-        part = found.select(F.lit(base).alias("project"), rel.alias("file"), "content")
-        whole = part if whole is None else whole.unionByName(part)
-    name = F.regexp_extract("file", r"([^/]+)$", 1)
-    kind = (
-        F.when(name.isin("config.yaml", "config.yml", "settings.yaml", "settings.yml", "config.py", "settings.py"), "config")
-        .when(name.startswith(".env") | name.endswith(".env"), "env")
-        .when(name.endswith(".py"), "python")
-    )
-    kept = whole.withColumn("kind", kind).where(F.col("kind").isNotNull() & ~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(d) for d in ignore_dirs])))
-    return kept.select("project", "file", "kind", F.decode("content", "UTF-8").alias("content"))
-
-
 def scan_to_json(rows: DataFrame, group: str = "project") -> DataFrame:
     """Each project's rows as one JSON document, in order of their columns."""
     rest = [c for c in rows.columns if c != group]

@@ -64,11 +64,24 @@ def materialise_at(df: DataFrame, name: str, rows: int | None = None) -> tuple[D
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder, or any that a pattern fits, is there; on any store that Spark reads."""
+def matching(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders that a path or pattern fits, on any store that Spark reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
-    return found is not None and len(found) > 0
+    return [f.getPath().toString() for f in found] if found is not None else []
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder, or any that a pattern fits, is there."""
+    return bool(matching(spark, path))
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a file or folder within its store."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} cannot become {to}")
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from quillspark.operators.integrity import merge_snapshot
 from quillspark.operators.iterations import Convergence
-from quillspark.storage import new_path
+from quillspark.storage import exists, matching, new_path, remove
 
 
-def stream_run_state(events: DataFrame) -> DataFrame:
-    """Each run's last status so far, in update mode; of equal times the status later in the alphabet wins."""
-    last = events.groupBy("run_id").agg(F.max(F.struct("at", "status")).alias("_l"))
+def stream_run_state(events: DataFrame, gap: str, late: str = "1 hour") -> DataFrame:
+    """``(run_id, started_at, status, finished_at)`` of each session of a run, once it is over; append mode.
+
+    ``events`` is ``(run_id, at, status)``. A session is over when no event came for ``gap``, and no earlier one can
+    come any more; its last status counts, of equal times the later one in the alphabet. Events more than ``late``
+    behind the latest seen are dropped, so the state holds open sessions only.
+    """
+    spans = F.session_window("at", gap)
+    last = events.withWatermark("at", late).groupBy("run_id", spans.alias("w")).agg(F.max(F.struct("at", "status")).alias("_l"))
     final = F.col("_l.status").isin("done", "failed")
-    return last.select("run_id", F.col("_l.status").alias("status"), F.when(final, F.col("_l.at")).alias("finished_at"))
+    return last.select("run_id", F.col("w.start").alias("started_at"), F.col("_l.status").alias("status"), F.when(final, F.col("_l.at")).alias("finished_at"))
 
 
 def stream_score_windows(scores: DataFrame, length: str, late: str = "1 hour", slide: str | None = None) -> DataFrame:
@@ -37,53 +44,115 @@ def stream_dedupe_scores(scores: DataFrame, keys: list[str], within: str) -> Dat
 
 
 STOP = "session_id string, stop_round long, reason string"
-_SEEN = "n long, first double, recent array<double>, done boolean"
+_SEEN = "n long, first double, last long, recent array<double>, ended boolean, latest long"
+_EARLY = "round long, score double, at long"
 
 
-def stream_convergence(rounds: DataFrame, cfg: Convergence = Convergence()) -> DataFrame:
-    """T4: one row a session, when it should stop: the batch rule, with constant state a session.
+class ConvergenceOfSessions(StatefulProcessor):
+    """The batch rule (W2) over rounds that may come out of order: one row a session, when it should stop.
 
-    State is the number of rounds, the first score and the last ``window``; rounds of a session come in
-    order from trigger to trigger, and are put in order within one.
+    A round whose number follows is judged at once. One that comes before its predecessor waits in a list, until that
+    comes or the watermark says that it cannot come any more. An ended session keeps a mark; the mark, or the state
+    of a session without news, goes after ``forget``, by event time.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, first, recent, done = state.get if state.exists else (0, 0.0, [], False)
-        recent, out = list(recent), None
-        new = pd.concat(list(batches)).sort_values("round")
-        for at, score in zip(new["round"], new["weighted_score"], strict=True):
-            if done:
+    def __init__(self, cfg: Convergence, forget_ms: int):
+        self.cfg, self.forget_ms = cfg, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", _SEEN)
+        self.early = handle.getListState("early", _EARLY)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        when = new["at"].astype("datetime64[ms]").astype("int64")
+        new = [(int(r), float(s), int(t)) for r, s, t in zip(new["round"], new["weighted_score"], when, strict=True)]
+        yield from self.judge(key, new, None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        state = self.seen.get() if self.seen.exists() else None
+        if state and state[5] + self.forget_ms <= at:
+            self.seen.clear()
+            self.early.clear()
+            return
+        yield from self.judge(key, [], at)
+
+    def judge(self, key, new: list[tuple[int, float, int]], passed: int | None) -> Iterator[pd.DataFrame]:
+        """Rounds in order, as far as none is missing before them, or all before ``passed``."""
+        cfg = self.cfg
+        n, first, last, recent, ended, latest = self.seen.get() if self.seen.exists() else (0, 0.0, 0, [], False, 0)
+        recent, known = list(recent), not new
+        latest = max([latest, *(t for _, _, t in new)])
+        waiting = sorted([*new, *(tuple(e) for e in (self.early.get() if self.early.exists() else []))])
+        out = None
+        while waiting and not ended:
+            at, score, when = waiting[0]
+            if at > last + 1 and not (passed is not None and when <= passed):
                 break
-            n, first = n + 1, score if n == 0 else first
+            waiting.pop(0)
+            if at <= last:
+                continue  # a repeated round, or one that was given up
+            n, first, last = n + 1, score if n == 0 else first, at
             recent = [*recent, score][-cfg.window :]
             steps = [abs(b - a) for a, b in zip(recent, recent[1:], strict=False)]
-            if n < 2:
-                reason = None
-            elif score - first >= cfg.delta:
+            reason = None
+            if n >= 2 and score - first >= cfg.delta:
                 reason = "delta"
-            elif cfg.absolute is not None and score >= cfg.absolute:
+            elif n >= 2 and cfg.absolute is not None and score >= cfg.absolute:
                 reason = "absolute"
-            elif n >= cfg.window and max(steps) < cfg.epsilon:
+            elif n >= max(2, cfg.window) and max(steps) < cfg.epsilon:
                 reason = "stagnation"
-            else:
-                reason = "max_rounds" if n >= cfg.max_rounds else None
+            elif n >= max(2, cfg.max_rounds):
+                reason = "max_rounds"
             if reason:
-                done, out = True, (key[0], int(at), reason)
-        state.update((n, float(first), [float(s) for s in recent], done))
+                ended, out = True, (key[0], at, reason)
+        self.seen.update((n, float(first), last, [] if ended else [float(s) for s in recent], ended, latest))
+        if ended or not waiting:
+            self.early.clear()
+        else:
+            self.early.put(waiting)
+        timers = {latest + self.forget_ms, *(t for _, _, t in waiting if not ended)} if not known or waiting else set()
+        for t in timers:
+            self.handle.registerTimer(t)
         if out:
             yield pd.DataFrame([out], columns=["session_id", "stop_round", "reason"])
 
-    return rounds.groupBy("session_id").applyInPandasWithState(step, STOP, _SEEN, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
-def stream_budget(costs: DataFrame, group: str, limit: float) -> DataFrame:
-    """T5: running cost of each group that has passed the limit, in update mode."""
-    return costs.groupBy(group).agg(F.round(F.sum("cost_usd"), 9).alias("cost_usd")).where(F.col("cost_usd") > limit)
+def stream_convergence(rounds: DataFrame, cfg: Convergence = Convergence(), late: str = "1 hour", forget_ms: int = 7 * 86_400_000) -> DataFrame:
+    """T4: one row a session, when it should stop, over ``(session_id, round, weighted_score, at)``; append mode.
 
+    Rounds may come up to ``late`` out of order; see :class:`ConvergenceOfSessions`. The state is in RocksDB, a value
+    and a list a session, and is dropped ``forget_ms`` of event time after the session's last round.
+    """
+    # Lists and timers of a session are separate column families of a RocksDB store.
+    rounds.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    some = rounds.select("session_id", F.col("round").cast("long").alias("round"), F.col("weighted_score").cast("double").alias("weighted_score"), F.col("at").cast("timestamp").alias("at"))
+    return some.withWatermark("at", late).groupBy("session_id").transformWithStateInPandas(ConvergenceOfSessions(cfg, forget_ms), STOP, "append", "EventTime")
 
-def append_all(stream: DataFrame, name: str) -> DataFrame:
-    """Run a stream in append mode over what is there, and return all it put out."""
-    spark, path = stream.sparkSession, new_path(stream.sparkSession, name)
+
+def stream_budget(costs: DataFrame, group: str, limit: float, gap: str, late: str = "1 hour") -> DataFrame:
+    """T5: ``(group, started_at, ended_at, cost_usd)`` of each spending session that has passed the limit; append mode.
+
+    ``costs`` is ``(group, at, cost_usd)``. A session ends when nothing was spent for ``gap``; it is told once no
+    earlier cost can come any more, and its state is dropped. Costs more than ``late`` behind the latest seen are
+    dropped.
+    """
+    spans = F.session_window("at", gap)
+    spent = costs.withWatermark("at", late).groupBy(group, spans.alias("w")).agg(F.round(F.sum("cost_usd"), 9).alias("cost_usd"))
+    return spent.where(F.col("cost_usd") > limit).select(group, F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "cost_usd")
+
+
+def append_all(stream: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run a stream in append mode over what is there, and return all it has put out.
+
+    With a ``path``, the next run goes on where the last one under it ended.
+    """
+    spark, path = stream.sparkSession, path or new_path(stream.sparkSession, name)
     query = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
     query.option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
@@ -108,24 +177,74 @@ def update_all(stream: DataFrame, keys: list[str], name: str) -> DataFrame:
     return last.select(*keys, *[F.col(f"_l.{c}").alias(c) for c in rest])
 
 
-def stream_merge_snapshot(new: DataFrame, stored: DataFrame, now: str, name: str) -> DataFrame:
-    """Newly scanned rows merged into a snapshot, trigger by trigger; the snapshot after the last.
+class BucketedSnapshot:
+    """A snapshot table in buckets of its key's hash, at a path; a merge rewrites the buckets that it touches.
 
-    Each trigger reads the snapshot before it and writes its own under its number, so a repeated trigger
-    writes the same again.
+    ``path`` holds ``merged``, a version a trigger of the buckets it touched, and ``state``, the stream's checkpoint.
+    A bucket's rows are those of its last version. A trigger that is run again writes the same version again, so a
+    stream may end anywhere and go on in another session.
     """
-    spark: SparkSession = new.sparkSession
-    path, last = new_path(spark, name), [-1]
-    stored.write.parquet(f"{path}/snapshot/-1")
 
-    def merge(batch: DataFrame, number: int) -> None:
-        before = spark.read.schema(stored.schema).parquet(f"{path}/snapshot/{number - 1}")
-        merge_snapshot(before, batch, now).select(*stored.columns).write.mode("overwrite").parquet(f"{path}/snapshot/{number}")
-        last[0] = number
-
-    query = new.writeStream.foreachBatch(merge).outputMode("append").trigger(availableNow=True)
-    query.option("checkpointLocation", f"{path}/state").start().awaitTermination()
-    return spark.read.schema(stored.schema).parquet(f"{path}/snapshot/{last[0]}")
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, buckets: int = 64, key: str = "id"):
+        self.spark, self.path, self.schema, self.buckets, self.key = spark, path.rstrip("/"), schema, buckets, key
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def start(self, rows: DataFrame) -> None:
+        """The snapshot before the first trigger; where there is one, it stays."""
+        if not exists(self.spark, f"{self.path}/merged/version=-1/_SUCCESS"):
+            self._write(rows, -1)
+
+    def _write(self, rows: DataFrame, version: int) -> None:
+        dealt = rows.select(*self.schema.names).withColumn("bucket", self.bucket()).repartition("bucket")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/merged/version={version}")
+
+    def versions(self, below: int | None = None) -> dict[int, int]:
+        """The version that holds each bucket: names of folders, at most one a bucket and trigger."""
+        last: dict[int, int] = {}
+        for at in matching(self.spark, f"{self.path}/merged/version=*/bucket=*"):
+            version, bucket = (int(part.rsplit("=", 1)[1]) for part in at.rsplit("/", 2)[1:])
+            if (below is None or version < below) and version >= last.get(bucket, version):
+                last[bucket] = version
+        return last
+
+    def read(self, below: int | None = None, buckets: Sequence[int] | None = None) -> DataFrame:
+        """The rows of the last versions, of all buckets or some; no other files are read."""
+        held = self.versions(below)
+        paths = [f"{self.path}/merged/version={v}/bucket={b}" for b, v in held.items() if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def merge(self, batch: DataFrame, number: int, now: str) -> None:
+        """Merge a trigger's rows (Q5) into the buckets of their keys."""
+        batch = batch.persist()
+        touched = [r["bucket"] for r in batch.select(self.bucket().alias("bucket")).distinct().collect()]  # at most one a bucket
+        if touched:
+            self._write(merge_snapshot(self.read(number, touched), batch, now, self.key), number)
+        batch.unpersist()
+
+    def drop_old(self) -> None:
+        """Delete the versions of buckets that a later one replaces; while no trigger runs."""
+        held = self.versions()
+        for at in matching(self.spark, f"{self.path}/merged/version=*/bucket=*"):
+            version, bucket = (int(part.rsplit("=", 1)[1]) for part in at.rsplit("/", 2)[1:])
+            if version < held[bucket]:
+                remove(self.spark, at)
+
+
+def stream_merge_snapshot(new: DataFrame, stored: DataFrame, now: str, path: str, buckets: int = 64) -> DataFrame:
+    """Newly scanned rows merged into the snapshot at ``path``, trigger by trigger; the snapshot after the last.
+
+    ``stored`` is the snapshot to begin with, where ``path`` has none yet. A trigger reads and writes only the buckets
+    of its rows' keys; a stream that is started again at the same path goes on after its last trigger.
+    """
+    snapshot = BucketedSnapshot(new.sparkSession, path, stored.schema, buckets)
+    snapshot.start(stored)
+    query = new.writeStream.foreachBatch(lambda batch, number: snapshot.merge(batch, number, now)).outputMode("append").trigger(availableNow=True)
+    query.option("checkpointLocation", f"{snapshot.path}/state").start().awaitTermination()
+    return snapshot.read()
 
 
 def follow(spark: SparkSession, path: str) -> DataFrame:

@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import cases, corpus, inference, judging
 from quillspark.operators.iterations import Convergence
-from quillspark.sources import tables
+from quillspark.sources import tables, tree
 from quillspark.sources.pyfacts import file_facts
-from quillspark.streaming import jobs
 
 
 def test_outputs_with_broken_and_blank_lines(spark, tmp_path):
@@ -23,15 +22,22 @@ def test_outputs_with_broken_and_blank_lines(spark, tmp_path):
     assert sorted(r.line for r in bad.collect()) == ['{"case', '{"case_index": "y"}']
 
 
-def test_corpus_leaves_ignored_folders_and_other_files_out(spark, tmp_path):
-    for name in ("a.py", "src/b.py", ".git/c.py", "src/app.env", "notes.txt", "config.yaml"):
-        at = tmp_path / name
+@pytest.mark.parametrize("slices", [1, 4, 256])
+def test_corpus_leaves_ignored_folders_and_other_files_out(spark, tmp_path, slices):
+    kept = {"a.py": "python", "src/b.py": "python", "src/app.env": "env", "config.yaml": "config", ".env": "env", "x/y/z/.env.Local": "env", "x/Settings.YML": "config", "x/config.py": "python", "x/.hidden/c.py": "python", "_x/_y.py": "python"}
+    for name in (*kept, ".git/c.py", "src/tests/d.py", "test/e.py", "x/.svn/f.py", "env/g.py", "notes.txt", "x/a.pyc"):
+        at = tmp_path / "one" / name
         at.parent.mkdir(parents=True, exist_ok=True)
         at.write_text(f"# {name}")
-    got = tables.load_corpus(spark, [str(tmp_path)]).collect()
-    assert sorted((r.file, r.kind, r.content) for r in got) == sorted(
-        [("a.py", "python", "# a.py"), ("src/b.py", "python", "# src/b.py"), ("src/app.env", "env", "# src/app.env"), ("config.yaml", "config", "# config.yaml")]
-    )
+    (tmp_path / "one/bad.py").write_bytes(b"# \xff\n")
+    (tmp_path / "one/loop").symlink_to(tmp_path / "one")
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two/a.py").write_text("2")
+    roots = [f"{tmp_path}/one/", f"file://{tmp_path}/two", f"{tmp_path}/none"]
+    got = {(r.project, r.file): (r.kind, r.content) for r in tree.load_corpus(spark, roots, slices=slices).collect()}
+    one = f"{tmp_path}/one"
+    assert got == {(one, f): (k, f"# {f}") for f, k in kept.items()} | {(one, "bad.py"): ("python", "# \ufffd\n"), (f"file://{tmp_path}/two", "a.py"): ("python", "2")}
+    assert len(tree.load_corpus(spark, [one], ["x", "src"]).where("kind = 'python'").collect()) == 6
 
 
 def test_tables_that_were_never_written_are_empty(spark, tmp_path):
@@ -41,15 +47,6 @@ def test_tables_that_were_never_written_are_empty(spark, tmp_path):
     assert stored.read("scores").count() == 1
 
 
-def test_convergence_over_triggers(spark, tmp_path):
-    rounds = [0.5, 0.5, 0.5, 0.9]
-    for i, score in enumerate(rounds):
-        spark.createDataFrame([("s", i + 1, score)], "session_id string, round int, weighted_score double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("session_id string, round int, weighted_score double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    got = jobs.append_all(jobs.stream_convergence(stream, Convergence()), "convergence").collect()
-    assert [(r.session_id, r.stop_round, r.reason) for r in got] == [("s", 3, "stagnation")]
-
-
 def test_a_failing_call_fails_no_other_row(spark):
     df = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, None)], "id int, prompt string")
     got = {r.id: (r.reply, r.error) for r in inference.call_model(df, F.col("prompt"), inference.EchoBackend(fail_on="bad")).collect()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
-from quillspark.operators import graph
+from quillspark.operators import graph, inventory
 from quillspark.operators.iterations import Convergence, stop_round
 
 
@@ -102,3 +102,34 @@ def test_impact_of_a_long_chain(spark):
 def test_roles(spark):
     df = spark.createDataFrame([("human",), ("AI",), ("function",), ("system",), (None,)], "r string")
     assert [r[0] for r in df.select(X.role(F.col("r"))).collect()] == ["user", "assistant", "tool", "system", None]
+
+
+def _smallest(sites, scopes):
+    out = {}
+    for file, site, line in sites:
+        around = [(b - a, -a, q) for f, q, a, b in scopes if f is not None and f == file and line is not None and a <= line <= b]
+        out[file, site, line] = min(around)[2] if around else None
+    return out
+
+
+def _nested(rng, file, a, b, depth, out):
+    while a <= b and rng.random() < 0.9:
+        to = rng.randint(a, b)
+        out.append((file, f"q{rng.randrange(1000)}", a, to))
+        if depth and a < to:
+            _nested(rng, file, a + 1, to - rng.randrange(2), depth - 1, out)
+        a = to + rng.randint(1, 3)
+
+
+def test_scopes_around_sites(spark):
+    rng = random.Random(4)
+    scopes = []
+    for k in range(6):
+        _nested(rng, f"f{k}", 1, 60, 5, scopes)
+    scopes += [("f1", "again", 3, 9), ("f1", "same", 3, 9), ("f0", "whole", 0, 70), ("f0", "whole", 0, 70), ("g", "x", 1, 5), ("g", "y", 5, 9), ("g", "z", 7, 8), ("f2", "none", 9, 2), (None, "n", 1, 9)]
+    sites = [(f"f{rng.randrange(7)}", k, rng.randrange(70)) for k in range(200)] + [("g", k, k) for k in range(12)] + [("g", 1, 1), (None, 1, 2), ("f0", 5, None)]
+    df = inventory.enclosing_scope(spark.createDataFrame(sites, "file string, site int, line int"), spark.createDataFrame(scopes, "file string, qual string, line_start int, line_end int"))
+    got = df.collect()
+    want = _smallest(sites, scopes)
+    assert {(r.file, r.site, r.line): r.scope for r in got} == want and len(got) == len(want)
+    assert spark.createDataFrame([], "file string, site int, line int").transform(lambda e: inventory.enclosing_scope(e, e.select("file", F.col("site").alias("qual"), F.col("line").alias("line_start"), F.col("line").alias("line_end")))).count() == 0
