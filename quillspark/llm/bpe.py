@@ -51,8 +51,8 @@ with recursive r(w, p, t, n, m, last) as (
      select w, p::int, moved.t::int, moved.n::int, case when new_pair then merges.m else moved.m end, made is null
      from moved left join merges on k = case when new_pair then moved.t::bigint * {BASE} + moved.n end)
 )
-select w, string_agg(d, ',') as ids, string_agg(h, '') as decoded
-from (select w, d, h from r join tokens using (t) where last order by w, p) group by w order by w
+select w, string_agg(d, ',' order by p) as ids, string_agg(h, '' order by p) as decoded
+from r join tokens using (t) where last group by w order by w
 """
 
 
@@ -173,8 +173,9 @@ class Contractor:
         at = 0
         for end, total in _chunks([n * n // 2 for n, _, _ in rest], QUERY_ROWS):
             for (_, _, word), (ids, raw) in zip(rest[at:end], self.contract([raw for _, raw, _ in rest[at:end]])):
-                # Should the engine not aggregate in the order of its input, decoding would not give the word back.
-                self.ids[word], self.raw[word] = (ids, raw) if raw == word.encode() else self.contract_long(word.encode())
+                if raw != word.encode():
+                    raise RuntimeError(f"{ids} does not decode to {word!r}")
+                self.ids[word], self.raw[word] = ids, raw
             at = end
         self.bytes += sum(ENTRY_BYTES + 4 * len(w) for w in fresh)
         self.used.update(dict.fromkeys(wanted, self.turn))

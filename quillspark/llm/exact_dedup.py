@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillspark.storage import files_for, materialise
+from quillspark.storage import files_for, materialise, matching, move, remove, shared_root
 
 
 def text_digest(text: Column) -> Column:
@@ -26,19 +26,32 @@ class DigestIndex:
     its digest in the delivery; a digest that an earlier delivery brought keeps that earlier row.
     Each delivery adds a file a bucket; :meth:`compact` makes one of them again.
 
+    The index lies in a folder of its own below ``folder``, by default the shared one of ``spark.checkpoint.dir``,
+    and the folder's name tells its buckets. Each session names it a table in its own catalog again, so an index
+    outlives the session, and needs no catalog that outlives it.
+
     Nulls: a null text equals the empty text; a null id sorts below all others. Repeated rows (same
     id and text) count separately in ``group_size``. An empty delivery changes nothing. Other columns,
     whatever their names, are ignored.
     """
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        self.spark = spark
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, folder: str | None = None):
+        self.spark, self.folder = spark, (folder or shared_root(spark)).rstrip("/")
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        if spark.catalog.tableExists(self.name):
-            self.buckets = int(self._described("Num Buckets"))
-        else:
-            self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-            self._write(spark.createDataFrame([], "digest string, keep_id long, group_size long"), self.name)
+        found = matching(spark, f"{self.folder}/{self.name}.buckets-*")
+        # Left by a compaction that ended between its last two steps.
+        for path in [] if found else matching(spark, f"{self.folder}/{self.name}.compacted-*/_SUCCESS"):
+            at = path.rsplit("/", 1)[0]
+            found = [at.replace(".compacted-", ".buckets-")]
+            move(spark, at, found[0])
+        self.buckets = int(found[0].rsplit("-", 1)[1]) if found else buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.path = f"{self.folder}/{self.name}.buckets-{self.buckets}"
+        self._name(self.name, self.path)
+
+    def _name(self, name: str, path: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        columns = "digest string, keep_id long, group_size long"
+        self.spark.sql(f"create table {name} ({columns}) using parquet clustered by (digest) sorted by (digest) into {self.buckets} buckets location '{path}'")
 
     def _write(self, df: DataFrame, name: str) -> None:
         # One task per bucket, so each write adds one file a bucket.
@@ -86,17 +99,20 @@ class DigestIndex:
 
     def compact(self) -> None:
         """Rewrite the table with one sorted file a bucket, as after a single delivery."""
-        other = f"{self.name}_compacted"
+        other, path = f"{self.name}_compacted", self.path.replace(".buckets-", ".compacted-")
+        remove(self.spark, path)
+        self._name(other, path)
         # Its plain files: as a table, Spark leaves out the shuffle below for buckets that it then does not read by.
-        self._write(self.spark.read.schema(self.entries().schema).parquet(self._described("Location")), other)
+        self._write(self.spark.read.schema(self.entries().schema).parquet(self.path), other)
+        self.spark.sql(f"drop table {other}")
         self.drop()
-        self.spark.sql(f"alter table {other} rename to {self.name}")
+        move(self.spark, path, self.path)
+        self._name(self.name, self.path)
 
     def drop(self) -> None:
+        """Delete the index, files and all."""
         self.spark.sql(f"drop table if exists {self.name}")
-
-    def _described(self, what: str) -> str:
-        return self.spark.sql(f"describe table extended {self.name}").where(F.col("col_name") == what).first()["data_type"]
+        remove(self.spark, self.path)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

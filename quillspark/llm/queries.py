@@ -52,7 +52,9 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = exact_dedup.DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
+    index = exact_dedup.DigestIndex(spark)
+    out = index.add(_table(spark, sf_dir, "documents"))
+    index.drop()
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 

@@ -22,8 +22,8 @@ RADIUS = 4
 SHARD = 100_000
 #: Shards with more rows are dealt out as pairs of chunks of this size.
 CHUNK = 150_000
-#: Fingerprints that the tree's radii are fitted on; the tree routes every fingerprint.
-FIT_SAMPLE = 8_192
+#: Fingerprints that the tree's radii are fitted on, for each shard and at least; the tree routes every fingerprint.
+FIT_SHARD, FIT_SAMPLE = 16, 8_192
 QUARTERS = 4
 #: Near copies by the words they share: shingles of five words, and the least Jaccard similarity.
 WORDS = 5
@@ -196,10 +196,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
     """
     spark = fps.sparkSession
     n = fps.count()
-    depth = int(np.clip(np.ceil(np.log2(max(2, n) / shard)), 0, 12))
-    share = min(1.0, 1.5 * FIT_SAMPLE / max(1, n))
-    # The fit's sample is bounded by FIT_SAMPLE; the least hashes are taken.
-    pick = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("fp"), "fp").limit(FIT_SAMPLE)
+    # A quarter has 2**16 values, so a tree of that depth can set each of them apart.
+    depth = int(np.clip(np.ceil(np.log2(max(2, n) / shard)), 0, 16))
+    fit = max(FIT_SAMPLE, FIT_SHARD << depth)
+    share = min(1.0, 1.5 * fit / max(1, n))
+    # The fit's sample is bounded: at most 2**20 fingerprints. The least hashes are taken.
+    pick = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.xxhash64("fp"), "fp").limit(fit)
     sample = np.array([r["fp"] for r in pick.collect()], dtype=np.int64)
     rng = np.random.default_rng(7)
     trees = [build_tree(q, depth, rng, []) for q in quarters(sample)] if n else [0] * QUARTERS
@@ -214,10 +216,9 @@ def near_links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD, chunk:
                         [pa.array(np.full(len(rows), q * 100_000 + leaf), pa.int32()), pa.array(values[rows], pa.int64()), pa.array(home)], names=["shard", "fp", "home"]
                     )
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard int, fp long, home boolean")
-    # One count for each shard: at most 4 * 2**12 of them.
-    sizes = {r["shard"]: r["count"] for r in dealt.groupBy("shard").count().collect()}
-    parts = {s: -(-c // chunk) for s, c in sizes.items() if c > chunk}
+    dealt = materialise(fps.select("fp").mapInArrow(deal, "shard int, fp long, home boolean"), "dealt", QUARTERS * n)
+    # Large shards only, of at most 4 * 2**16.
+    parts = {r["shard"]: -(-r["count"] // chunk) for r in dealt.groupBy("shard").count().where(F.col("count") > chunk).collect()}
     cuts = F.lit(1)
     if parts:
         cuts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in parts.items() for x in kv]), F.col("shard")), F.lit(1))

@@ -335,7 +335,6 @@ def repeated_spans(docs: DataFrame, max_group: int = MAX_GROUP) -> DataFrame:
     some = materialise(anchors.join(repeated, "kmer", "left_semi").select("kmer", "ctx", "ctx2", shape.alias("shape"), "doc_id", "pos"), "anchors")
     key = ["kmer", "ctx", "ctx2", "shape"]
     classes = materialise(some.groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n")), "classes")
-    many = materialise(classes.where("n > 1").select(*key, "first"), "firsts")
     span_a, span_b = F.col("pos") - F.shiftright("shape", 8), F.col("pos") - F.col("shape").bitwiseAND(255)
     many = classes.where("n > 1").select(*key, "first")
     members = (

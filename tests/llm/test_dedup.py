@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +17,7 @@ import xxhash
 from quillspark.llm import exact_dedup, line_dedup, sentence_dedup, simhash, suffix_dedup
 from quillspark.operators.graph import components
 
+REPO = str(Path(__file__).resolve().parents[2])
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, size long, fp long"
 
 
@@ -64,6 +69,39 @@ def test_exact_index_persists(spark):
     assert again.buckets == 3
 
 
+DELIVER = """
+import sys
+from pyspark.sql import SparkSession
+from quillspark.llm.exact_dedup import DigestIndex
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
+index = DigestIndex(spark, "of_sessions", 3, sys.argv[1])
+rows = spark.createDataFrame([(int(k), t) for k, t in (x.split("=") for x in sys.argv[3:])], "doc_id long, text string")
+print(index.buckets, sorted((r.doc_id, r.keep_id, r.kept) for r in index.add(rows).collect()), index.entries().count())
+"""
+
+
+def test_exact_index_outlives_its_session(spark, tmp_path):
+    """Two processes with one index: neither shares a catalog or a warehouse with the other, or with this one."""
+
+    def deliver(number, *rows):
+        cmd = [sys.executable, "-c", DELIVER, f"file://{tmp_path}/indexes", f"{tmp_path}/warehouse-{number}", *rows]
+        return subprocess.run(cmd, capture_output=True, text=True, check=True, timeout=300, cwd=REPO, env=os.environ | {"PYTHONPATH": REPO}).stdout.strip()
+
+    assert deliver(1, "1=a", "2=b", "3=b") == "3 [(1, 1, True), (2, 3, False), (3, 3, True)] 2"
+    assert deliver(2, "4=a", "5=c") == "3 [(4, 1, False), (5, 5, True)] 3"
+    index = exact_dedup.DigestIndex(spark, "of_sessions", folder=f"file://{tmp_path}/indexes")
+    index.compact()
+    plan = index.split(spark.createDataFrame([("x", 1, 1)], "digest string, keep_id long, group_size long"))[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and index.entries().count() == 3
+    # A compaction that was cut off before its last step is taken up again.
+    index.spark.sql("drop table of_sessions")
+    os.rename(f"{tmp_path}/indexes/of_sessions.buckets-3", f"{tmp_path}/indexes/of_sessions.compacted-3")
+    again = exact_dedup.DigestIndex(spark, "of_sessions", folder=f"file://{tmp_path}/indexes")
+    assert {r.keep_id for r in again.entries().collect()} == {1, 3, 5}
+    again.drop()
+    assert not any((tmp_path / "indexes").iterdir())
+
+
 def test_exact_index_is_not_shuffled(spark):
     """A delivery meets the index by its buckets: only the delivery is dealt out, and the result does not read the index."""
     index = exact_dedup.DigestIndex(spark, "by_buckets", 3)
