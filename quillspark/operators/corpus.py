@@ -341,8 +341,13 @@ DETECTORS = (variable_edges, function_edges, pipe_edges, engine_edges, method_ch
 
 
 def corpus_edges(facts: Facts, sites: DataFrame) -> DataFrame:
-    """All detectors' edges, the surest of each pair and kind."""
-    return dedupe_edges(I.all_edges(*[d(facts, sites).select(*EDGE) for d in DETECTORS]))
+    """All detectors' edges, the surest of each pair and kind.
+
+    Detectors of edges within a file get the sites of files that have two at least.
+    """
+    busy = sites.groupBy("file").agg(F.count("*").alias("_n")).where("_n > 1").select("file")
+    within = sites.join(busy, "file", "left_semi")
+    return dedupe_edges(I.all_edges(*[d(facts, sites if d is cross_file_edges else within).select(*EDGE) for d in DETECTORS]))
 
 
 def warnings(facts: Facts) -> DataFrame:

@@ -83,6 +83,22 @@ register(
     f"""with pb as ({price_book_sql()}) select o.*, o.input_tokens * pb.usd_in / 1000.0::double + o.output_tokens * pb.usd_out / 1000.0::double as cost_usd, pb.usd_in is not null as priced
        from fx_outputs o left join pb on pb.provider = o.provider and pb.model = o.model""",
 )(lambda fx: scores.price_usage(fx.outputs, price_book(fx.spark)))
+register(
+    "s9_prices_of_runs",
+    f"""with pb as ({price_book_sql()}) select pb.provider, pb.model, usd_in, usd_out, count(o.run_id) as outputs from pb left join fx_outputs o on o.provider = pb.provider and o.model = pb.model group by all""",
+)(
+    lambda fx: price_book(fx.spark)
+    .join(fx.outputs.groupBy("provider", "model").agg(F.count("run_id").alias("_n")), ["provider", "model"], "left")
+    .select("provider", "model", "usd_in", "usd_out", F.coalesce("_n", F.lit(0)).alias("outputs"))
+)
+register(
+    "x16_roles",
+    """select event_id as id, case event_type when 'signup' then 'user' when 'purchase' then 'assistant' when 'error' then 'tool' when 'view' then 'system' else 'click' end as role from events""",
+)(
+    lambda fx: fx.events.select(
+        F.col("event_id").alias("id"), X.role(F.expr("case event_type when 'signup' then 'Human' when 'purchase' then 'ai' when 'error' then 'function' when 'view' then 'SYSTEM' else event_type end")).alias("role")
+    )
+)
 register(
     "j8_price_mismatch",
     f"""with pb as ({price_book_sql()}), u as (select distinct provider, model from fx_outputs)
@@ -193,8 +209,8 @@ register(
 register(
     "w12_allocate_versions",
     """select f.prompt_id, f.id, cast(coalesce(h.v, 0) + row_number() over (partition by f.prompt_id order by f.id) as bigint) as version
-       from (select id, run_id as prompt_id from fx_feedback where rating = 1) f left join (select prompt_id, max(version) as v from fx_prompt_versions group by 1) h on h.prompt_id = f.prompt_id""",
-)(lambda fx: versions.allocate_versions(fx.feedback.where("rating = 1").select("id", F.col("run_id").alias("prompt_id")), fx.prompt_versions, "id"))
+       from (select id, run_id as prompt_id from fx_feedback) f left join (select prompt_id, max(version) as v from fx_prompt_versions group by 1) h on h.prompt_id = f.prompt_id""",
+)(lambda fx: versions.allocate_versions(fx.feedback.select("id", F.col("run_id").alias("prompt_id")), fx.prompt_versions, "id"))
 register("w14_file_anchor", "select file, arg_min(id, (line, id)) as anchor from fx_prompts group by 1")(lambda fx: select.file_anchor(fx.prompts))
 register("l1_newest_runs", "select * from fx_runs order by started_at desc, run_id desc limit 200")(lambda fx: select.newest_runs(fx.runs, 5000))
 register("l2_session_rounds", "select id, session_id, round from fx_iterations where session_id = (select min(session_id) from fx_iterations)")(
@@ -321,8 +337,8 @@ register(
     "v2_record_versions",
     """select f.prompt_id, f.id, n as version, case when n > 1 then n - 1 end as parent_version, 'human' as created_by from (
          select f.id, f.prompt_id, cast(coalesce(h.v, 0) + row_number() over (partition by f.prompt_id order by f.id) as bigint) as n
-         from (select id, run_id as prompt_id from fx_feedback where rating = -1) f left join (select prompt_id, max(version) as v from fx_prompt_versions group by 1) h on h.prompt_id = f.prompt_id) f""",
-)(lambda fx: versions.record_versions(fx.feedback.where("rating = -1").select("id", F.col("run_id").alias("prompt_id")), fx.prompt_versions, "id"))
+         from (select id, run_id as prompt_id from fx_feedback) f left join (select prompt_id, max(version) as v from fx_prompt_versions group by 1) h on h.prompt_id = f.prompt_id) f""",
+)(lambda fx: versions.record_versions(fx.feedback.select("id", F.col("run_id").alias("prompt_id")), fx.prompt_versions, "id"))
 register(
     "v3_rollback",
     """select r.id as prompt_id, case when t.template is not null then h.v + 1 end as version, case when t.template is not null then 2::bigint end as parent_version, t.template,

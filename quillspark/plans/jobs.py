@@ -49,6 +49,21 @@ register("s3_read_cases", "select cast(id as varchar) as id, cast(project as var
 )
 
 
+def _appended_cases(fx):
+    """Three deliveries that overlap, the later ones with copies inside; ``notes`` tells which one a stored case is from."""
+    path = new_path(fx.spark, "appended")
+    case = lambda rows, n: rows.select(
+        F.col("id").cast("string").alias("id"), F.lit("s").alias("prompt_site_id"), F.create_map(F.lit("q"), "name").alias("inputs"),
+        F.lit(None).cast("string").alias("expected"), F.array(F.lit("t")).alias("tags"), F.lit("seed").alias("source"), F.lit(str(n)).alias("notes"),
+    )
+    for n, rows in enumerate((fx.prompts.where("id % 3 = 1"), fx.prompts.where("id % 3 > 0"), fx.prompts), 1):
+        tables.append_cases(case(rows.unionByName(rows), n), path, tables.read_cases(fx.spark, path))
+    return tables.read_cases(fx.spark, path).select("id", F.col("inputs")["q"].alias("q"), "notes")
+
+
+register("s4_append_cases", "select cast(id as varchar) as id, name as q, case id % 3 when 1 then '1' when 2 then '2' else '3' end as notes from fx_prompts")(_appended_cases)
+
+
 def _snapshots(fx):
     path = new_path(fx.spark, "scans")
     for scan in ("1", "2"):
@@ -232,21 +247,28 @@ register(
         _LastObject(),
     )
 )
-_LINE = "with recursive p(pipeline_id, node, case_index, text) as (select id % 97, id, 0, 'echo: start ' || name from fx_prompts where id % 4 = 0 union all select p.pipeline_id, p.node + 1, p.case_index, 'echo: next ' || p.text from p where p.node % 4 < 2)"
+
+
+def _piped(fx):
+    """Every prompt as the first of three nodes of a pipeline of its own."""
+    return fx.prompts.select((F.col("id") * 4).alias("id"), "name")
+
+
+_LINE = "with recursive p(pipeline_id, node, case_index, text) as (select id, id, 0, 'echo: start ' || name from (select id * 4 as id, name from fx_prompts) f union all select p.pipeline_id, p.node + 1, p.case_index, 'echo: next ' || p.text from p where p.node % 4 < 2)"
 register("u2_run_pipelines", f"{_LINE} select node, case_index, text, null::varchar as error from p")(
     lambda fx: (
         lambda ids: inference.run_pipelines(
             ids.selectExpr("pipe as pipeline_id", "node", "case when node % 4 = 0 then 'start {name}' else 'next {before}' end as template"),
             ids.where("node % 4 > 0").selectExpr("node - 1 as src", "node as dst", "'before' as via", "0 as pos"),
-            fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipeline_id"), F.lit(0).alias("case_index"), F.create_map(F.lit("name"), "name").alias("inputs")),
+            _piped(fx).select(F.col("id").alias("pipeline_id"), F.lit(0).alias("case_index"), F.create_map(F.lit("name"), "name").alias("inputs")),
             inference.EchoBackend(),
         ).select("node", "case_index", "text", "error")
-    )(fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
+    )(_piped(fx).select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
 )
 _MODES = "case id % 12 when 0 then 'node' when 4 then 'segment' else 'end_to_end' end"
 register(
     "u2_run_modes",
-    f"""with recursive q as (select id, name, {_MODES} as mode from fx_prompts where id % 4 = 0),
+    f"""with recursive q as (select id, name, {_MODES} as mode from (select id * 4 as id, name from fx_prompts) f),
          n as (select q.*, id + k as node, k from q cross join (values (0), (1), (2)) v(k) where mode = 'end_to_end' or (mode = 'node' and k = 1) or (mode = 'segment' and k > 0)),
          p(id, node, k, text) as (select id, node, k, case when k = 0 then 'echo: start ' || name else 'echo: next {{before}}' end from n where k = 0 or (mode <> 'end_to_end' and k = 1)
            union all select p.id, n.node, n.k, 'echo: next ' || p.text from p join n on n.id = p.id and n.k = p.k + 1)
@@ -256,13 +278,13 @@ register(
         lambda ids: inference.run_pipelines(
             ids.selectExpr("pipe as pipeline_id", "node", "case when node % 4 = 0 then 'start {name}' else 'next {before}' end as template"),
             ids.where("node % 4 > 0").selectExpr("node - 1 as src", "node as dst", "'before' as via", "0 as pos"),
-            fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipeline_id"), F.lit(0).alias("case_index"), F.create_map(F.lit("name"), "name").alias("inputs")),
+            _piped(fx).select(F.col("id").alias("pipeline_id"), F.lit(0).alias("case_index"), F.create_map(F.lit("name"), "name").alias("inputs")),
             inference.EchoBackend(),
-            fx.prompts.where("id % 4 = 0").selectExpr(
+            _piped(fx).selectExpr(
                 "id as pipeline_id", f"{_MODES} as mode", "case when id % 12 = 0 then id + 1 end as node", "case when id % 12 = 4 then array(id + 1, id + 2) end as segment"
             ),
         ).select("pipeline_id", "node", "text")
-    )(fx.prompts.where("id % 4 = 0").select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
+    )(_piped(fx).select(F.col("id").alias("pipe"), F.explode(F.sequence("id", F.col("id") + 2)).alias("node")))
 )
 register(
     "u8_iterate_sessions",

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+#: Paths that an application was given, in their order.
+_MADE: dict[str, list[str]] = {}
 #: Rows of small columns that are worth a file, and so a task, of their own.
 ROWS_A_FILE = 50_000
 
@@ -35,7 +39,25 @@ def shared_root(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path below :func:`shared_root` that no other call gets."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Delete the intermediate tables that operators write inside, once their results have been used.
+
+    Results are lazy and read these tables, so write or collect them before the end. Nested uses each clear their own.
+    """
+    made = _MADE.setdefault(spark.sparkContext.applicationId, [])
+    kept = len(made)
+    try:
+        yield
+    finally:
+        for path in made[kept:]:
+            remove(spark, path)
+        del made[kept:]
 
 
 def files_for(rows: int) -> int:

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
 from quillspark.operators import graph, inventory
@@ -133,3 +134,15 @@ def test_scopes_around_sites(spark):
     want = _smallest(sites, scopes)
     assert {(r.file, r.site, r.line): r.scope for r in got} == want and len(got) == len(want)
     assert spark.createDataFrame([], "file string, site int, line int").transform(lambda e: inventory.enclosing_scope(e, e.select("file", F.col("site").alias("qual"), F.col("line").alias("line_start"), F.col("line").alias("line_end")))).count() == 0
+
+
+def test_intermediate_tables_are_cleared(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")
+    before = set(storage.matching(spark, f"{storage.shared_root(spark)}/*"))
+    with storage.cleared(spark):
+        kept = storage.new_path(spark, "outer")
+        edges.write.parquet(kept)
+        with storage.cleared(spark):
+            assert graph.components(edges).count() == 3 and graph.topo_levels(edges).count() == 3
+        assert set(storage.matching(spark, f"{storage.shared_root(spark)}/*")) - before == set(storage.matching(spark, kept))
+    assert set(storage.matching(spark, f"{storage.shared_root(spark)}/*")) == before

@@ -121,3 +121,26 @@ def test_snapshots_over_triggers_and_restarts(spark, tmp_path):
     snapshot.drop_old()
     assert {r.id: (r.name, r.first_seen_at, r.last_seen_at) for r in snapshot.read().collect()} == rows
     assert len(snapshot.read().inputFiles()) <= 8
+
+
+SCORES = "at timestamp, score double"
+
+
+def test_windows_over_triggers(spark, tmp_path):
+    """A window is told once, when the watermark has passed it; what comes later for it is dropped."""
+    minutes = lambda k: DAY + timedelta(minutes=k)
+    for rows in ([(minutes(5), 1.0), (minutes(70), 4.0)], [(minutes(10), 3.0), (minutes(200), 8.0)], [(minutes(201), 2.0)], [(minutes(20), 100.0), (minutes(75), None)], [(minutes(900), 1.0)]):
+        deliver(spark, f"{tmp_path}/in", rows, SCORES)
+    got = jobs.append_all(jobs.stream_score_windows(followed(spark, f"{tmp_path}/in", SCORES), "1 hour", "1 hour"), "windows").collect()
+    assert sorted((r.window_start, r.avg_score, r.n) for r in got) == [(minutes(0), 2.0, 2), (minutes(60), 4.0, 1), (minutes(180), 5.0, 2)]
+
+
+KEYED = "at timestamp, run_id long, judge string"
+
+
+def test_duplicates_over_triggers(spark, tmp_path):
+    """A key is told once as long as it is remembered."""
+    for rows in ([(hours(0), 1, "a"), (hours(0), 1, "a"), (hours(0), 2, "a")], [(hours(1), 1, "a"), (hours(1), 1, "b")], [(hours(50), 9, "z")], [(hours(50), 9, "z")], [(hours(51), 1, "a")]):
+        deliver(spark, f"{tmp_path}/in", rows, KEYED)
+    got = jobs.append_all(jobs.stream_dedupe_scores(followed(spark, f"{tmp_path}/in", KEYED), ["run_id", "judge"], "2 hours"), "scores").collect()
+    assert sorted((r.run_id, r.judge, r["at"]) for r in got) == [(1, "a", hours(0)), (1, "a", hours(51)), (1, "b", hours(1)), (2, "a", hours(0)), (9, "z", hours(50))]
