@@ -198,6 +198,7 @@ def test_sentence_runs(spark):
         want[i] = (len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone))
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.kept_text) for r in sentence_dedup.dedup_runs(table(spark, rows)).collect()}
     assert got == want
+    assert sentence_dedup.dedup_runs(table(spark, [])).count() == 0
     assert [got[i][2] for i in (11, 12, 901, 903, 905, 906, 908, 909)] == ["", "", "Else. ", "Or so. ", "", "A. one sentence", "\n\n" + long + " Other.", ""]
 
 

@@ -218,3 +218,21 @@ def test_models_with_repeated_ids_and_ties(spark):
         once, twice = ({(r.doc_id, *[str(x) for x in r][2:]) for r in make(d).collect() if r.doc_id is not None} for d in (plain, again))
         assert once == twice and len(once) == len(rows)
         assert make(again).count() == len(more)
+
+
+def test_water_filling_of_several_rounds(spark):
+    """Caps that are reached one after another, as others leave more to deal."""
+    sizes = [int(100 * 1.05**k) + 1 for k in range(30)]
+    weights = [(3, 1, 2)[k % 3] for k in range(30)]
+    total, clamped, rounds = 1.99 * sum(sizes), set(), 0
+    while True:
+        rest = total - sum(2.0 * sizes[k] for k in clamped)
+        level = rest / sum(w for k, w in enumerate(weights) if k not in clamped)
+        more = {k for k in range(30) if k not in clamped and level * weights[k] > 2 * sizes[k]}
+        if not more:
+            break
+        clamped, rounds = clamped | more, rounds + 1
+    assert rounds == 5
+    df = spark.createDataFrame([(f"s{k}", s, w) for k, (s, w) in enumerate(zip(sizes, weights))], "source string, source_size long, weight long")
+    got = {r.source: r.target for r in mixing.water_fill(df, 1.99, 2.0).collect()}
+    assert got == pytest.approx({f"s{k}": 2.0 * sizes[k] if k in clamped else level * weights[k] for k in range(30)})
