@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Texts are encoded in slices of about so many characters, so a worker's memory does not follow its partition.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 #: A longer text is encoded by so many words at a time.
 SECTION_WORDS = 250_000
 #: Rows that the recursion of one query may make: a word of n bytes makes at most n * n / 2 of them.
-QUERY_ROWS = 2_000_000
+QUERY_ROWS = 1_000_000
 #: Bytes of words that a worker remembers, and what each costs besides its characters. The half used last stays.
-REMEMBERED_BYTES = 64 << 20
+REMEMBERED_BYTES = 48 << 20
 ENTRY_BYTES = 480
 #: A word takes as many steps as it has merges; beyond this many bytes a heap contracts it instead.
 LONG_WORD = 400
@@ -34,7 +34,8 @@ BASE = 1 << 16
 #: of the last step make the next one: each word's pair of least rank, the leftmost of equal ones,
 #: becomes one token, at its second row, which knows what follows. Only the two rows with a new pair
 #: look it up among the merges. The rows of a word without pairs come once more as its last; these
-#: are aggregated in the order of their places.
+#: are sorted by their places and aggregated in that order, by one thread. An ORDER BY in the aggregates
+#: themselves costs half as much again; instead each word's bytes are held against the word itself.
 ENCODE = f"""
 with recursive r(w, p, t, n, m, last) as (
     select w, p, t, n, merges.m, false from start_rows left join merges on k = t::bigint * {BASE} + n
@@ -51,8 +52,8 @@ with recursive r(w, p, t, n, m, last) as (
      select w, p::int, moved.t::int, moved.n::int, case when new_pair then merges.m else moved.m end, made is null
      from moved left join merges on k = case when new_pair then moved.t::bigint * {BASE} + moved.n end)
 )
-select w, string_agg(d, ',' order by p) as ids, string_agg(h, '' order by p) as decoded
-from r join tokens using (t) where last group by w order by w
+select w, string_agg(d, ',') as ids, string_agg(h, '') as decoded
+from (select w, d, h from r join tokens using (t) where last order by w, p) group by w order by w
 """
 
 
@@ -93,7 +94,7 @@ class Contractor:
 
     def __enter__(self) -> "Contractor":
         """Start the engine: one thread, as Spark has a worker for each core; it never writes to a folder of its own."""
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
         for name, columns in self.tables.items():
             self._table(name, **columns)
         return self
