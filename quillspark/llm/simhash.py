@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.graph import components
@@ -31,8 +32,15 @@ SIMILARITY = 0.8
 #: MinHash: a pair at the least similarity agrees in a band of six with 0.26, so in none of 32 with 6e-5; a pair
 #: that shares a third of its words agrees in any of them with 0.04.
 BANDS, BAND = 32, 6
-#: Leaders of a bucket in a round, times those of the round before.
-MORE_LEADERS = 4
+#: Leaders of a bucket in a round, times those of the round before, and at most.
+MORE_LEADERS, MOST_LEADERS = 4, 256
+#: Of each bin's least hash two bits are kept beside the bands; a pair is compared by its shingles if at most so many of the
+#: 192 bins differ in them. At the least similarity 29 do (with a deviation of 5), so more do with 6e-5; of a pair with a
+#: similarity of a half, 72 do (with 7).
+DIFFER = 48
+#: Orders that leaders are chosen by: band k goes by order k % ORDERS. One order makes the same documents lead most
+#: buckets, so a document meets few of them; each more order sees pairs from another side.
+ORDERS = 2
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -322,8 +330,8 @@ class MinHashes:
         self.other = rng.integers(0, bins, (bins, self.TRIES))
         self.odd = rng.integers(0, 1 << 63, (BANDS, BAND), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def bands(self, h: np.ndarray) -> np.ndarray:
-        """Keys (signed) of the bands of sorted distinct hashes, of which there is at least one."""
+    def bins(self, h: np.ndarray) -> np.ndarray:
+        """What each bin holds of sorted distinct hashes, of which there is at least one."""
         first = np.concatenate([[0], np.searchsorted(h, self.edges)])
         filled = first < np.append(first[1:], len(h))
         if not filled.all():
@@ -332,33 +340,51 @@ class MinHashes:
             at = np.flatnonzero(filled)
             after = at[np.searchsorted(at, np.arange(len(first))) % len(at)]
             first = np.where(filled, first, first[np.where(tried.any(axis=1), found, after)])
-        mixed = (h[first].reshape(BANDS, BAND) ^ (h[first].reshape(BANDS, BAND) >> np.uint64(29))) * self.odd
+        return h[first]
+
+    def sketch(self, bins: np.ndarray) -> list[int]:
+        """The two lowest bits of each bin: all low ones packed in signed numbers, then all high ones."""
+        return np.packbits(np.stack([bins & np.uint64(1), bins >> np.uint64(1) & np.uint64(1)]).astype(np.uint8)).view(np.int64).tolist()
+
+    def bands(self, bins: np.ndarray) -> np.ndarray:
+        """Keys (signed) of the bands."""
+        mixed = (bins.reshape(BANDS, BAND) ^ (bins.reshape(BANDS, BAND) >> np.uint64(29))) * self.odd
         keys = (mixed ^ (mixed >> np.uint64(32))).sum(axis=1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (keys ^ (keys >> np.uint64(31)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, whose shingles a worker holds at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _marks(shingle: int, words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, none = MinHashes(), np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column(1).to_pylist()
             sets = [grams(t, words) for t in texts]
             fps = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-            cols = [pa.array(fps, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array([hashes.bands(h) if len(h) else none for h in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "n", "bands"])
+            held = [hashes.bins(h) if len(h) else none for h in sets]
+            lists = [[hashes.bands(x) if len(x) else none for x in held], [hashes.sketch(x) if len(x) else [] for x in held]]
+            cols = [pa.array(fps, pa.int64()), pa.array([len(h) for h in sets], pa.int32()), *(pa.array(x, pa.list_(pa.int64())) for x in lists)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["doc_id", "fp", "n", "bands", "sketch"])
 
     return rows
 
 
 def marks(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS) -> DataFrame:
-    """``(doc_id, fp, n, bands)`` of the rows with an id: fingerprint, number of distinct ``words``-word shingles, MinHash bands."""
+    """``(doc_id, fp, n, bands, sketch)`` of the rows with an id: fingerprint, number of distinct ``words``-word shingles, MinHash
+    bands, and two bits of each MinHash."""
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    return base.mapInArrow(_marks(shingle, words), "doc_id long, fp long, n int, bands array<long>")
+    return base.mapInArrow(_marks(shingle, words), "doc_id long, fp long, n int, bands array<long>, sketch array<long>")
 
 
 def _sets(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             sets = [grams(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
@@ -368,47 +394,56 @@ def _sets(shingle: int):
 def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` of documents whose word shingles have a Jaccard similarity of ``similarity`` at least.
 
-    ``banded`` is the written table ``(doc_id, n, bands)`` of :func:`marks`. Documents that share a band of
+    ``banded`` is the written table ``(doc_id, n, bands, sketch)`` of :func:`marks`. Documents that share a band of
     MinHashes form a bucket. A round holds every bucket's documents against its leaders, by their shingles;
-    leaders and what is linked to one leave, and the rest go on with four times as many leaders, until no
-    bucket has two documents. So a document of a group of near copies meets at most a leader a band, however
-    large the group, no bucket is collected, and the rounds grow with the logarithm of the largest bucket of
-    unlike documents. Leaders are those of least seeded hash, in another order in each bucket, so a pair is seen
-    from many sides. Links are always true; one is missed if the pair shares no bucket, or if in each that it
-    shares both are linked to different leaders.
+    leaders and what is linked to one leave the bucket, and the rest go on with four times as many leaders, until no
+    bucket has two documents. A document keeps a row, with a seat for each bucket that it is in; seats meet their
+    buckets' leaders in one join, and leaders that lead several of a document's buckets are compared with it once. So
+    a document of a group of near copies is compared with a few leaders, however large the group, no bucket is
+    collected, and the rounds grow with the logarithm of the largest bucket of unlike documents, up to
+    ``MOST_LEADERS``, then with its size. Links are always true; one is missed if the pair shares no bucket, if its
+    sketches differ in more than ``DIFFER`` bins, or if in each bucket that it shares both are linked to different leaders.
 
     Rows of null ids and texts without words have no links; rows that share an id count as one document.
     """
     spark = docs.sparkSession
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
-    rows, size = banded.select("doc_id", "n", F.explode("bands").alias("band")), BANDS * banded.count()
-
-    def several(df: DataFrame, size: int) -> DataFrame:
-        # Written, so that the semi-join's stage holds no grouping and a frequent band's rows can be split.
-        bands = df.groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("band")
-        return materialise(df.join(materialise(bands, "several", size), "band", "left_semi"), "buckets", size)
-
-    left = several(rows, size)
-    of_left = lambda df: df.join(left.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = materialise(of_left(base).mapInArrow(_sets(shingle), "doc_id long, grams array<long>"), "grams")
-    links, leaders = [], 1
-    while size := left.count():
-        order = F.xxhash64("band", "doc_id")
-        heads = left.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n")).alias("head"))
-        led = heads.select("band", F.col("head.doc_id").alias("a"), F.col("head.n").alias("m"))
-        likely = left.join(led, "band").where("doc_id <> a").where(F.least("n", "m") >= similarity * F.greatest("n", "m"))
-        pairs = materialise(likely.select("a", F.col("doc_id").alias("b")).distinct(), "pairs", size)
+    seats = F.transform("bands", lambda band, k: F.struct(band.alias("band"), (k % ORDERS).alias("turn")))
+    left, size = banded.where("n > 0").select("doc_id", "n", "sketch", seats.alias("seats")), banded.count()
+    links, leaders, sets = [], 1, None
+    while size:
+        rows = left.select("doc_id", "n", "sketch", F.explode("seats").alias("seat")).select("doc_id", "n", "sketch", "seat.*")
+        order = F.xxhash64("turn", "doc_id")
+        # Minima of parts, then the parts of a bucket: at most ``leaders`` of them.
+        parts = rows.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n", "sketch")).alias("head"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        whole = parts.groupBy("band").agg(F.collect_list("head").alias("heads"), F.min("a").alias("a"), F.max("b").alias("b"))
+        # Written, so that the join's stage holds no grouping and a frequent band's rows can be split.
+        led = materialise(whole.where("a < b").select("band", "heads"), "leaders", BANDS * size)
+        half = BANDS * BAND // 64
+        apart = lambda h, k: F.get("sketch", F.lit(k)).bitwiseXOR(F.get(h["sketch"], F.lit(k)))
+        differ = lambda h: reduce(Column.__add__, [F.bit_count(apart(h, k).bitwiseOR(apart(h, k + half))) for k in range(half)])
+        like = F.filter("heads", lambda h: (h["doc_id"] != F.col("doc_id")) & (F.least("n", h["n"]) >= similarity * F.greatest("n", h["n"])) & (differ(h) <= DIFFER))
+        seat = F.struct("band", "turn", F.transform(like, lambda h: h["doc_id"]).alias("near"), F.exists("heads", lambda h: h["doc_id"] == F.col("doc_id")).alias("leads"))
+        met = rows.join(led, "band", "left").where("heads is not null")
+        seated = materialise(met.groupBy("doc_id", "n", "sketch").agg(F.collect_list(seat).alias("seats")), "seats", size)
+        named = seated.select("doc_id").distinct()
+        # Most documents leave in the first round, so later rounds move few shingles.
+        if sets is None:
+            sets = base.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>")
+        else:
+            sets = sets.join(named, "doc_id", "left_semi")
+        sets = materialise(sets, "grams")
+        asked = F.array_distinct(F.flatten(F.transform("seats", lambda s: s["near"])))
+        pairs = materialise(seated.select(F.col("doc_id").alias("b"), F.explode(asked).alias("a")), "pairs", size)
         shared = F.size(F.array_intersect("_a", "_b"))
         both = pairs.join(sets.toDF("b", "_b"), "b").join(sets.toDF("a", "_a"), "a")
         near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b"), "near")
         links.append(near)
-        heads_only = led.select("band", F.col("a").alias("doc_id"))
-        linked = left.join(led, "band").join(near.withColumnRenamed("b", "doc_id"), ["a", "doc_id"]).select("band", "doc_id")
-        rest = materialise(left.join(heads_only.unionByName(linked).distinct(), ["band", "doc_id"], "left_anti"), "rest", size)
-        left = several(rest, size)
-        leaders *= MORE_LEADERS
-        # Most documents leave in the first round, so later rounds move few shingles.
-        sets = materialise(of_left(sets), "grams")
+        linked = near.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("to"))
+        stays = lambda s: ~s["leads"] & ~F.coalesce(F.arrays_overlap(s["near"], F.col("to")), F.lit(False))
+        rest = F.transform(F.filter("seats", stays), lambda s: F.struct(s["band"].alias("band"), s["turn"].alias("turn")))
+        left = materialise(seated.join(linked, "doc_id", "left").select("doc_id", "n", "sketch", rest.alias("seats")).where("size(seats) > 0"), "rest", size)
+        size, leaders = left.count(), min(MOST_LEADERS, leaders * MORE_LEADERS)
     out = spark.createDataFrame([], "a long, b long")
     for near in links:
         out = out.unionByName(near)
