@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.graph import components
-from quillspark.storage import materialise
+from quillspark.storage import materialise, materialise_at, remove
 
 SHINGLE = 4
 RADIUS = 4
@@ -410,7 +410,7 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
     base = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     seats = F.transform("bands", lambda band, k: F.struct(band.alias("band"), (k % ORDERS).alias("turn")))
     left, size = banded.where("n > 0").select("doc_id", "n", "sketch", seats.alias("seats")), banded.count()
-    links, leaders, sets = [], 1, None
+    links, leaders, sets, before = [], 1, None, []
     while size:
         rows = left.select("doc_id", "n", "sketch", F.explode("seats").alias("seat")).select("doc_id", "n", "sketch", "seat.*")
         order = F.xxhash64("turn", "doc_id")
@@ -418,23 +418,25 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
         parts = rows.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n", "sketch")).alias("head"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
         whole = parts.groupBy("band").agg(F.collect_list("head").alias("heads"), F.min("a").alias("a"), F.max("b").alias("b"))
         # Written, so that the join's stage holds no grouping and a frequent band's rows can be split.
-        led = materialise(whole.where("a < b").select("band", "heads"), "leaders", BANDS * size)
+        led, led_path = materialise_at(whole.where("a < b").select("band", "heads"), "leaders", BANDS * size)
         half = BANDS * BAND // 64
         apart = lambda h, k: F.get("sketch", F.lit(k)).bitwiseXOR(F.get(h["sketch"], F.lit(k)))
         differ = lambda h: reduce(Column.__add__, [F.bit_count(apart(h, k).bitwiseOR(apart(h, k + half))) for k in range(half)])
         like = F.filter("heads", lambda h: (h["doc_id"] != F.col("doc_id")) & (F.least("n", h["n"]) >= similarity * F.greatest("n", h["n"])) & (differ(h) <= DIFFER))
         seat = F.struct("band", "turn", F.transform(like, lambda h: h["doc_id"]).alias("near"), F.exists("heads", lambda h: h["doc_id"] == F.col("doc_id")).alias("leads"))
         met = rows.join(led, "band", "left").where("heads is not null")
-        seated = materialise(met.groupBy("doc_id", "n", "sketch").agg(F.collect_list(seat).alias("seats")), "seats", size)
+        seated, seated_path = materialise_at(met.groupBy("doc_id", "n", "sketch").agg(F.collect_list(seat).alias("seats")), "seats", size)
         named = seated.select("doc_id").distinct()
         # Most documents leave in the first round, so later rounds move few shingles.
         if sets is None:
             sets = base.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>")
         else:
             sets = sets.join(named, "doc_id", "left_semi")
-        sets = materialise(sets, "grams")
+        sets, sets_path = materialise_at(sets, "grams")
+        for path in before:  # of the round before, used up
+            remove(spark, path)
         asked = F.array_distinct(F.flatten(F.transform("seats", lambda s: s["near"])))
-        pairs = materialise(seated.select(F.col("doc_id").alias("b"), F.explode(asked).alias("a")), "pairs", size)
+        pairs, pairs_path = materialise_at(seated.select(F.col("doc_id").alias("b"), F.explode(asked).alias("a")), "pairs", size)
         shared = F.size(F.array_intersect("_a", "_b"))
         both = pairs.join(sets.toDF("b", "_b"), "b").join(sets.toDF("a", "_a"), "a")
         near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b"), "near")
@@ -442,8 +444,13 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
         linked = near.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("to"))
         stays = lambda s: ~s["leads"] & ~F.coalesce(F.arrays_overlap(s["near"], F.col("to")), F.lit(False))
         rest = F.transform(F.filter("seats", stays), lambda s: F.struct(s["band"].alias("band"), s["turn"].alias("turn")))
-        left = materialise(seated.join(linked, "doc_id", "left").select("doc_id", "n", "sketch", rest.alias("seats")).where("size(seats) > 0"), "rest", size)
+        left, left_path = materialise_at(seated.join(linked, "doc_id", "left").select("doc_id", "n", "sketch", rest.alias("seats")).where("size(seats) > 0"), "rest", size)
+        for path in (led_path, seated_path, pairs_path):
+            remove(spark, path)
+        before = [sets_path, left_path]
         size, leaders = left.count(), min(MOST_LEADERS, leaders * MORE_LEADERS)
+    for path in before:
+        remove(spark, path)
     out = spark.createDataFrame([], "a long, b long")
     for near in links:
         out = out.unionByName(near)
