@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quillspark.functions import text as X
 from quillspark.operators import cases as C
-from quillspark.operators.iterations import Convergence, check_convergence
+from quillspark.operators.iterations import Convergence, next_round
 from quillspark.operators.judging import DEFAULT_DIMENSIONS, critic_reply, feedback_block, judge_replies, judge_view, weighted_total, worst_cases
 from quillspark.operators.graph import topo_levels
 from quillspark.operators.scores import weakest_dimensions
@@ -245,15 +245,14 @@ def iterate_sessions(prompts: DataFrame, cases: DataFrame, dims: Sequence[tuple[
     baseline; each later round revises, runs, judges and checks the convergence rule for every session
     that goes on. The critic reads what the judge said of the round before (U7) and users' ``notes`` ``(session_id,
     case_index, thumb, note)`` if given. A failed critic writes a ``failed`` round of score 0 and ends the session. A round is
-    one table in the shared folder, so there are at most ``max_rounds`` of them whatever the rows.
+    one table in the shared folder, so there are at most ``max_rounds`` of them whatever the rows; each round reads
+    only the table before it, whose rows carry what the rule needs of earlier ones (``next_round``).
     """
-    spark, paths, schema, rounds, judged = prompts.sparkSession, [], None, None, None
+    spark, paths, judged, state = prompts.sparkSession, [], None, None
     live = prompts.select("session_id", "template", F.lit("auto").alias("revise_mode"))
     for number in range(1, cfg.max_rounds + 1):
-        if rounds is not None:
-            seen = check_convergence(rounds, cfg)
-            over = seen.where("reason is not null or revise_mode = 'failed'").select("session_id").distinct()
-            going = rounds.where(F.col("round") == number - 1).join(over, "session_id", "left_anti")
+        if state is not None:
+            going = state.where("reason is null and revise_mode <> 'failed'")
             asked = going.select(F.col("session_id").alias("prompt_id"), F.lit("auto").alias("mode"), "template", F.lit(None).cast("string").alias("instruction"))
             asked = asked.join(session_block(judged, notes).withColumnRenamed("session_id", "prompt_id"), "prompt_id", "left")
             made = revise(asked, critic, dims).select(F.col("prompt_id").alias("session_id"), "template", F.when(F.col("status") == "ok", "auto").otherwise("failed").alias("revise_mode"))
@@ -262,14 +261,12 @@ def iterate_sessions(prompts: DataFrame, cases: DataFrame, dims: Sequence[tuple[
         outputs = run_prompts(good.join(cases, "session_id"), runner, ["session_id", "case_index"])
         judged = materialise(judge_dimensions(outputs, dims, judge, ["session_id", "case_index"]), "judged")
         mean = weighted_total(judged, ["session_id", "case_index"]).groupBy("session_id").agg(F.round(F.avg("weighted_total"), 9).alias("weighted_score"))
-        row = live.join(mean, "session_id", "left").select("session_id", F.lit(number).alias("round"), "template", F.coalesce("weighted_score", F.lit(0.0)).alias("weighted_score"), "revise_mode")
-        written, path = materialise_at(row, "round")
-        if written.isEmpty():
-            break
+        scored = live.join(mean, "session_id", "left").select("session_id", "template", F.coalesce("weighted_score", F.lit(0.0)).alias("weighted_score"), "revise_mode")
+        state, path = materialise_at(next_round(state, scored, number, cfg), "round")
         paths.append(path)
-        schema = written.schema
-        rounds = spark.read.schema(schema).parquet(*paths)
-    return check_convergence(rounds, cfg)
+        if state.isEmpty():
+            break
+    return spark.read.schema(state.schema).parquet(*paths).select("session_id", "round", "template", "weighted_score", "revise_mode", "reason")
 
 
 def session_block(judged: DataFrame, notes: DataFrame | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,13 +41,35 @@ def check_convergence(iterations: DataFrame, cfg: Convergence = Convergence()) -
         .withColumn("_step", step)
         .withColumn("_largest", F.max("_step").over(recent))
     )
-    reason = F.when(F.col("_n") < 2, None).when(F.col("weighted_score") - F.col("_first") >= cfg.delta, "delta")
-    if cfg.absolute is not None:
-        reason = reason.when(F.col("weighted_score") >= cfg.absolute, "absolute")
-    reason = reason.when((F.col("_n") >= cfg.window) & (F.col("_largest") < cfg.epsilon), "stagnation").when(F.col("_n") >= cfg.max_rounds, "max_rounds")
+    reason = stop_reason(F.col("weighted_score"), F.col("_first"), F.col("_largest"), F.col("_n"), cfg)
     return seen.withColumn("reason", reason).drop("_n", "_first", "_step", "_largest")
 
 
+def stop_reason(score: Column, first: Column, largest: Column, n: Column, cfg: Convergence) -> Column:
+    """W2's rule for a session's ``n``-th round, from its score, the first score and the largest recent step."""
+    reason = F.when(n < 2, None).when(score - first >= cfg.delta, "delta")
+    if cfg.absolute is not None:
+        reason = reason.when(score >= cfg.absolute, "absolute")
+    return reason.when((n >= cfg.window) & (largest < cfg.epsilon), "stagnation").when(n >= cfg.max_rounds, "max_rounds")
+
+
+def next_round(state: DataFrame | None, scored: DataFrame, number: int, cfg: Convergence = Convergence()) -> DataFrame:
+    """W2 a round at a time: ``scored`` ``(session_id, weighted_score, ...)`` with ``round``, ``reason``, ``first`` and ``steps``.
+
+    ``state`` is what this gave for the round before (None in round 1): a session's first and last score and its
+    last ``window - 1`` steps, so that a round costs the same however many came before it.
+    """
+    if state is None:
+        known = scored.withColumns({"first": F.col("weighted_score"), "steps": F.array().cast("array<double>")})
+    else:
+        before = state.select("session_id", "first", F.col("weighted_score").alias("_last"), F.col("steps").alias("_steps"))
+        steps = F.concat("_steps", F.array(F.abs(F.col("weighted_score") - F.col("_last"))))
+        kept = F.slice(steps, F.greatest(F.size(steps) - (cfg.window - 2), F.lit(1)), cfg.window - 1)
+        known = scored.join(before, "session_id").withColumn("steps", kept).drop("_last", "_steps")
+    reason = stop_reason(F.col("weighted_score"), F.col("first"), F.array_max("steps"), F.lit(number), cfg)
+    return known.withColumns({"round": F.lit(number), "reason": reason})
+
+
 def stop_round(iterations: DataFrame, cfg: Convergence = Convergence()) -> DataFrame:
     """The first stopping round of each session and why; sessions that go on have none."""
     stops = check_convergence(iterations, cfg).where("reason is not null")

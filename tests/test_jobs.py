@@ -127,6 +127,27 @@ def test_the_critic_reads_what_the_judge_said(spark):
     )
 
 
+def test_sessions_end_each_by_its_own_rule(spark):
+    """A failed critic, a gain and flat scores end sessions in different rounds; no session at all gives no row."""
+
+    class Critic:
+        def chat(self, prompt, temperature, max_tokens):
+            said = prompt.split("Template: ", 1)[1].split("\n\n", 1)[0]
+            return "no object" if said.startswith("lost") else json.dumps({"revised_template": said + "+", "rationale": "r"})
+
+    class Judge:
+        def chat(self, prompt, temperature, max_tokens):
+            return json.dumps({"accuracy": 0.5 if "gain" not in prompt else 0.9 if "gain++" in prompt else 0.4})
+
+    prompts = spark.createDataFrame([(1, "lost"), (2, "gain"), (3, "flat")], "session_id long, template string")
+    asked = spark.createDataFrame([(i, 0, {"q": "a"}) for i in (1, 2, 3)], "session_id long, case_index long, inputs map<string,string>")
+    run = lambda p: inference.iterate_sessions(p, asked, [("accuracy", 1.0)], inference.EchoBackend(), Judge(), Critic())
+    got = sorted((r.session_id, r.round, r.weighted_score, r.revise_mode, r.reason) for r in run(prompts).collect())
+    assert [g[:4] for g in got] == [(1, 1, 0.5, "auto"), (1, 2, 0.0, "failed"), (2, 1, 0.4, "auto"), (2, 2, 0.4, "auto"), (2, 3, 0.9, "auto"), *[(3, n, 0.5, "auto") for n in (1, 2, 3)]]
+    assert [g[4] for g in got] == [None, None, None, None, "delta", None, None, "stagnation"]
+    assert run(prompts.where("session_id < 0")).count() == 0
+
+
 def test_run_modes_reject_what_is_not_there(spark):
     prompts = spark.createDataFrame([(1, 1, "{q}"), (1, 2, "then {a}")], "pipeline_id long, node long, template string")
     schema = "pipeline_id long, mode string, node long, segment array<long>"

@@ -11,7 +11,7 @@ from quillspark import storage
 from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
 from quillspark.operators import graph, inventory
-from quillspark.operators.iterations import Convergence, stop_round
+from quillspark.operators.iterations import Convergence, check_convergence, next_round, stop_round
 
 
 @pytest.mark.parametrize(
@@ -30,6 +30,22 @@ def test_convergence(spark, scores, cfg, want):
     assert [(r.stop_round, r.reason) for r in stop_round(df, cfg).collect()] == ([want] if want else [])
 
 
+@pytest.mark.parametrize("cfg", [Convergence(max_rounds=5, delta=9.0), Convergence(max_rounds=6, delta=0.4, window=2, epsilon=0.1), Convergence(max_rounds=6, delta=9.0, window=4, epsilon=0.2, absolute=0.95)])
+def test_convergence_a_round_at_a_time(spark, cfg):
+    """What is carried from round to round gives the reasons that all rounds together give."""
+    rng = random.Random(cfg.window)
+    scores = {s: [rng.choice((0.0, 0.1, 0.45, 0.5, 0.51, 1.0)) for _ in range(6)] for s in range(60)}
+    rows = [(s, n, x) for s, xs in scores.items() for n, x in enumerate(xs, 1)]
+    df = spark.createDataFrame(rows, "session_id long, round int, weighted_score double")
+    want = {(r.session_id, r.round): r.reason for r in check_convergence(df, cfg).collect()}
+    got, state = {}, None
+    for n in range(1, 7):
+        state = storage.materialise(next_round(state, df.where(F.col("round") == n).drop("round"), n, cfg), "state")
+        got |= {(r.session_id, r.round): r.reason for r in state.collect()}
+    assert got == want and len({r for r in want.values() if r}) >= 2
+    assert max(len(r.steps) for r in state.collect()) == cfg.window - 1
+
+
 def test_components_of_chains_and_cycles(spark):
     rng = random.Random(0)
     chain = [(i, i + 1) for i in range(300)]
