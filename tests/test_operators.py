@@ -162,3 +162,14 @@ def test_intermediate_tables_are_cleared(spark):
             assert graph.components(edges).count() == 3 and graph.topo_levels(edges).count() == 3
         assert set(storage.matching(spark, f"{storage.shared_root(spark)}/*")) - before == set(storage.matching(spark, kept))
     assert set(storage.matching(spark, f"{storage.shared_root(spark)}/*")) == before
+
+
+def test_crossing_scopes_are_not_paired_with_sites(spark):
+    """Many sites and crossing scopes of one file: right scopes, and no join by a range of lines, which costs all pairs."""
+    scopes = [("f", i, i * 7 % 50 - 5, i * 7 % 50 - 5 + i * 11 % 31) for i in range(2000)]
+    sites = [("f", i, i % 80 - 10) for i in range(3000)]
+    df = inventory.enclosing_scope(spark.createDataFrame(sites, "file string, site int, line int"), spark.createDataFrame(scopes, "file string, qual int, line_start int, line_end int"))
+    best = {line: min(((b - a, -a, q) for _, q, a, b in scopes if a <= line <= b), default=(0, 0, None))[2] for line in range(-10, 70)}
+    assert {r.site: r.scope for r in df.collect()} == {s: best[line] for _, s, line in sites}
+    joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert joins and not any("<=" in j or ">=" in j for j in joins)
