@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark import storage
 from quillspark.fixtures import Fixtures
 from quillspark.functions import text as X
+from quillspark.operators import cases as cases_of
 from quillspark.operators import graph, inventory
 from quillspark.operators.iterations import Convergence, check_convergence, next_round, stop_round
 
@@ -173,3 +174,20 @@ def test_crossing_scopes_are_not_paired_with_sites(spark):
     assert {r.site: r.scope for r in df.collect()} == {s: best[line] for _, s, line in sites}
     joins = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
     assert joins and not any("<=" in j or ">=" in j for j in joins)
+
+
+def test_rows_of_a_case_follow_each_other(spark):
+    """The run matrix goes through cases, not targets: a body's rows are one run, and a large dataset is in several tasks."""
+    targets = spark.createDataFrame([(t, t % 2) for t in range(40)], "target_id long, dataset_id long")
+    given = [(c % 2, c, f"body {c}") for c in range(300)] + [(7, 999, "no target"), (None, 998, "no dataset")]
+    inline = spark.createDataFrame([(3, 0, "own"), (99, 0, "no such target")], "target_id long, case_index long, body string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = cases_of.run_matrix(targets, spark.createDataFrame(given, "dataset_id long, case_index long, body string"), inline).rdd.glom().collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    got = sorted((r.target_id, r.case_index, r.body) for part in rows for r in part)
+    assert got == sorted([(3, 0, "own")] + [(t, c, b) for t in range(40) if t != 3 for d, c, b in given if d == t % 2])
+    runs = sum(sum(a.body != b.body for a, b in zip(part, part[1:])) + 1 for part in rows if part)
+    assert runs == 301 and sum(len({r.case_index for r in part}) > 1 for part in rows) >= 3  # 302 cases, 128 a task
