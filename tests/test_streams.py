@@ -65,6 +65,15 @@ def test_gaps_are_given_up_and_state_ends(spark, tmp_path):
     assert max(sizes) > sizes[-1] and sizes[-1] <= 2  # only z is left
 
 
+def test_sessions_share_buckets(spark, tmp_path):
+    """The state has a list and a time for each bucket, however many sessions there are; one answer a session."""
+    rows = [(f"s{k}", i, 0.25 + (0.2 if i == 3 and k % 2 else 0), hours(i + k / 100)) for k in range(40) for i in (1, 2, 3)]
+    early, late = [r for r in rows if r[1] != 2], [r for r in rows if r[1] == 2]
+    got, sizes = run_rounds(spark, f"{tmp_path}/in", [early, late], late="100 hours", buckets=2)
+    assert got == {f"s{k}": (3, "delta" if k % 2 else "stagnation") for k in range(40)}
+    assert 0 < max(sizes) <= 2 * 3
+
+
 EVENTS = "run_id long, at timestamp, status string"
 
 
