@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpus
 from quillspark.operators.expressions import fold_expressions
+from quillspark.sources.pyfacts import extract_facts
 
 
 def facts(spark, **files):
@@ -147,3 +148,11 @@ def test_builders_of_the_project(spark):
     sites = corpus.prompt_sites(f)
     got = {r.id.split(":")[0]: r.builder for r in corpus.link_wrappers(f, sites, corpus.match_templates(f)).collect()}
     assert got == {"one/use.py": "one/a.py:build_a_messages", "three/use.py": "three/lib/b.py:build_a_messages"}
+
+
+def test_files_are_dealt_over_all_cores(spark):
+    """However few bytes the sources have, adaptive execution doesn't parse them in one task."""
+    files = spark.range(200).select(F.concat(F.lit("p/f"), "id", F.lit(".py")).alias("file"), F.lit("a = f(1)\n").alias("content"))
+    rows = extract_facts(files).select("fact", F.spark_partition_id().alias("task"))
+    tasks = {r.task for r in rows.collect()}
+    assert len(tasks) >= 4 and rows.where("fact = 'call'").count() == 200
