@@ -191,3 +191,11 @@ def test_scan_of_a_corpus(spark):
     ids = sorted(r.id for r in got["sites"])
     assert pipe.nodes.split(",") == ids and (pipe.entries, pipe.exits) == (got["edges"][0].src, got["edges"][0].dst) and pipe.name.endswith("_pipeline") and len(pipe.pipeline_id) == 12
     assert [r.file for r in got["warnings"]] == ["p/b.py"] and not got["evidence"]
+
+
+def test_calls_leave_in_slices(spark, monkeypatch):
+    """A batch that holds more than a slice's bytes is answered in parts: each row once, with its own columns."""
+    monkeypatch.setattr(inference, "SLICE", 100)
+    rows = spark.range(60).select("id", F.when(F.col("id") % 7 > 0, F.repeat(F.lit("x"), F.col("id").cast("int"))).alias("p"), F.array("id").alias("more"))
+    got = sorted(tuple(r) for r in inference.call_model(rows, F.col("p"), inference.EchoBackend()).collect())
+    assert got == [(k, "x" * k if k % 7 else None, [k], f"echo: {'x' * k}" if k % 7 else None, None if k % 7 else "no prompt") for k in range(60)]
