@@ -38,6 +38,8 @@ MORE_LEADERS, MOST_LEADERS = 4, 256
 #: 192 bins differ in them. At the least similarity 29 do (with a deviation of 5), so more do with 6e-5; of a pair with a
 #: similarity of a half, 72 do (with 7).
 DIFFER = 48
+#: Parity sketch of the documents that a first round leaves: bits for each shingle, and words of 64 bits at most. Words go by powers of two.
+PARITY_BITS, PARITY_WORDS = 4, 256
 #: Orders that leaders are chosen by: band k goes by order k % ORDERS. One order makes the same documents lead most
 #: buckets, so a document meets few of them; each more order sees pairs from another side.
 ORDERS = 2
@@ -382,27 +384,49 @@ def marks(docs: DataFrame, shingle: int = SHINGLE, words: int = WORDS) -> DataFr
     return base.mapInArrow(_marks(shingle, words), "doc_id long, fp long, n int, bands array<long>, sketch array<long>")
 
 
+def parity(h: np.ndarray) -> np.ndarray:
+    """Bit ``h mod B`` of each hash, added without carry, as signed words; ``B`` follows the number of hashes.
+
+    Two sets' sketches of one length differ in as many bits as the sets differ in elements, at most. The upper half of a
+    sketch added to the lower one is the sketch of half the length.
+    """
+    words = min(PARITY_WORDS, max(1, (1 << max(0, PARITY_BITS * len(h) - 1).bit_length()) // 64))
+    odd = np.bincount((h & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _sets(shingle: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _few(batches):
-            sets = [grams(t, shingle).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+            sets = [grams(t, shingle) for t in batch.column(1).to_pylist()]
+            lists = [[h.view(np.int64) for h in sets], [parity(h) for h in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], names=["doc_id", "grams", "odd"])
 
     return rows
 
 
+def _parity_differs(x: Column, y: Column) -> Column:
+    """In how many bits two parity sketches differ, once both are as short as the shorter one. Lengths differ by a factor of two at most."""
+    half = lambda s: F.zip_with(F.slice(s, 1, F.shiftright(F.size(s), 1)), F.slice(s, F.shiftright(F.size(s), 1) + 1, F.shiftright(F.size(s), 1)), lambda a, b: a.bitwiseXOR(b))
+    bits = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, k: n + k)
+    return F.when(F.size(x) == F.size(y), bits(x, y)).when(F.size(x) > F.size(y), bits(half(x), y)).otherwise(bits(x, half(y)))
+
+
 def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Links ``(a, b)`` of documents whose word shingles have a Jaccard similarity of ``similarity`` at least.
 
     ``banded`` is the written table ``(doc_id, n, bands, sketch)`` of :func:`marks`. Documents that share a band of
-    MinHashes form a bucket. A round holds every bucket's documents against its leaders, by their shingles;
-    leaders and what is linked to one leave the bucket, and the rest go on with four times as many leaders, until no
-    bucket has two documents. A document keeps a row, with a seat for each bucket that it is in; seats meet their
-    buckets' leaders in one join, and leaders that lead several of a document's buckets are compared with it once. So
-    a document of a group of near copies is compared with a few leaders, however large the group, no bucket is
-    collected, and the rounds grow with the logarithm of the largest bucket of unlike documents, up to
-    ``MOST_LEADERS``, then with its size. Links are always true; one is missed if the pair shares no bucket, if its
-    sketches differ in more than ``DIFFER`` bins, or if in each bucket that it shares both are linked to different leaders.
+    MinHashes form a bucket. A round holds every bucket's documents against its leaders, by their shingles; leaders
+    leave the bucket, and the rest go on with four times as many leaders, until each bucket is within one component
+    of the links so far. Documents of one component are never compared, and those that have no link lead first, so a
+    group of near copies is done once its outsiders have led. A document keeps a row, with a seat for each bucket that
+    it is in; seats meet their buckets' leaders in one join, and leaders that lead several of a document's buckets are
+    compared with it once. In the first round these are ``BANDS`` at most. Later ones have a parity sketch of each document that is
+    left, which bounds from below in how many shingles two of them differ, so few pairs but links are compared by their
+    shingles, however large the group. No bucket is collected; the rounds grow with the logarithm of a bucket's outsiders, up to
+    ``MOST_LEADERS``, then with their number, and sketches are held against each other as often as outsiders meet the
+    others of their bucket. Links are always true, and connect all that is similar but pairs that share no bucket or whose sketches differ
+    in more than ``DIFFER`` bins.
 
     Rows of null ids and texts without words have no links; rows that share an id count as one document.
     """
@@ -412,39 +436,55 @@ def similar_links(docs: DataFrame, banded: DataFrame, shingle: int = WORDS, simi
     left, size = banded.where("n > 0").select("doc_id", "n", "sketch", seats.alias("seats")), banded.count()
     links, leaders, sets, before = [], 1, None, []
     while size:
-        rows = left.select("doc_id", "n", "sketch", F.explode("seats").alias("seat")).select("doc_id", "n", "sketch", "seat.*")
+        # After the first round a document has its component so far, named by the least id, and its parity sketch.
+        keys, of = ["doc_id", "n", "sketch"], F.col("doc_id")
+        if sets is not None:
+            keys, of = [*keys, "of", "odd"], F.col("of")
+        rows = left.select(*keys, F.explode("seats").alias("seat")).select(*keys, "seat.*")
         order = F.xxhash64("turn", "doc_id")
         # Minima of parts, then the parts of a bucket: at most ``leaders`` of them.
-        parts = rows.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min(F.struct(order.alias("h"), "doc_id", "n", "sketch")).alias("head"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+        head = F.min(F.struct((of != F.col("doc_id")).alias("tied"), order.alias("h"), *keys)).alias("head")
+        parts = rows.groupBy("band", F.pmod(order, F.lit(leaders)).alias("part")).agg(head, F.min(of).alias("a"), F.max(of).alias("b"))
         whole = parts.groupBy("band").agg(F.collect_list("head").alias("heads"), F.min("a").alias("a"), F.max("b").alias("b"))
         # Written, so that the join's stage holds no grouping and a frequent band's rows can be split.
         led, led_path = materialise_at(whole.where("a < b").select("band", "heads"), "leaders", BANDS * size)
         half = BANDS * BAND // 64
         apart = lambda h, k: F.get("sketch", F.lit(k)).bitwiseXOR(F.get(h["sketch"], F.lit(k)))
         differ = lambda h: reduce(Column.__add__, [F.bit_count(apart(h, k).bitwiseOR(apart(h, k + half))) for k in range(half)])
-        like = F.filter("heads", lambda h: (h["doc_id"] != F.col("doc_id")) & (F.least("n", h["n"]) >= similarity * F.greatest("n", h["n"])) & (differ(h) <= DIFFER))
-        seat = F.struct("band", "turn", F.transform(like, lambda h: h["doc_id"]).alias("near"), F.exists("heads", lambda h: h["doc_id"] == F.col("doc_id")).alias("leads"))
+        head_of = lambda h: h["of"] if sets is not None else h["doc_id"]  # noqa: E731, B023
+        # As a fraction of both sizes, sets of this similarity differ in (1 - similarity) / (1 + similarity) elements.
+        close = lambda h: (1 + similarity) * _parity_differs(F.col("odd"), h["odd"]) <= (1 - similarity) * (F.col("n") + h["n"]) + 1e-6
+        alike = lambda h: (head_of(h) != of) & (F.least("n", h["n"]) >= similarity * F.greatest("n", h["n"])) & (differ(h) <= DIFFER)  # noqa: E731, B023
+        like = F.filter("heads", alike if sets is None else lambda h: alike(h) & close(h))  # noqa: B023
+        met_by = F.transform(like, lambda h: F.struct(h["doc_id"].alias("a"), head_of(h).alias("a_of")))  # noqa: B023
+        seat = F.struct("band", "turn", met_by.alias("near"), F.exists("heads", lambda h: h["doc_id"] == F.col("doc_id")).alias("leads"))
         met = rows.join(led, "band", "left").where("heads is not null")
-        seated, seated_path = materialise_at(met.groupBy("doc_id", "n", "sketch").agg(F.collect_list(seat).alias("seats")), "seats", size)
+        seated, seated_path = materialise_at(met.groupBy(*keys).agg(F.collect_list(seat).alias("seats")), "seats", size)
         named = seated.select("doc_id").distinct()
         # Most documents leave in the first round, so later rounds move few shingles.
-        if sets is None:
-            sets = base.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>")
+        first = sets is None
+        if first:
+            sets = base.join(named, "doc_id", "left_semi").mapInArrow(_sets(shingle), "doc_id long, grams array<long>, odd array<long>")
         else:
             sets = sets.join(named, "doc_id", "left_semi")
         sets, sets_path = materialise_at(sets, "grams")
         for path in before:  # of the round before, used up
             remove(spark, path)
         asked = F.array_distinct(F.flatten(F.transform("seats", lambda s: s["near"])))
-        pairs, pairs_path = materialise_at(seated.select(F.col("doc_id").alias("b"), F.explode(asked).alias("a")), "pairs", size)
+        pairs, pairs_path = materialise_at(seated.select(F.col("doc_id").alias("b"), of.alias("b_of"), F.explode(asked).alias("pair")).select("b", "b_of", "pair.*"), "pairs", size)
         shared = F.size(F.array_intersect("_a", "_b"))
-        both = pairs.join(sets.toDF("b", "_b"), "b").join(sets.toDF("a", "_a"), "a")
-        near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b"), "near")
-        links.append(near)
-        linked = near.groupBy(F.col("b").alias("doc_id")).agg(F.collect_set("a").alias("to"))
-        stays = lambda s: ~s["leads"] & ~F.coalesce(F.arrays_overlap(s["near"], F.col("to")), F.lit(False))
-        rest = F.transform(F.filter("seats", stays), lambda s: F.struct(s["band"].alias("band"), s["turn"].alias("turn")))
-        left, left_path = materialise_at(seated.join(linked, "doc_id", "left").select("doc_id", "n", "sketch", rest.alias("seats")).where("size(seats) > 0"), "rest", size)
+        texts = sets.select("doc_id", "grams")
+        both = pairs.join(texts.toDF("b", "_b"), "b").join(texts.toDF("a", "_a"), "a")
+        near = materialise(both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b", "a_of", "b_of"), "near")
+        links.append(near.select("a", "b"))
+        rest = F.transform(F.filter("seats", lambda s: ~s["leads"]), lambda s: F.struct(s["band"].alias("band"), s["turn"].alias("turn")))
+        going = seated.select("doc_id", "n", "sketch", of.alias("of"), *([] if first else ["odd"]), rest.alias("seats")).where("size(seats) > 0")
+        if first:
+            going = going.join(sets.select("doc_id", F.size("grams").alias("n"), "odd").distinct(), ["doc_id", "n"])
+        if not near.isEmpty():
+            merged = components(near, "a_of", "b_of").where("node <> component")
+            going = going.join(merged.withColumnRenamed("node", "of"), "of", "left").withColumn("of", F.coalesce("component", "of")).drop("component")
+        left, left_path = materialise_at(going, "rest", size)
         for path in (led_path, seated_path, pairs_path):
             remove(spark, path)
         before = [sets_path, left_path]

@@ -363,6 +363,57 @@ def test_keep_one_similar(spark):
     assert sorted(x for x in got if x is not None) == [i for i in parent if root(i) == i] and got.count(None) == 1
 
 
+def test_parity_bounds_differences():
+    rng = np.random.default_rng(3)
+    for n in (1, 15, 17, 150, 900, 6000):
+        h = np.unique(rng.integers(0, 2**64, n + n // 4, dtype=np.uint64))
+        x, y = (h[np.sort(rng.permutation(len(h))[:n])] for _ in range(2))
+        p, q = (simhash.parity(v).view(np.uint64) for v in (x, y))
+        assert len(p) == len(q) <= simhash.PARITY_WORDS and np.bitwise_count(p ^ q).sum() <= len(np.setxor1d(x, y))
+
+
+def test_similar_links_of_a_large_group(spark, monkeypatch):
+    """Of a group around one text, few pairs but links are compared, and none within a component; no link of a bucket is lost."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(110)], []
+    for i in range(260):
+        words = list(base)
+        for _ in range(rng.randrange(1, 6)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    made, plain = [], simhash.materialise_at
+
+    def counted(df, name, rows=None):
+        out = plain(df, name, rows)
+        if name == "pairs":
+            made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialise_at", counted)
+    docs = table(spark, rows)
+    marked = simhash.materialise(simhash.marks(docs), "marks")
+    bands = {r.doc_id: set(r.bands) for r in marked.collect()}
+    links = {(r.a, r.b) for r in simhash.similar_links(docs, marked).collect()}
+    sets = {i: set(simhash.grams(t).tolist()) for i, t in rows}
+    true = [(i, j) for i, j in itertools.combinations(sets, 2) if bands[i] & bands[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+
+    def groups(pairs):
+        parent = {i: i for i, _ in rows}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a, b in pairs:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return [root(i) for i in parent]
+
+    assert groups(links) == groups(true)
+    assert made[0] <= simhash.BANDS * len(rows) and sum(made[1:]) <= 3 * len(rows)
+
+
 @pytest.mark.parametrize("small", [30, 2_000])
 def test_shard_trees(small):
     """A shard's own trees, the second ones too, lose no link."""
