@@ -7,6 +7,7 @@ import functools
 import hashlib
 import heapq
 import itertools
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import duckdb
@@ -22,7 +23,7 @@ SLICE_CHARS = 1_000_000
 SECTION_WORDS = 250_000
 #: Rows that the recursion of one query may make: a word of n bytes makes at most n * n / 2 of them.
 QUERY_ROWS = 1_000_000
-#: Bytes of words that a worker remembers, and what each costs besides its characters. The half used last stays.
+#: Bytes of words that a worker remembers, and what each costs besides its characters. Three quarters stay, of words that most slices had.
 REMEMBERED_BYTES = 48 << 20
 ENTRY_BYTES = 480
 #: A word takes as many steps as it has merges; beyond this many bytes a heap contracts it instead.
@@ -75,11 +76,11 @@ class Contractor:
         self.pattern = regex.compile(pattern)
         self.token = {v: k for k, v in self.ranks.items()}
         self.single = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        #: Of each word remembered: its ids (decimal, joined by commas), the bytes they decode to, when it was last used.
+        #: Of each word remembered: its ids (decimal, joined by commas), the bytes they decode to, how many slices had it.
         self.ids: dict[str, str] = {}
         self.raw: dict[str, bytes] = {}
-        self.used: dict[str, int] = {}
-        self.bytes, self.most, self.turn = 0, remembered_bytes, 0
+        self.used: Counter[str] = Counter()
+        self.bytes, self.most = 0, remembered_bytes
         merges = {}
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -112,7 +113,7 @@ class Contractor:
         self.con.execute(f"create or replace table {name} as select * from given")
         self.con.unregister("given")
 
-    def contract(self, part: list[bytes]) -> Iterator[tuple[str, bytes]]:
+    def contract(self, part: list[bytes]) -> tuple[list[str], list[bytes]]:
         """Ids and decoded bytes of words, by the recursive query."""
         sizes = np.array([len(raw) for raw in part])
         ends = np.cumsum(sizes)
@@ -127,7 +128,11 @@ class Contractor:
             n=pa.array(after),
         )
         found = self.con.sql(ENCODE).to_arrow_table()
-        return zip(found.column("ids").to_pylist(), map(bytes.fromhex, found.column("decoded").to_pylist()))
+        # All digits of a slice become bytes at once, which are cut where a word's digits end.
+        digits = found.column("decoded").to_numpy().tolist()
+        whole = bytes.fromhex("".join(digits))
+        ends = list(itertools.accumulate(map(len, digits), initial=0))
+        return found.column("ids").to_numpy().tolist(), [whole[a // 2 : b // 2] for a, b in zip(ends, ends[1:])]
 
     def contract_long(self, raw: bytes) -> tuple[str, bytes]:
         """The same contraction for one very long word, with a heap of pairs in place of a scan a step."""
@@ -159,37 +164,41 @@ class Contractor:
 
     def learn(self, wanted: set[str]) -> None:
         """Encode and decode the words that are not remembered. A word that is one token is that token."""
-        self.turn += 1
-        fresh = wanted - self.ids.keys()
-        rest: list[tuple[int, bytes, str]] = []
-        for word in fresh:
-            raw = word.encode()
-            if (rank := self.ranks.get(raw)) is not None:
-                self.ids[word], self.raw[word] = str(rank), self.token[rank]
-            elif len(raw) > LONG_WORD:
-                self.ids[word], self.raw[word] = self.contract_long(raw)
-            else:
-                rest.append((len(raw), raw, word))
-        rest.sort()  # words of like length end together
+        fresh = list(wanted - self.ids.keys())
+        raws = [word.encode() for word in fresh]
+        ranks = list(map(self.ranks.get, raws))
+        sizes = np.fromiter(map(len, raws), np.int64, len(raws))
+        whole = np.fromiter((rank is not None for rank in ranks), bool, len(ranks))
+        for k in np.flatnonzero(whole).tolist():
+            self.ids[fresh[k]], self.raw[fresh[k]] = str(ranks[k]), self.token[ranks[k]]
+        for k in np.flatnonzero(~whole & (sizes > LONG_WORD)).tolist():
+            self.ids[fresh[k]], self.raw[fresh[k]] = self.contract_long(raws[k])
+        rest = np.flatnonzero(~whole & (sizes <= LONG_WORD))
+        rest = rest[np.argsort(sizes[rest], kind="stable")]  # words of like length end together
         at = 0
-        for end, total in _chunks([n * n // 2 for n, _, _ in rest], QUERY_ROWS):
-            for (_, _, word), (ids, raw) in zip(rest[at:end], self.contract([raw for _, raw, _ in rest[at:end]])):
-                if raw != word.encode():
-                    raise RuntimeError(f"{ids} does not decode to {word!r}")
-                self.ids[word], self.raw[word] = ids, raw
+        for end, _ in _chunks((sizes[rest] ** 2 // 2).tolist(), QUERY_ROWS):
+            words, part = [fresh[k] for k in rest[at:end].tolist()], [raws[k] for k in rest[at:end].tolist()]
+            ids, decoded = self.contract(part)
+            if decoded != part:
+                raise RuntimeError(f"words do not decode to themselves: {[w for w, x, y in itertools.zip_longest(words, decoded, part) if x != y][:5]!r}")
+            self.ids.update(zip(words, ids))
+            self.raw.update(zip(words, decoded))
             at = end
-        self.bytes += sum(ENTRY_BYTES + 4 * len(w) for w in fresh)
-        self.used.update(dict.fromkeys(wanted, self.turn))
+        self.bytes += ENTRY_BYTES * len(fresh) + 4 * sum(map(len, fresh))
+        self.used.update(wanted)
 
     def forget(self) -> None:
-        """Once memory is full, drop the words used longest ago until half is left."""
+        """Once memory is full, drop words that the fewest slices had, of these the oldest first, until three quarters are left."""
         if self.bytes <= self.most:
             return
-        for word in sorted(self.used, key=self.used.__getitem__):
-            if self.bytes <= self.most // 2:
-                break
-            self.bytes -= ENTRY_BYTES + 4 * len(word)
-            del self.used[word], self.ids[word], self.raw[word]
+        words = list(self.used)
+        order = np.argsort(np.fromiter(self.used.values(), np.int64, len(words)), kind="stable")
+        left = self.bytes - np.cumsum(ENTRY_BYTES + 4 * np.fromiter(map(len, words), np.int64, len(words))[order])
+        n = 1 + int(np.argmax(left <= self.most * 3 // 4))
+        for k in order[:n].tolist():
+            for memory in (self.used, self.ids, self.raw):
+                memory.pop(words[k])
+        self.bytes = int(left[n - 1])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Ids, joined by commas, and the bytes they decode to, of each text."""

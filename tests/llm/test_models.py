@@ -60,6 +60,17 @@ def test_bpe_memory_turns_over(library):
         assert engine.bytes <= engine.most and engine.ids.keys() == engine.raw.keys() == engine.used.keys()
 
 
+def test_bpe_remembers_frequent_words(library):
+    """Words of many slices stay when one slice fills the memory with words of its own."""
+    engine = bpe.Contractor(PATH, public_tokenizers.PATTERN, 40 * bpe.ENTRY_BYTES).__enter__()
+    common = "fourr sixx eightt"
+    for k in range(4):
+        own = " ".join(f"zq{chr(97 + k)}{chr(97 + j)}q" for j in range(20))
+        for t in (common, own):
+            assert list(engine.encode([t])) == [(",".join(map(str, library.encode_ordinary(t))), t.encode())]
+    assert {"fourr", " sixx", " eightt"} <= engine.ids.keys()
+
+
 def test_bpe_long_texts_and_many_queries(library, monkeypatch):
     """A text over a slice goes by sections, words of a slice by several queries."""
     monkeypatch.setattr(bpe, "SLICE_CHARS", 300)
