@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import corpus
 from quillspark.operators.expressions import fold_expressions
+from quillspark.sources import pyfacts
 from quillspark.sources.pyfacts import extract_facts
+from quillspark.storage import materialise
 
 
 def facts(spark, **files):
@@ -156,3 +158,41 @@ def test_files_are_dealt_over_all_cores(spark):
     rows = extract_facts(files).select("fact", F.spark_partition_id().alias("task"))
     tasks = {r.task for r in rows.collect()}
     assert len(tasks) >= 4 and rows.where("fact = 'call'").count() == 200
+
+
+def test_tasks_grow_with_the_facts(spark, monkeypatch):
+    """Sites and their scopes: every join and group is dealt over a number of tasks that grows with the facts.
+
+    Left to adaptive execution, which goes by compressed bytes, a few tasks would sort all rows.
+    """
+    monkeypatch.setattr(corpus, "ROWS_A_TASK", 100)
+    monkeypatch.setattr(pyfacts, "CHARS_A_TASK", 1000)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        code = "import openai\nP_PROMPT = 'a' + b\nQ_PROMPT = 'c'\nclass C{0}:\n    def __init__(self, k):\n        pass\n    def f(self, q: str):\n        return self.llm.invoke(prompt='p{0}')\n"
+        files = spark.createDataFrame([(f"p/f{k}.py", code.format(k)) for k in range(120)] + [("p/empty.py", ""), ("p/null.py", None)], "file string, content string")
+        assert extract_facts(files).rdd.getNumPartitions() > 120 * len(code) // 1000
+        f = corpus.Facts(files)
+        n = f._all.count()
+        assert f.tasks == -(-n // 100) > spark.sparkContext.defaultParallelism
+        sites = corpus.prompt_sites(f)
+        made = materialise(sites, "sites")
+        shapes = corpus.input_shapes(f, made)
+        for df in (sites, shapes):
+            dealt = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+            assert dealt and all(f", {f.tasks}), REPARTITION_BY_NUM" in line for line in dealt), [line for line in dealt if "BY_NUM" not in line]
+        # Rows without an expression are not all in one task either.
+        assert len(f.of("assign").inputFiles()) > 10
+        got = sorted((r.file, r.line, r.function, r["args"]) for r in shapes.where("line > 3").collect())
+        assert got == sorted((f"p/f{k}.py", 8, f"C{k}.f", ["q: str"]) for k in range(120))
+        assert shapes.count() == made.count() == 360 and made.where("origin = 'constant' and n_messages = 1").count() == 240
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_shapes_of_a_name_defined_twice(spark):
+    """Each site has a row of its own line, also where two share an id, as a constant that is set twice does."""
+    f = facts(spark, f="A_PROMPT = 'x'\nA_PROMPT = 'y'\n")
+    rows = corpus.input_shapes(f, corpus.prompt_sites(f)).collect()
+    assert sorted((r.file, r.line) for r in rows) == [("f.py", 1), ("f.py", 2)]
