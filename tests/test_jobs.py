@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import storage
 from quillspark.operators import cases, corpus, inference, judging
 from quillspark.operators.iterations import Convergence
 from quillspark.sources import tables, tree
@@ -127,6 +128,35 @@ def test_the_critic_reads_what_the_judge_said(spark):
     )
 
 
+def test_sessions_are_not_broadcast(spark, monkeypatch):
+    """Tables with a row a session are small files, but go through no broadcast; a reply is parsed once, not in every branch."""
+    plans, real = [], storage.materialise_at
+
+    def kept(df, name, rows=None):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name, rows)
+
+    for module in (storage, inference):
+        monkeypatch.setattr(module, "materialise_at", kept)
+
+    class Judge:
+        def chat(self, prompt, temperature, max_tokens):
+            return json.dumps({"accuracy": 0.5})
+
+    class Critic:
+        def chat(self, prompt, temperature, max_tokens):
+            return json.dumps({"revised_template": "again"})
+
+    path = storage.new_path(spark, "given")
+    spark.range(50).selectExpr("id as session_id", "'Hi {q}' as template").write.parquet(f"{path}/prompts")
+    spark.range(50).selectExpr("id as session_id", "0L as case_index", "map('q', 'a') as inputs").write.parquet(f"{path}/cases")
+    got = inference.iterate_sessions(spark.read.parquet(f"{path}/prompts"), spark.read.parquet(f"{path}/cases"), [("accuracy", 1.0)], inference.EchoBackend(), Judge(), Critic())
+    assert got.where("reason = 'stagnation' and round = 3").count() == 50
+    assert sum("SortMergeJoin" in p for p in plans) >= 8 and not any("Broadcast" in p for p in plans)
+    read = spark.createDataFrame([("x",)], "reply string").select(judging.critic_reply(F.col("reply")).alias("r"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().lower().count("parsejson") <= 2
+
+
 def test_sessions_end_each_by_its_own_rule(spark):
     """A failed critic, a gain and flat scores end sessions in different rounds; no session at all gives no row."""
 
