@@ -191,3 +191,17 @@ def test_rows_of_a_case_follow_each_other(spark):
     assert got == sorted([(3, 0, "own")] + [(t, c, b) for t in range(40) if t != 3 for d, c, b in given if d == t % 2])
     runs = sum(sum(a.body != b.body for a, b in zip(part, part[1:])) + 1 for part in rows if part)
     assert runs == 301 and sum(len({r.case_index for r in part}) > 1 for part in rows) >= 3  # 302 cases, 128 a task
+
+
+def test_targets_of_the_matrix_are_not_broadcast(spark, tmp_path):
+    """Ids of targets and of inline cases grow with the input; with small files they still don't go through the driver."""
+    spark.range(40).selectExpr("id as target_id", "id % 2 as dataset_id").write.parquet(f"{tmp_path}/targets")
+    spark.range(6).selectExpr("id % 2 as dataset_id", "id as case_index", "concat('body ', id) as body").write.parquet(f"{tmp_path}/cases")
+    spark.range(0, 80, 20).selectExpr("id as target_id", "0L as case_index", "'own' as body").write.parquet(f"{tmp_path}/inline")
+    df = cases_of.run_matrix(*[spark.read.parquet(f"{tmp_path}/{t}") for t in ("targets", "cases", "inline")])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    # All joins but that of cases with their dataset's size, a row a dataset.
+    assert plan.count("SortMergeJoin") == 4 and plan.count("BroadcastHashJoin") <= 1
+    assert sorted((r.target_id, r.case_index, r.body) for r in df.collect()) == sorted(
+        [(t, 0, "own") for t in (0, 20)] + [(t, c, f"body {c}") for t in range(40) if t not in (0, 20) for c in range(6) if c % 2 == t % 2]
+    )
